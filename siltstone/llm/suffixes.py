@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import bucketed, input_bytes, pieces, stored
 
 #: Bytes of a string, of the strings whose hashes make anchors; bytes of text of a part; suffixes of a batch.
-LENGTH, GRAM, PART, BATCH = 50, 20, 1 << 24, 1 << 16
+LENGTH, GRAM, PART, BATCH = 50, 20, 1 << 23, 1 << 16
 #: An odd factor for rolling hashes.
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _LAST = np.iinfo(np.int64).max
