@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, pieces, stored
+from .common import bucketed, input_bytes, pieces, tidy
 
 #: Bytes of text that share a dictionary.
 CHUNK = 1 << 24
@@ -112,8 +112,11 @@ def _split_texts(pattern: str, place: int, buckets: int, names: list[str], kinds
                     if numbers:
                         yield dictionary()
                     numbers, size, chunk = _Numbers(), 0, chunk + 1
+                    tidy()
         if numbers:
             yield dictionary()
+        numbers.clear()
+        tidy()
 
     return run
 
@@ -141,6 +144,7 @@ def _encode_words(ranks, pattern: str):
             for row in batch.to_pylist():
                 if row["_bucket"] != bucket:  # rows come sorted by bucket
                     bucket, known = row["_bucket"], {}
+                    tidy()
                 counts, ids = [], []
                 for word in unpack_words(row["_packed"]):
                     found = known.get(word)
@@ -183,6 +187,7 @@ def _reassemble(names: list[str], out: str):
         for blob in docs.column("_numbers").to_pylist():
             numbers = unpack(blob)
             found.append(_gather(value, start_of[numbers], count_of[numbers]).astype(np.int32))
+        tidy()
         offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
         return pa.table([*(docs.column(n) for n in names), lists], names=[*names, out])
@@ -204,7 +209,8 @@ def encode(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, ou
 
     kinds = to_arrow_schema(T.StructType(rest))
     run = _split_texts(pattern, docs.columns.index(text), buckets, schema.names, kinds)
-    split = stored(docs.mapInArrow(run, schema), "pretokens")
+    # a chunk comes from one task, so the texts can be laid out by chunk where they are
+    split = bucketed(docs.mapInArrow(run, schema), "_chunk", 2 * buckets, "pretokens", deal=False)
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary, whatever the corpus
     words = split.where("_packed is not null").select(_WORDS.names).repartition(buckets, "_bucket").sortWithinPartitions("_bucket")
     ids = words.mapInArrow(_encode_words(shared, pattern), _IDS)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python a thousand rows at a time, unless the session says otherwise: ten
+    thousand, Spark's own number, are hundreds of MB where texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def tidy() -> None:
+    """Give memory that a Python worker no longer uses back to the machine: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
+
+
 def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path in the shared folder; ``clear_scratch`` deletes it unless it is to be kept."""
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
@@ -37,12 +56,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """As ``stored``, laid out by ``key`` so that later joins on it move only the other side."""
+def bucketed(df: DataFrame, key: str, buckets: int, name: str, deal: bool = True) -> DataFrame:
+    """As ``stored``, laid out by ``key`` so that later joins on it move only the other side.
+    Where a key's rows already come from one task, ``deal=False`` spares the shuffle."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"siltstone_{name}_{uuid.uuid4().hex}"
-    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    ((df.repartition(buckets, key) if deal else df).write.bucketBy(buckets, key).sortBy(key)
        .option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table))
     return spark.table(table)
 
@@ -57,6 +77,7 @@ def clear_scratch(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of a text column, one number."""
+    small_batches(df.sparkSession)
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 

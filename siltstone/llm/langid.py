@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 #: Bytes of an n-gram, slots of the filter table, slots of an n-gram.
 NGRAM, SLOTS, HASHES = 4, 1 << 20, 2
 #: Fitting: so many texts of a language at most, none longer than so many bytes; an n-gram is learnt from so many occurrences on.
@@ -132,6 +134,7 @@ def fit(docs: DataFrame, text: str, lang: str, learn: Column, per_language: int
 def predict(docs: DataFrame, text: str, model: LanguageFilter, out: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the columns ``out`` and ``score``; all rows and other columns stay. Whole texts, no shuffle.
     Columns already of these names are replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 8 MB, whatever the corpus
     place = docs.columns.index(text)
@@ -141,6 +144,7 @@ def predict(docs: DataFrame, text: str, model: LanguageFilter, out: str = "lang_
         for batch in batches:
             names, scores = shared.value.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, pieces, stored
+from .common import input_bytes, pieces, stored, tidy
 
 #: BM25's constants, documents of a block, bytes of text of a shard, queries of a block.
 K1, B, BLOCK, SHARD, QUERIES = 1.2, 0.75, 64, 1 << 26, 4096
@@ -214,6 +214,7 @@ def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, s
 
     def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
         hits: list[tuple] = []
+        tidy()
         if rows.num_rows and asks.num_rows:
             index = Index(rows.column("_id").to_pylist(), rows.column("_text").to_pylist(), float(mean or 0))
             by: dict[int, tuple[list, list]] = {}

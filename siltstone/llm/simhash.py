@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, stored
+from .common import components, small_batches, stored, tidy
 
 #: Entries of a list from which on it is split; entries up to which pairs are formed by shifting whole batches.
 LIST, SHIFTS = 2048, 24
@@ -158,6 +158,7 @@ def fingerprints(docs: DataFrame, text: str, width: int, scheme: Scheme = EXACT,
     """``docs`` with the fingerprint of each whole text (null: as empty) as bytes, and its
     number. Every row and every other column stays; columns of the names ``out`` and ``node``
     are replaced. No shuffle."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out, node)
     carried = docs.withColumn(text, F.col(text).cast("binary"))
     place = carried.columns.index(text)
@@ -276,6 +277,7 @@ def _search(scheme: Scheme, level: int, most: int):
                 held, long_key = none, held[0][0]
         if len(held[0]):
             yield from whole(*held)
+        tidy()
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, input_bytes, pieces, stored
+from .common import bucketed, input_bytes, pieces, stored, tidy
 
 #: Bytes of a string, of the strings whose hashes make anchors; bytes of text of a part; suffixes of a batch.
 LENGTH, GRAM, PART, BATCH = 50, 20, 1 << 23, 1 << 16
@@ -221,6 +221,7 @@ def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
 
 def _send_anchors(key: str, text: str, buckets: int):
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         part, p = table.column("_part")[0].as_py(), Part(table, key, text, buckets)
         rows = [(part, b, (p.hash[pick] // np.uint64(buckets)).astype("<u4").tobytes(), p.digest[pick].astype("<u8").tobytes(),
                  _pack(np.diff(p.keys[p.doc[pick]], prepend=0))) for b, pick in p.dealt()]
@@ -230,6 +231,7 @@ def _send_anchors(key: str, text: str, buckets: int):
 
 
 def _settle(table: pa.Table) -> pa.Table:
+    tidy()
     rows = sorted(table.to_pylist(), key=lambda r: r["_part"])
     group = np.concatenate([np.frombuffer(r["_hash"], "<u4") for r in rows])
     digest = np.concatenate([np.frombuffer(r["_digest"], "<u8") for r in rows])
@@ -248,6 +250,7 @@ def _send_contexts(key: str, text: str, buckets: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([], _SENT)
+        tidy()
         part, p = table.column("_part")[0].as_py(), Part(table, key, text, buckets)
         flags, rows = p.flags(_by_bucket(replies)), []
         for b, pick in p.asked(flags):
@@ -270,6 +273,7 @@ def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _look_up(table: pa.Table) -> pa.Table:
+    tidy()
     rows = sorted(table.to_pylist(), key=lambda r: r["_part"])
     keys, docs, counts = [], [], []
     for r in rows:
@@ -299,6 +303,7 @@ def _cut(key: str, text: str, buckets: int, names: list[str], result: T.StructTy
         kinds = to_arrow_schema(result)
         if not table.num_rows:
             return pa.table([pa.array([], k.type) for k in kinds], schema=kinds)
+        tidy()
         p = Part(table, key, text, buckets)
         flags, bits = p.flags(_by_bucket(settled)), _by_bucket(looked)
         whole = np.flatnonzero(flags == 1)

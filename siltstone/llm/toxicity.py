@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
 from .langid import held_out
 
 #: Rows of the embedding table, numbers in a row, filters of each width, widths in words, letters of a word's beginnings.
@@ -225,6 +226,7 @@ def fit(docs: DataFrame, text: str, key: str, labels: DataFrame, label: str, lea
 def score(docs: DataFrame, text: str, model: Classifier, out: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text (null and texts without a word: 0). All rows and other columns stay; a column of
     the name ``out`` is replaced. No shuffle."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 2 MB, whatever the corpus
     place, schema = docs.columns.index(text), docs.select("*", F.lit(0.0).alias(out)).schema
@@ -236,6 +238,7 @@ def score(docs: DataFrame, text: str, model: Classifier, out: str = "score") ->
                 part = batch.slice(i, 500)
                 found = scorer.scores(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=schema.names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
