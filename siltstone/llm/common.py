@@ -81,6 +81,11 @@ def input_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
+def smallest_hashes(wanted: int, of: int) -> int:
+    """The signed 64-bit number below which about ``wanted`` of ``of`` hashes lie."""
+    return (1 << 63) - 1 if of <= wanted else int((1 << 64) * wanted / of) - (1 << 63)
+
+
 def pieces(total_bytes: int, each: int, least: int = 12) -> int:
     """How many partitions of about ``each`` bytes hold ``total_bytes``."""
     return max(least, -(-int(total_bytes) // each))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import small_batches, smallest_hashes, tidy
 
 #: Bytes of an n-gram, slots of the filter table, slots of an n-gram.
 NGRAM, SLOTS, HASHES = 4, 1 << 20, 2
@@ -112,16 +112,12 @@ class LanguageFilter:
 
 
 def fit(docs: DataFrame, text: str, lang: str, learn: Column, per_language: int = PER_LANGUAGE) -> LanguageFilter:
-    """A filter from the rows where ``learn`` holds and language and text are there: per language the ``per_language``
-    distinct texts with the smallest hashes, of at most ``FIT_BYTES`` bytes. That bound holds at any size of the corpus."""
-    from pyspark.sql import Window
-
+    """A filter from the rows where ``learn`` holds and language and text are there: of each language about
+    ``per_language`` distinct texts, those with the smallest hashes, of at most ``FIT_BYTES`` bytes. The share of the hashes that is taken
+    falls as the corpus grows, so that bound holds at any size."""
     rows = (docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= FIT_BYTES))
             .select(F.col(lang).alias("_l"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t")))
-    w = Window.partitionBy("_l").orderBy("_h")
-    least = (rows.select("_l", "_h").distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language)
-             .groupBy("_l").agg(F.max("_h").alias("_most")))
-    bounds = {r[0]: r[1] for r in least.limit(65).collect()}
+    bounds = {r[0]: smallest_hashes(per_language, r[1]) for r in rows.groupBy("_l").agg(F.approx_count_distinct("_h")).limit(65).collect()}
     chosen = F.lit(False)
     for name, most in bounds.items():
         chosen = chosen | ((F.col("_l") == name) & (F.col("_h") <= most))

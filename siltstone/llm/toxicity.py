@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import small_batches, smallest_hashes, tidy
 from .langid import held_out
 
 #: Rows of the embedding table, numbers in a row, filters of each width, widths in words, letters of a word's beginnings.
@@ -199,18 +199,17 @@ class Scorer:
 
 
 def fit(docs: DataFrame, text: str, key: str, labels: DataFrame, label: str, learn: Column) -> Classifier:
-    """A classifier from the labelled rows where ``learn`` holds: of each label the
-    ``PER_LABEL`` distinct texts with the smallest hashes, at most ``FIT_BYTES`` bytes long;
-    that bound holds at any size of the corpus. Every fourth text calibrates the thresholds.
+    """A classifier from the labelled rows where ``learn`` holds: of each label about
+    ``PER_LABEL`` distinct texts, those with the smallest hashes, at most ``FIT_BYTES`` bytes
+    long; the share taken falls as the corpus grows, so the bound holds at any size. Every fourth text calibrates the thresholds.
     Of several labels of one key the largest counts. Without texts of both labels, the
     classifier scores as it was drawn."""
     told = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
     rows = docs.where(learn & F.col(text).isNotNull() & (F.octet_length(text) <= FIT_BYTES)).select(key, F.xxhash64(text).alias("_h"))
     one = rows.join(told, key).groupBy("_h").agg(F.max("_y").alias("_y"), F.min(key).alias(key))
-    w = Window.partitionBy("_y").orderBy("_h")
-    ranked = one.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(PER_LABEL.values()))
-    chosen = ranked.where(" or ".join(f"(_y = {y} and _n <= {n})" for y, n in PER_LABEL.items()))
-    small = F.broadcast(chosen.select(F.col(key).alias("_k"), "_h", "_y"))  # at most the sum of PER_LABEL rows
+    counts = {r[0]: r[1] for r in one.groupBy("_y").agg(F.count(F.lit(1))).collect()}
+    chosen = one.where(" or ".join(f"(_y = {y} and _h <= {smallest_hashes(n, counts.get(y, 0))})" for y, n in PER_LABEL.items()))
+    small = F.broadcast(chosen.select(F.col(key).alias("_k"), "_h", "_y"))  # about the sum of PER_LABEL rows
     full = docs.join(small, (docs[key] == F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_h")))
     sample = full.groupBy("_h", "_y").agg(F.min(text).alias("_t")).collect()
     sample.sort(key=lambda r: r[0])
