@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -13,23 +15,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """Run a statement over the tables of a folder. Only the tables that the statement names
-    are opened; their names are bound to this statement alone, so that two folders can be
-    queried side by side."""
-    named = {t: table(spark, folder, t) for t in TABLES if t in text}
-    for t in sorted(named, key=len, reverse=True):
-        text = _bind(text, t)
-    return spark.sql(text, **named) if named else spark.sql(text)
-
-
-def _bind(text: str, name: str) -> str:
-    import re
-
-    # a table is named after FROM, JOIN or a comma of a FROM list; its columns never share its name here
-    pattern = rf"(?i)(\b(?:from|join)\s+|,\s*)({name})\b(?!\s*[.(=])(\s+(?:as\s+)?(?!where\b|on\b|join\b|left\b|right\b|inner\b|cross\b|natural\b|group\b|order\b|limit\b|union\b|having\b|using\b|semi\b|anti\b|full\b)(\w+))?"
-
-    def put(m: re.Match) -> str:
-        alias = m.group(4) or name
-        return f"{m.group(1)}{{{name}}} {alias}"
-
-    return re.sub(pattern, put, text)
+    """Run a statement over the tables of a folder. The tables that it names become views; a
+    DataFrame keeps the tables it was made with when the views are put over another folder."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", text):
+            table(spark, folder, name).createOrReplaceTempView(name)
+    return spark.sql(text)

@@ -1,6 +1,575 @@
-"""The registered queries and the SQL that checks them."""
+"""The registered queries and the SQL that checks them: one for each operator and function."""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .catalog import sql, table
+from .functions import aggregate as A
+from .functions import scalar as S
+from .operators import fulltext, profile
+from .plans import quantified, statements
+from .sources import changes as C
+from .sources import files
+from .streaming import changes as stream
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def statement(name: str, text: str, oracle: str | None = None) -> None:
+    """A query that is one statement in both dialects, or one in each."""
+    QUERIES[name] = lambda spark, folder: sql(spark, folder, text)
+    ORACLES[name] = oracle or text
+
+
+def function(name: str, tbl: str, key: str, spark_expr, duck_expr: str, kind: str = "string", where: str = "") -> None:
+    """A scalar function over a column of a table: its key and the value, as one kind on both sides."""
+    duck = {"string": "varchar", "long": "bigint", "double": "double", "date": "date", "timestamp": "timestamp"}[kind]
+    spark_kind = "timestamp_ntz" if kind == "timestamp" else kind
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = table(spark, folder, tbl)
+        rows = rows.where(where) if where else rows
+        value = F.expr(spark_expr) if isinstance(spark_expr, str) else spark_expr()
+        value = F.round(value.cast("double"), 6) if kind == "double" else value.cast(spark_kind)
+        return rows.select(F.col(key).cast("long").alias("k"), value.alias("v"))
+
+    cast = f"round(cast({duck_expr} as double), 6)" if kind == "double" else f"cast({duck_expr} as {duck})"
+    QUERIES[f"fn_{name}"] = run
+    ORACLES[f"fn_{name}"] = f"SELECT cast({key} as bigint) AS k, {cast} AS v FROM {tbl}" + (f" WHERE {where}" if where else "")
+
+
+c = F.col
+
+# -- the flagship, query blocks ----------------------------------------------------------------
+
+statement("q_flagship", """
+SELECT c.c_mktsegment, n.n_name, count(DISTINCT o.o_orderkey) AS orders, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+WHERE l.l_quantity > 10 GROUP BY c.c_mktsegment, n.n_name HAVING count(*) > 5 ORDER BY revenue DESC, c.c_mktsegment, n.n_name LIMIT 50""")
+statement("scan_filter_project", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity >= 30 AND l_discount BETWEEN 0.02 AND 0.05")
+statement("scan_index_order", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey")
+statement("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+statement("having_alias", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+statement("derived_table", "SELECT s, count(*) AS n FROM (SELECT o_custkey, round(sum(o_totalprice) / 100000) AS s FROM orders GROUP BY o_custkey) d GROUP BY s")
+statement("constant_row", "SELECT 1 AS one, 'a' AS a, 8 % 5 AS m")
+statement("where_three_valued", """SELECT d.doc_id, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1 WHEN NOT (l.quality = 1 AND l.toxic = 0) THEN 0 END AS good
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+statement("order_nulls_first", """SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+ORDER BY l.quality ASC NULLS FIRST, d.doc_id LIMIT 500""")
+statement("case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS state FROM orders")
+statement("in_list_between", "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 5, 9) OR p_size BETWEEN 40 AND 45")
+statement("row_values", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('R', 'F'), ('N', 'O'))")
+statement("or_conditions", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity < 3 OR l_tax > 0.07) AND (l_returnflag = 'N' OR l_discount = 0.0)")
+statement("negation", "SELECT p_partkey FROM part WHERE NOT (p_size > 10 AND NOT (p_size > 20 OR p_retailprice < 1000))")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000.0")
+def prepared_statement(spark, folder):
+    table(spark, folder, "orders").createOrReplaceTempView("orders")
+    return statements.prepare(spark, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = ? AND o_totalprice > ?")("F", 200000.0)
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def view_merge(spark, folder):
+    table(spark, folder, "nation").where("n_regionkey = 2").createOrReplaceTempView("v_asia")
+    return spark.sql("SELECT n_nationkey, n_name FROM v_asia")
+
+
+# -- joins and subqueries ----------------------------------------------------------------------
+
+statement("join_inner", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 5000")
+statement("join_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000")
+statement("join_right", "SELECT n.n_name, s.s_suppkey FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000")
+statement("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
+statement("join_natural", "SELECT doc_id, quality, n_chars FROM documents NATURAL JOIN labels")
+statement("join_using", "SELECT doc_id, d.lang, l.toxic FROM documents d JOIN labels l USING (doc_id)")
+statement("join_null_safe", "SELECT a.doc_id, b.doc_id AS other FROM labels a JOIN labels b ON a.doc_id = b.doc_id AND a.quality <=> b.toxic",
+          "SELECT a.doc_id, b.doc_id AS other FROM labels a JOIN labels b ON a.doc_id = b.doc_id AND a.quality IS NOT DISTINCT FROM b.toxic")
+statement("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_name > b.n_name")
+statement("join_straight", "SELECT p.p_partkey, l.l_orderkey FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey WHERE p.p_size = 7")
+statement("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
+statement("semi_exists", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)")
+statement("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+statement("anti_not_in", "SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT l.doc_id FROM labels l WHERE l.doc_id IS NOT NULL)")
+statement("anti_left_null", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL")
+statement("scalar_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
+statement("correlated_scalar", """SELECT o.o_orderkey FROM orders o
+WHERE o.o_totalprice >= (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)""")
+statement("correlated_not_equal", """SELECT n.n_nationkey, x.n FROM nation n, LATERAL (SELECT count(*) AS n FROM nation m WHERE m.n_nationkey < n.n_nationkey) x""")
+statement("row_subquery", """SELECT o_orderkey FROM orders
+WHERE (o_custkey, o_totalprice) IN (SELECT o_custkey, max(o_totalprice) FROM orders GROUP BY o_custkey)""")
+
+
+def _quantified(name: str, op: str, many: str, oracle: str) -> None:
+    choose = quantified.where_all if many == "all" else quantified.where_any
+
+    def run(spark, folder):
+        sub = table(spark, folder, "supplier").where("s_nationkey = 3")
+        return choose(table(spark, folder, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", op, sub, "s_acctbal")
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal {oracle} (SELECT s_acctbal FROM supplier WHERE s_nationkey = 3)"
+
+
+for _op, _word in {"<": "lt", "<=": "le", ">": "gt", ">=": "ge", "=": "eq", "<>": "ne"}.items():
+    _quantified(f"quantified_all_{_word}", _op, "all", f"{_op} ALL")
+    _quantified(f"quantified_any_{_word}", _op, "any", f"{_op} ANY")
+
+# -- aggregates --------------------------------------------------------------------------------
+
+statement("group_by", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+statement("group_by_expression", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)")
+statement("group_by_desc", "SELECT p_size, count(*) AS n FROM part GROUP BY p_size ORDER BY p_size DESC")
+statement("rollup", """SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total
+FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
+statement("aggregate_empty", "SELECT count(*) AS n, min(p_size) AS least, sum(p_size) AS total FROM part WHERE p_size < 0",
+          "SELECT count(*) AS n, min(p_size) AS least, cast(sum(p_size) as bigint) AS total FROM part WHERE p_size < 0")
+statement("min_max_count", "SELECT min(o_orderkey) AS a, max(o_orderkey) AS b, count(*) AS n FROM orders")
+statement("count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
+statement("sum_distinct", "SELECT n_regionkey, sum(DISTINCT n_nationkey) AS s, avg(DISTINCT n_nationkey) AS a FROM nation GROUP BY n_regionkey",
+          "SELECT n_regionkey, cast(sum(DISTINCT n_nationkey) as bigint) AS s, avg(DISTINCT n_nationkey) AS a FROM nation GROUP BY n_regionkey")
+statement("variance", """SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss,
+round(var_pop(l_quantity), 5) AS vp, round(var_samp(l_quantity), 5) AS vs FROM lineitem GROUP BY l_returnflag""")
+statement("loose_index_scan", "SELECT o_custkey, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY o_custkey")
+statement("join_aggregate", """SELECT r.r_name, count(DISTINCT c.c_custkey) AS customers, round(sum(o.o_totalprice), 2) AS total
+FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey
+GROUP BY r.r_name""")
+
+
+@query("SELECT o_orderstatus, left(string_agg(cast(o_custkey as varchar), ',' ORDER BY o_orderkey), 100) AS keys FROM orders GROUP BY o_orderstatus")
+def group_concat(spark, folder):
+    return table(spark, folder, "orders").groupBy("o_orderstatus").agg(A.group_concat(c("o_custkey"), [c("o_orderkey")], max_len=100).alias("keys"))
+
+
+@query("SELECT n_regionkey, string_agg(DISTINCT left(n_name, 1), '|' ORDER BY left(n_name, 1)) AS letters FROM nation GROUP BY n_regionkey")
+def group_concat_distinct(spark, folder):
+    return table(spark, folder, "nation").groupBy("n_regionkey").agg(A.group_concat(F.left("n_name", F.lit(1)), sep="|", distinct=True).alias("letters"))
+
+
+@query("""SELECT p_size % 5 AS g, cast(bit_and(cast(p_partkey as bigint)) as bigint) AS a, cast(bit_or(cast(p_partkey as bigint)) as bigint) AS o,
+cast(bit_xor(cast(p_partkey as bigint)) as bigint) AS x FROM part GROUP BY 1""")
+def bit_aggregates(spark, folder):
+    g = table(spark, folder, "part").groupBy((c("p_size") % 5).alias("g"))
+    return g.agg(*[f(c("p_partkey")).cast("long").alias(n) for n, f in (("a", A.bit_and), ("o", A.bit_or), ("x", A.bit_xor))])
+
+
+@query("SELECT 18446744073709551615::decimal(20,0) AS a, 0::decimal(20,0) AS o FROM region WHERE false UNION ALL SELECT 18446744073709551615::decimal(20,0), 0::decimal(20,0)")
+def bit_aggregates_empty(spark, folder):
+    return table(spark, folder, "part").where("p_size < 0").agg(A.bit_and(c("p_partkey")).alias("a"), A.bit_or(c("p_partkey")).alias("o"))
+
+
+@query("SELECT n_regionkey, cast(round(avg(n_nationkey), 4) as decimal(28,4)) AS mean, cast(sum(n_nationkey) as bigint) AS total FROM nation GROUP BY n_regionkey")
+def exact_mean(spark, folder):
+    return table(spark, folder, "nation").groupBy("n_regionkey").agg(A.avg_exact(c("n_nationkey")).alias("mean"), A.sum_exact(c("n_nationkey")).cast("long").alias("total"))
+
+
+@query("""SELECT 'p_size' AS field_name, cast(min(p_size) as varchar) AS min_value, cast(max(p_size) as varchar) AS max_value, cast(min(length(cast(p_size as varchar))) as int) AS min_length,
+cast(max(length(cast(p_size as varchar))) as int) AS max_length, count(*) FILTER (p_size = 0) AS empties_or_zeros, count(*) FILTER (p_size IS NULL) AS nulls,
+round(avg(p_size), 6) AS avg_value_or_length FROM part
+UNION ALL SELECT 'p_brand', min(p_brand), max(p_brand), cast(min(length(p_brand)) as int), cast(max(length(p_brand)) as int), count(*) FILTER (p_brand = ''), count(*) FILTER (p_brand IS NULL), round(avg(length(p_brand)), 6) FROM part""")
+def procedure_analyse(spark, folder):
+    found = profile.analyse(table(spark, folder, "part").select("p_size", "p_brand"))
+    return found.withColumn("avg_value_or_length", F.round("avg_value_or_length", 6)).drop("std", "distinct_values", "optimal_type")
+
+
+@query("""SELECT 1 AS key_parts, 'l_orderkey' AS prefix, round(count(*) / count(DISTINCT l_orderkey), 6) AS rows_per_key FROM lineitem
+UNION ALL SELECT 2, 'l_orderkey,l_linenumber', round(count(*) / count(DISTINCT (l_orderkey, l_linenumber)), 6) FROM lineitem""")
+def key_cardinality(spark, folder):
+    return profile.cardinality(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"]).withColumn("rows_per_key", F.round("rows_per_key", 6))
+
+
+@query("""SELECT event_type AS digest, count(*) AS statements, round(sum(value), 4) AS sum_seconds, max(value) AS max_seconds, min(value) AS min_seconds, cast(sum(user_id) as bigint) AS sum_rows
+FROM events GROUP BY event_type""")
+def statement_digests(spark, folder):
+    log = table(spark, folder, "events").select(c("event_type").alias("digest"), c("value").alias("seconds"), c("user_id").alias("rows"))
+    return statements.statement_statistics(log).withColumn("sum_seconds", F.round("sum_seconds", 4))
+
+
+@query("""SELECT user_id % 7 AS "table", count(*) FILTER (event_id % 4 = 0) AS "select", count(*) FILTER (event_id % 4 = 1) AS "insert",
+count(*) FILTER (event_id % 4 = 2) AS "update", count(*) FILTER (event_id % 4 = 3) AS "delete" FROM events GROUP BY 1""")
+def table_access(spark, folder):
+    command = F.element_at(F.array(*map(F.lit, ("select", "insert", "update", "delete"))), (c("event_id") % 4 + 1).cast("int"))
+    return statements.table_statistics(table(spark, folder, "events").select((c("user_id") % 7).alias("table"), command.alias("command")))
+
+
+@query("""SELECT event_type, count(*) AS n, round(sum(value), 4) AS sum_wait, min(value) AS min_wait, max(value) AS max_wait, round(avg(value), 6) AS avg_wait FROM events GROUP BY event_type""")
+def wait_events(spark, folder):
+    found = statements.wait_summary(table(spark, folder, "events").withColumn("wait", c("value")), "event_type")
+    return found.withColumn("sum_wait", F.round("sum_wait", 4)).withColumn("avg_wait", F.round("avg_wait", 6))
+
+
+# -- sort, limit, sets -------------------------------------------------------------------------
+
+statement("order_by", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey")
+statement("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+statement("top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
+statement("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+statement("union_all", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_nationkey FROM supplier")
+statement("union_ordered", """(SELECT c_custkey AS k, c_acctbal AS b FROM customer ORDER BY c_acctbal, c_custkey LIMIT 5)
+UNION ALL (SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal, s_suppkey LIMIT 5) ORDER BY b, k LIMIT 7""")
+statement("correlated_rank", "SELECT n_nationkey, rank() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r FROM nation",
+          "SELECT n.n_nationkey, (SELECT count(*) + 1 FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_name < n.n_name) AS r FROM nation n")
+
+
+@query("SELECT o_orderkey, 15 AS x, (SELECT count(*) FROM orders WHERE o_totalprice > 100000) AS found FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 3")
+def found_rows(spark, folder):
+    rows = table(spark, folder, "orders").where("o_totalprice > 100000").orderBy("o_orderkey").select("o_orderkey", F.lit(15).alias("x"))
+    found = statements.calc_found_rows(rows, 3)
+    return found.rows.withColumn("found", F.lit(found.found_rows).cast("long"))
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
+def user_variable(spark, folder):
+    rows = statements.running(table(spark, folder, "orders"), ["o_custkey"], [c("o_orderdate"), c("o_orderkey")], running=c("o_totalprice"))
+    return rows.select("o_orderkey", F.round("running", 2).alias("running"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
+def first_per_group(spark, folder):
+    return profile.first_per_group(table(spark, folder, "orders"), ["o_custkey"], [c("o_totalprice").desc(), c("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+# -- sources and changes -----------------------------------------------------------------------
+
+@query("SELECT c_custkey AS k, c_name AS n FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def merge_table(spark, folder):
+    return files.merge(table(spark, folder, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("n")),
+                       table(spark, folder, "supplier").select(c("s_suppkey").alias("k"), c("s_name").alias("n")))
+
+
+def _handler(name: str, op: str, value, oracle: str) -> None:
+    QUERIES[name] = lambda spark, folder: files.handler_read(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", op, value, 4)
+    ORACLES[name] = f"SELECT o_orderkey, o_custkey FROM orders {oracle} LIMIT 4"
+
+
+_handler("handler_first", "first", None, "ORDER BY o_orderkey")
+_handler("handler_last", "last", None, "ORDER BY o_orderkey DESC")
+_handler("handler_next", "next", 100, "WHERE o_orderkey > 100 ORDER BY o_orderkey")
+_handler("handler_prev", "prev", 100, "WHERE o_orderkey < 100 ORDER BY o_orderkey DESC")
+_handler("handler_equal", "=", 77, "WHERE o_orderkey = 77 ORDER BY o_orderkey")
+statement("key_range_cursor", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 1000 AND 1100 ORDER BY o_orderkey")
+
+
+def _new_customers(spark, folder):
+    rows = table(spark, folder, "customer")
+    return rows.where("c_custkey % 10 = 0").select((c("c_custkey") + F.when(c("c_custkey") % 20 == 0, 10_000_000).otherwise(0)).alias("c_custkey"),
+                                                   F.lit("new").alias("c_name"), "c_nationkey", (c("c_acctbal") + 1).alias("c_acctbal"), "c_mktsegment")
+
+
+_NEW = """new AS (SELECT c_custkey + CASE WHEN c_custkey % 20 = 0 THEN 10000000 ELSE 0 END AS c_custkey, 'new' AS c_name, c_nationkey, c_acctbal + 1 AS c_acctbal, c_mktsegment
+FROM customer WHERE c_custkey % 10 = 0)"""
+
+
+@query(f"WITH {_NEW} SELECT * FROM customer UNION ALL SELECT * FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)")
+def insert_ignore(spark, folder):
+    return C.insert_ignore(table(spark, folder, "customer"), _new_customers(spark, folder), ["c_custkey"])
+
+
+@query(f"WITH {_NEW} SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new) UNION ALL SELECT * FROM new")
+def replace_rows(spark, folder):
+    return C.replace(table(spark, folder, "customer"), _new_customers(spark, folder), ["c_custkey"])
+
+
+@query(f"""WITH {_NEW} SELECT coalesce(t.c_custkey, n.c_custkey) AS c_custkey, coalesce(t.c_name, n.c_name) AS c_name, coalesce(t.c_nationkey, n.c_nationkey) AS c_nationkey,
+CASE WHEN t.c_custkey IS NOT NULL AND n.c_custkey IS NOT NULL THEN t.c_acctbal + n.c_acctbal ELSE coalesce(t.c_acctbal, n.c_acctbal) END AS c_acctbal,
+coalesce(t.c_mktsegment, n.c_mktsegment) AS c_mktsegment FROM customer t FULL JOIN new n ON t.c_custkey = n.c_custkey""")
+def on_duplicate_key_update(spark, folder):
+    return C.on_duplicate_update(table(spark, folder, "customer"), _new_customers(spark, folder), ["c_custkey"], lambda old, new: {"c_acctbal": old("c_acctbal") + new("c_acctbal")})
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 0 ELSE p_size END AS p_size FROM part")
+def update_where(spark, folder):
+    return C.update(table(spark, folder, "part").select("p_partkey", "p_size"), c("p_size") > 40, {"p_size": F.lit(0)})
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40 ORDER BY p_retailprice DESC, p_partkey LIMIT 15) THEN 0 ELSE p_size END AS p_size, p_retailprice FROM part""")
+def update_limit(spark, folder):
+    return C.update(table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice"), c("p_size") > 40, {"p_size": F.lit(0)}, [c("p_retailprice").desc(), c("p_partkey")], 15)
+
+
+@query("SELECT o.o_orderkey, CASE WHEN c.c_custkey IS NOT NULL THEN c.c_mktsegment ELSE o.o_orderstatus END AS o_orderstatus FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal < 0) c ON o.o_custkey = c.c_custkey")
+def update_multi(spark, folder):
+    poor = table(spark, folder, "customer").where("c_acctbal < 0").withColumnRenamed("c_custkey", "o_custkey")
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return C.update_joined(rows, poor, ["o_custkey"], {"o_orderstatus": c("o.c_mktsegment")}).drop("o_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT o_totalprice > 200000")
+def delete_where(spark, folder):
+    return C.delete(table(spark, folder, "orders"), c("o_totalprice") > 200000).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 100)")
+def delete_limit(spark, folder):
+    return C.delete(table(spark, folder, "orders"), c("o_orderstatus") == "F", [c("o_totalprice"), c("o_orderkey")], 100).select("o_orderkey")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT l.doc_id FROM labels l WHERE l.toxic = 1)")
+def delete_multi(spark, folder):
+    return C.delete_joined(table(spark, folder, "documents").select("doc_id"), table(spark, folder, "labels").where("toxic = 1"), ["doc_id"])
+
+
+@query("SELECT o_custkey, count(*) AS rows FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def unique_check(spark, folder):
+    return profile.unique_violations(table(spark, folder, "orders"), ["o_custkey"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
+def foreign_key_check(spark, folder):
+    return profile.foreign_violations(table(spark, folder, "orders"), "o_custkey", table(spark, folder, "customer").where("c_mktsegment <> 'BUILDING'"), "c_custkey").select("o_orderkey")
+
+
+def _partition(name: str, make, oracle: str) -> None:
+    QUERIES[name] = lambda spark, folder: table(spark, folder, "orders").select(make().cast("int").alias("part"), "o_totalprice").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    ORACLES[name] = f"SELECT cast({oracle} as int) AS part, count(*) AS n FROM orders GROUP BY 1"
+
+
+_partition("partition_range", lambda: files.range_partition(c("o_custkey"), [100, 500, None]), "CASE WHEN o_custkey < 100 THEN 0 WHEN o_custkey < 500 THEN 1 ELSE 2 END")
+_partition("partition_range_columns", lambda: files.columns_partition([c("o_orderstatus"), c("o_custkey")], [("F", 700), ("O", None), (None, None)]),
+           "CASE WHEN o_orderstatus < 'F' OR (o_orderstatus = 'F' AND o_custkey < 700) THEN 0 WHEN o_orderstatus <= 'O' THEN 1 ELSE 2 END")
+_partition("partition_list", lambda: files.list_partition(c("o_orderstatus"), [["F", None], ["O", "P"]]), "CASE WHEN o_orderstatus = 'F' OR o_orderstatus IS NULL THEN 0 WHEN o_orderstatus IN ('O', 'P') THEN 1 END")
+_partition("partition_hash", lambda: files.hash_partition(c("o_custkey"), 6), "o_custkey % 6")
+_partition("partition_linear_hash", lambda: files.hash_partition(c("o_custkey"), 6, True), "CASE WHEN (o_custkey & 7) < 6 THEN o_custkey & 7 ELSE o_custkey & 3 END")
+
+
+# -- change streams ----------------------------------------------------------------------------
+
+def _change_log(spark, folder):
+    old = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = old.where("c_custkey % 9 <> 0").withColumn("c_acctbal", F.when(c("c_custkey") % 5 == 0, c("c_acctbal") + 10).otherwise(c("c_acctbal")))
+    new = new.unionByName(old.where("c_custkey % 100 = 0").withColumn("c_custkey", c("c_custkey") + 10_000_000))
+    return old, stream.diff(old, new, ["c_custkey"])
+
+
+_AFTER = """SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 9 <> 0
+UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal FROM customer WHERE c_custkey % 100 = 0"""
+
+
+@query(_AFTER)
+def change_apply(spark, folder):
+    old, log = _change_log(spark, folder)
+    return stream.apply(old, log, ["c_custkey"])
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def flashback(spark, folder):
+    old, log = _change_log(spark, folder)
+    return stream.apply(stream.apply(old, log, ["c_custkey"]), stream.flashback(log), ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query("SELECT CASE WHEN c_custkey % 9 = 0 THEN 'delete' ELSE 'update' END AS op, count(*) AS n FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 5 = 0 GROUP BY 1 UNION ALL SELECT 'insert', count(*) FROM customer WHERE c_custkey % 100 = 0")
+def change_operations(spark, folder):
+    return _change_log(spark, folder)[1].groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND user_id % 3 <> 0")
+def replication_filter(spark, folder):
+    log = table(spark, folder, "events").select("event_id", c("event_type").alias("db"), F.concat(F.lit("t"), c("user_id") % 3).alias("tbl"))
+    return stream.replication_filter(log, do_db=("click",), wild_ignore=("%.t0",)).select("event_id")
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def merge_events(spark, folder):
+    return stream.last_per_key(table(spark, folder, "events").withColumn("seq", c("event_id")), ["user_id"]).select("user_id", "event_id")
+
+
+# -- full text ---------------------------------------------------------------------------------
+
+def _fulltext(name: str, text: str, test: str) -> None:
+    QUERIES[name] = lambda spark, folder: fulltext.boolean(table(spark, folder, "documents"), "doc_id", "text", text).select("doc_id")
+    ORACLES[name] = f"SELECT doc_id FROM documents WHERE {test}"
+
+
+def _has(word: str) -> str:
+    return rf"regexp_matches(lower(text), '(^|[^\pL\pN_''])({word})($|[^\pL\pN_''])')"
+
+
+_fulltext("fulltext_boolean", "+the -idiot", f"{_has('the')} AND NOT {_has('idiot')}")
+_fulltext("fulltext_any", "license apache", f"{_has('license')} OR {_has('apache')}")
+_fulltext("fulltext_prefix", "+licen*", _has(r"licen[\pL\pN_]*"))
+_fulltext("fulltext_phrase", '+"apache license"', _has(r"apache[^\pL\pN_]+license"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([\pL\pN_]+(?:''[\pL\pN_]+)*)')) AS word FROM documents),
+t AS (SELECT doc_id, word, ln(count(*)) + 1 AS local FROM w WHERE length(word) BETWEEN 4 AND 84 GROUP BY 1, 2),
+s AS (SELECT doc_id, sum(local) AS norm, count(*) AS u FROM t GROUP BY 1),
+g AS (SELECT word, greatest(ln(((SELECT count(*) FROM documents) - count(*)) / count(*)), 0) AS weight FROM t WHERE word IN ('license', 'apache', 'idiot') GROUP BY 1)
+SELECT t.doc_id, round(sum(t.local / s.norm * s.u / (1 + 0.0115 * s.u) * g.weight), 6) AS score
+FROM t JOIN s ON t.doc_id = s.doc_id JOIN g ON t.word = g.word GROUP BY t.doc_id HAVING sum(t.local * g.weight) > 0""")
+def fulltext_relevance(spark, folder):
+    return fulltext.relevance(table(spark, folder, "documents"), "doc_id", "text", "Apache license idiot").withColumn("score", F.round("score", 6))
+
+
+@query()
+def fulltext_expansion(spark, folder):
+    return fulltext.expand(table(spark, folder, "documents"), "doc_id", "text", "idiot")
+
+
+# -- scalar functions --------------------------------------------------------------------------
+
+P, O, E, D = ("part", "p_partkey"), ("orders", "o_orderkey"), ("events", "event_id"), ("documents", "doc_id")
+for _args in [
+    ("ascii", *P, "ascii(p_name)", "ascii(p_name)", "long"),
+    ("bin", *P, "bin(p_partkey)", "bin(p_partkey)"),
+    ("char", *P, lambda: S.char_of(65 + c("p_size") % 26, F.lit(66)), "chr(65 + p_size % 26) || 'B'"),
+    ("char_length", *D, "char_length(text)", "length(text)", "long"),
+    ("octet_length", *D, "octet_length(text)", "strlen(text)", "long"),
+    ("bit_length", *D, "bit_length(text)", "strlen(text) * 8", "long"),
+    ("concat", *P, "concat(p_brand, '-', p_type)", "p_brand || '-' || p_type"),
+    ("concat_ws", *P, "concat_ws('/', p_brand, nullif(p_type, p_type), p_name)", "concat_ws('/', p_brand, NULL, p_name)"),
+    ("convert_using", *D, lambda: S.convert_using(F.left("text", F.lit(40)), "ascii"), r"regexp_replace(left(text, 40), '[^\x00-\x7f]', '?', 'g')"),
+    ("elt", *P, lambda: S.elt(c("p_size") % 5, c("p_brand"), c("p_type"), c("p_name")), "CASE p_size % 5 WHEN 1 THEN p_brand WHEN 2 THEN p_type WHEN 3 THEN p_name END"),
+    ("export_set", *P, lambda: S.export_set(c("p_size"), F.lit("Y"), F.lit("N"), ",", 4), "concat_ws(',', " + ", ".join(f"CASE WHEN (p_size >> {i}) & 1 = 1 THEN 'Y' ELSE 'N' END" for i in range(4)) + ")"),
+    ("field", *P, lambda: S.field(c("p_size"), F.lit(3), F.lit(9), F.lit(27)), "CASE p_size WHEN 3 THEN 1 WHEN 9 THEN 2 WHEN 27 THEN 3 ELSE 0 END", "long"),
+    ("find_in_set", *O, lambda: S.find_in_set(c("o_orderstatus"), F.lit("P,F,O")), "CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 WHEN 'O' THEN 3 ELSE 0 END", "long"),
+    ("format", *O, "format_number(o_totalprice, 2)", "format('{:,.2f}', o_totalprice)"),
+    ("hex_number", *P, lambda: S.hex_(c("p_partkey"), True), "hex(p_partkey)"),
+    ("hex_text", *P, lambda: S.hex_(c("p_brand"), False), "hex(p_brand)"),
+    ("unhex", *P, "cast(unhex(hex(p_brand)) as string)", "cast(decode(unhex(hex(p_brand))) as varchar)"),
+    ("insert", *P, lambda: S.insert(c("p_name"), F.lit(3), F.lit(2), F.lit("##")), "CASE WHEN length(p_name) < 3 THEN p_name ELSE left(p_name, 2) || '##' || substr(p_name, 5) END"),
+    ("instr", *P, "instr(p_name, 'a')", "instr(p_name, 'a')", "long"),
+    ("lower", *P, "lower(p_type)", "lower(p_type)"),
+    ("upper", *P, "upper(p_name)", "upper(p_name)"),
+    ("left", *P, "left(p_name, 3)", "left(p_name, 3)"),
+    ("right", *P, "right(p_name, 3)", "right(p_name, 3)"),
+    ("locate", *P, "locate('a', p_name, 3)", "CASE WHEN instr(substr(p_name, 3), 'a') > 0 THEN instr(substr(p_name, 3), 'a') + 2 ELSE 0 END", "long"),
+    ("lpad", *P, "lpad(p_brand, 12, '*')", "lpad(p_brand, 12, '*')"),
+    ("rpad", *P, "rpad(p_brand, 4, '*')", "rpad(p_brand, 4, '*')"),
+    ("trim", *P, "trim(concat('  ', p_brand, ' '))", "trim('  ' || p_brand || ' ')"),
+    ("ltrim", *P, "ltrim(concat('  ', p_brand, ' '))", "ltrim('  ' || p_brand || ' ')"),
+    ("rtrim", *P, "rtrim(concat('  ', p_brand, ' '))", "rtrim('  ' || p_brand || ' ')"),
+    ("trim_whole", *P, lambda: S.trim_whole(F.concat(F.lit("abab"), c("p_brand"), F.lit("ab")), "ab"), "p_brand"),
+    ("make_set", *P, lambda: S.make_set(c("p_size"), F.lit("a"), F.lit("b"), F.lit("c")), "concat_ws(',', CASE WHEN p_size & 1 > 0 THEN 'a' END, CASE WHEN p_size & 2 > 0 THEN 'b' END, CASE WHEN p_size & 4 > 0 THEN 'c' END)"),
+    ("substring", *P, lambda: S.mid(c("p_name"), F.lit(2), F.lit(3)), "substr(p_name, 2, 3)"),
+    ("substring_negative", *P, lambda: S.mid(c("p_name"), F.lit(-3)), "right(p_name, 3)"),
+    ("ord", *D, lambda: S.ord_(c("text")), "CASE WHEN ascii(text) < 128 THEN ascii(text) WHEN ascii(text) < 2048 THEN (192 + (ascii(text) >> 6)) * 256 + 128 + (ascii(text) & 63) ELSE ((224 + (ascii(text) >> 12)) * 256 + 128 + ((ascii(text) >> 6) & 63)) * 256 + 128 + (ascii(text) & 63) END", "long"),
+    ("quote", *P, lambda: S.quote(c("p_name")), "'''' || replace(replace(p_name, '\\', '\\\\'), '''', '\\''') || ''''"),
+    ("repeat", *P, "repeat(p_brand, 2)", "repeat(p_brand, 2)"),
+    ("replace", *P, "replace(p_type, 'E', '3')", "replace(p_type, 'E', '3')"),
+    ("reverse", *P, "reverse(p_name)", "reverse(p_name)"),
+    ("space", *P, "concat('[', space(p_size % 4), ']')", "'[' || repeat(' ', p_size % 4) || ']'"),
+    ("strcmp", *P, lambda: S.strcmp(c("p_name"), c("p_type")), "CASE WHEN p_name < p_type THEN -1 WHEN p_name = p_type THEN 0 ELSE 1 END", "long"),
+    ("substring_index", *D, "substring_index(text, ' ', 2)", "array_to_string(string_split(text, ' ')[1:2], ' ')"),
+    ("like", *P, lambda: S.like(c("p_name"), "%A%"), "CASE WHEN p_name ILIKE '%A%' THEN 1 ELSE 0 END", "long"),
+    ("like_binary", *P, lambda: S.like(c("p_name"), "%a_%", binary=True), "CASE WHEN p_name LIKE '%a_%' THEN 1 ELSE 0 END", "long"),
+    ("regexp", *P, lambda: S.regexp(c("p_type"), "^[[:alpha:]]+ "), "CASE WHEN regexp_matches(p_type, '^[A-Za-z]+ ') THEN 1 ELSE 0 END", "long"),
+    ("collate_equal", *P, lambda: S.equal_text(c("p_brand"), F.concat(F.upper("p_brand"), F.lit("  "))), "1", "long"),
+    ("number_prefix", *P, lambda: S.number_prefix(F.concat("p_size", F.lit("abc"))), "p_size", "double"),
+    ("divide", *P, lambda: S.divide(c("p_partkey"), c("p_size")), "round(p_partkey / p_size, 4)", "double"),
+    ("divide_by_zero", *P, lambda: S.divide(c("p_partkey"), c("p_size") * 0), "NULL", "double"),
+    ("div", *P, lambda: S.int_divide(c("p_partkey"), c("p_size")), "p_partkey // p_size", "long"),
+    ("mod", *P, lambda: S.modulo(-c("p_partkey"), c("p_size")), "-p_partkey % p_size", "long"),
+    ("abs", *P, "abs(p_size - 25)", "abs(p_size - 25)", "long"),
+    ("ceiling", *P, "ceiling(p_retailprice)", "ceil(p_retailprice)", "long"),
+    ("floor", *P, "floor(-p_retailprice)", "floor(-p_retailprice)", "long"),
+    ("round", *P, "round(cast(p_size as decimal(10,2)) / 7, 2)", "round(cast(p_size as decimal(10,2)) / 7, 2)", "double"),
+    ("truncate", *P, lambda: S.truncate(-c("p_retailprice"), 1), "trunc(-p_retailprice * 10) / 10", "double"),
+    ("degrees", *P, "degrees(p_size)", "degrees(p_size)", "double"),
+    ("radians", *P, "radians(p_size)", "radians(p_size)", "double"),
+    ("pow", *P, "pow(p_size, 2)", "pow(p_size, 2)", "double"),
+    ("sign", *P, "sign(p_size - 25)", "sign(p_size - 25)", "long"),
+    ("sqrt", *P, "sqrt(p_size)", "sqrt(p_size)", "double"),
+    ("exp", *P, "exp(p_size / 10)", "exp(p_size / 10)", "double"),
+    ("ln", *P, "ln(p_size)", "ln(p_size)", "double"),
+    ("log2", *P, "log2(p_size)", "log2(p_size)", "double"),
+    ("log10", *P, "log10(p_size)", "log10(p_size)", "double"),
+    ("trigonometry", *P, "sin(p_size) + cos(p_size) + tan(p_size / 100) + cot(p_size / 40)", "sin(p_size) + cos(p_size) + tan(p_size / 100) + cot(p_size / 40)", "double"),
+    ("arc", *P, "acos(p_size / 100) + asin(p_size / 100) + atan(p_size) + atan2(p_size, 3)", "acos(p_size / 100) + asin(p_size / 100) + atan(p_size) + atan2(p_size, 3)", "double"),
+    ("pi", *P, "pi() * p_size", "pi() * p_size", "double"),
+    ("conv", *P, "conv(p_partkey, 10, 16)", "hex(p_partkey)"),
+    ("oct", *P, "conv(p_partkey % 8, 10, 8)", "p_partkey % 8"),
+    ("bit_and", *P, lambda: S.bit_and(c("p_partkey"), F.lit(12)), "p_partkey & 12", "long"),
+    ("bit_or", *P, lambda: S.bit_or(-c("p_size"), F.lit(0)), "18446744073709551616 - p_size"),
+    ("bit_xor", *P, lambda: S.bit_xor(c("p_partkey"), c("p_size")), "xor(p_partkey, cast(p_size as bigint))", "long"),
+    ("bit_not", *P, lambda: S.bit_not(c("p_size")), "18446744073709551615 - p_size"),
+    ("shift_left", *P, lambda: S.shift_left(c("p_size"), 20), "p_size * 1048576", "long"),
+    ("shift_left_64", *P, lambda: S.shift_left(c("p_size"), 64), "0", "long"),
+    ("shift_right", *P, lambda: S.shift_right(c("p_partkey"), 3), "p_partkey // 8", "long"),
+    ("bit_count", *P, "bit_count(p_partkey)", "bit_count(p_partkey)", "long"),
+    ("clamp_int", *P, lambda: S.clamp_int(c("p_retailprice"), -128, 127), "least(round(p_retailprice), 127)", "long"),
+    ("date", *O, "to_date(o_orderdate)", "cast(o_orderdate as date)", "date"),
+    ("date_add_day", *O, lambda: S.add_interval(c("o_orderdate"), F.lit(1), "day"), "o_orderdate + INTERVAL 1 DAY", "timestamp"),
+    ("date_add_month", *O, lambda: S.add_interval(c("o_orderdate"), F.lit(1), "month"), "o_orderdate + INTERVAL 1 MONTH", "timestamp"),
+    ("date_add_year", *O, lambda: S.add_interval(c("o_orderdate"), F.lit(-1), "year"), "o_orderdate - INTERVAL 1 YEAR", "timestamp"),
+    ("date_add_week", *O, lambda: S.add_interval(c("o_orderdate"), F.lit(1), "week"), "o_orderdate + INTERVAL 7 DAY", "timestamp"),
+    ("date_add_hour", *E, lambda: S.add_interval(c("ts"), F.lit(5), "hour"), "ts + INTERVAL 5 HOUR", "timestamp"),
+    ("date_out_of_range", *O, lambda: S.add_interval(c("o_orderdate"), F.lit(8100), "year"), "NULL", "timestamp"),
+    ("date_format", *O, lambda: S.date_format(c("o_orderdate"), "%Y/%m/%d %W %M %j"), "strftime(o_orderdate, '%Y/%m/%d %A %B %j')"),
+    ("dayname", *O, lambda: S.date_format(c("o_orderdate"), "%W"), "dayname(o_orderdate)"),
+    ("monthname", *O, lambda: S.date_format(c("o_orderdate"), "%M"), "monthname(o_orderdate)"),
+    ("dayofweek", *O, "dayofweek(o_orderdate)", "dayofweek(o_orderdate) + 1", "long"),
+    ("weekday", *O, "weekday(o_orderdate)", "isodow(o_orderdate) - 1", "long"),
+    ("dayofyear", *O, "dayofyear(o_orderdate)", "dayofyear(o_orderdate)", "long"),
+    ("year_month_day", *O, "year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate)", "year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate)", "long"),
+    ("quarter", *O, "quarter(o_orderdate)", "quarter(o_orderdate)", "long"),
+    ("hour_minute_second", *E, "hour(ts) * 10000 + minute(ts) * 100 + second(ts)", "hour(ts) * 10000 + minute(ts) * 100 + second(ts)", "long"),
+    ("last_day", *O, "last_day(o_orderdate)", "last_day(o_orderdate)", "date"),
+    ("week_mode_3", *O, lambda: S.week(F.to_date("o_orderdate"), 3), "weekofyear(o_orderdate)", "long"),
+    ("week_mode_0", *O, lambda: S.week(F.to_date("o_orderdate"), 0), "cast(strftime(o_orderdate, '%U') as int)", "long"),
+    ("week_mode_5", *O, lambda: S.week(F.to_date("o_orderdate"), 5), "cast(strftime(o_orderdate, '%W') as int)", "long"),
+    ("yearweek", *O, lambda: S.yearweek(F.to_date("o_orderdate"), 3), "isoyear(o_orderdate) * 100 + weekofyear(o_orderdate)", "long"),
+    ("unix_timestamp", *E, "unix_timestamp(ts)", "floor(epoch(ts))", "long"),
+    ("from_unixtime", *E, "cast(from_unixtime(1000000000 + event_id) as string)", "strftime(make_timestamp((1000000000 + event_id) * 1000000), '%Y-%m-%d %H:%M:%S')"),
+    ("to_days", *O, lambda: S.to_days(F.to_date("o_orderdate")), "date_diff('day', DATE '1970-01-01', cast(o_orderdate as date)) + 719528", "long"),
+    ("from_days", *O, lambda: S.from_days(c("o_orderkey") % 1000 + 730000), "DATE '1970-01-01' + cast(o_orderkey % 1000 + 730000 - 719528 as int)", "date"),
+    ("sec_to_time", *P, lambda: S.sec_to_time(c("p_partkey") * 61), "printf('%02d:%02d:%02d', p_partkey * 61 // 3600, p_partkey * 61 // 60 % 60, p_partkey * 61 % 60)"),
+    ("time_to_sec", *P, lambda: S.time_of(F.concat(c("p_size"), F.lit(":30:15"))), "p_size * 3600 + 1815", "long"),
+    ("timestampdiff", *O, "timestampdiff(DAY, o_orderdate, timestamp'2000-01-01 00:00:00')", "date_diff('day', o_orderdate, TIMESTAMP '2000-01-01')", "long"),
+    ("datediff", *O, "datediff(o_orderdate, date'1995-01-01')", "date_diff('day', DATE '1995-01-01', cast(o_orderdate as date))", "long"),
+    ("makedate", *P, "date_add(make_date(2000, 1, 1), p_size - 1)", "DATE '2000-01-01' + (p_size - 1)", "date"),
+    ("period_add", *P, lambda: S.period_add(F.lit(199811), c("p_size")), "(1998 * 12 + 10 + p_size) // 12 * 100 + (1998 * 12 + 10 + p_size) % 12 + 1", "long"),
+    ("period_diff", *P, lambda: S.period_diff(199801 + c("p_size") % 12, F.lit(9701)), "12 + p_size % 12", "long"),
+    ("if", *P, "if(p_size > 25, 'big', 'small')", "CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END"),
+    ("ifnull_coalesce", *P, "ifnull(nullif(p_size, 7), -1) + coalesce(nullif(p_size, 8), -2)", "coalesce(nullif(p_size, 7), -1) + coalesce(nullif(p_size, 8), -2)", "long"),
+    ("greatest", *P, lambda: S.greatest(c("p_size"), F.lit(25)), "greatest(p_size, 25)", "long"),
+    ("least_null", *P, lambda: S.least(c("p_size"), F.expr("nullif(p_size, p_size)")), "NULL", "long"),
+    ("is_unknown", *P, lambda: S.truth(F.expr("nullif(p_size, 7)"), "not true"), "CASE WHEN p_size = 7 THEN 1 ELSE 0 END", "long"),
+    ("interval", *P, lambda: S.interval_index(c("p_size"), F.lit(10), F.lit(20), F.lit(30)), "CASE WHEN p_size < 10 THEN 0 WHEN p_size < 20 THEN 1 WHEN p_size < 30 THEN 2 ELSE 3 END", "long"),
+    ("xor", *P, lambda: S.xor((c("p_size") > 10).cast("int"), (c("p_size") > 20).cast("int")), "CASE WHEN (p_size > 10) <> (p_size > 20) THEN 1 ELSE 0 END", "long"),
+    ("cast_signed", *P, "try_cast(concat(p_size, '') as bigint)", "p_size", "long"),
+    ("cast_decimal", *P, "cast(p_retailprice as decimal(12,1))", "cast(p_retailprice as decimal(12,1))", "double"),
+    ("cast_invalid", *P, "try_cast(p_name as date)", "try_cast(p_name as date)", "date"),
+    ("md5", *P, "md5(p_name)", "md5(p_name)"),
+    ("sha1", *P, "sha1(p_name)", "sha1(p_name)"),
+    ("sha2", *P, "sha2(p_name, 256)", "sha256(p_name)"),
+    ("crc32_roundtrip", *P, "crc32(p_name) - crc32(p_name)", "0", "long"),
+    ("compress", *P, lambda: S.uncompress(S.compress(c("p_name"))), "p_name"),
+    ("uncompressed_length", *P, lambda: S.uncompressed_length(S.compress(c("p_name"))), "strlen(p_name)", "long"),
+    ("aes", *P, lambda: S.aes_decrypt(S.aes_encrypt(c("p_name"), "a key longer than sixteen bytes"), "a key longer than sixteen bytes"), "p_name"),
+    ("inet_aton", *P, lambda: S.inet_aton(F.concat(F.lit("10.0."), c("p_size"), F.lit(".7"))), "167772160 + p_size * 256 + 7", "long"),
+    ("inet_ntoa", *P, lambda: S.inet_ntoa(167772160 + c("p_size") * 256 + 7), "'10.0.' || p_size || '.7'"),
+    ("name_const", *P, "p_size * 0 + 14", "14", "long"),
+    ("extractvalue", *P, lambda: S.extract_value(F.concat(F.lit("<a><b>"), c("p_size"), F.lit("</b></a>")), "/a/b"), "p_size"),
+    ("updatexml", *P, lambda: S.update_xml(F.concat(F.lit("<a><b>"), c("p_size"), F.lit("</b></a>")), "/a/b", "<c>1</c>"), "'<a><c>1</c></a>'"),
+    ("geometry_x", *P, lambda: S.x_of(S.geometry(F.concat(F.lit("POINT("), c("p_size"), F.lit(" 4)")))), "p_size", "double"),
+    ("geometry_text", *P, lambda: S.point_text(S.geometry(F.concat(F.lit("point("), c("p_size"), F.lit(" 4.5)")))), "'POINT(' || p_size || ' 4.5)'"),
+    ("geometry_intersects", *P, lambda: S.mbr_intersects(S.geometry(F.concat(F.lit("POINT("), c("p_size"), F.lit(" 4)"))), S.geometry(F.lit("LINESTRING(10 0,20 9)"))), "CASE WHEN p_size BETWEEN 10 AND 20 THEN 1 ELSE 0 END", "long"),
+    ("set_position", *P, lambda: S.find_in_set(F.elt(c("p_size") % 3 + 1, F.lit("a"), F.lit("b"), F.lit("c")), F.lit("c,b,a")), "3 - p_size % 3", "long"),
+    ("year_two_digits", *P, lambda: S.year_of_two_digits(c("p_size") + 40), "CASE WHEN p_size + 40 < 70 THEN p_size + 2040 ELSE p_size + 1940 END", "long"),
+]:
+    function(*_args)
+
+
+def _check_names() -> None:
+    for name in QUERIES:
+        if not re.fullmatch(r"\w+", name):
+            raise ValueError(name)
+
+
+_check_names()
