@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from .common import input_bytes, pieces, stored, tidy
 
 #: BM25's constants, documents of a block, bytes of text of a shard, queries of a block.
-K1, B, BLOCK, SHARD, QUERIES = 1.2, 0.75, 64, 1 << 26, 4096
+K1, B, BLOCK, SHARD, QUERIES = 1.2, 0.75, 64, 3 << 23, 4096
 #: A term in more than this part of a shard's documents is kept as a full row of impacts.
-DENSE = 0.05
+DENSE = 0.1
 #: Decimals that scores are rounded to, so that ties don't depend on the order of a sum.
 DECIMALS = 9
 _SPACED = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256))
@@ -53,15 +53,18 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str | None], mean: float):
         hashes = _Hashes()
-        every = [terms(t, hashes) for t in texts]
-        self.ids, self.n = ids, len(ids)
-        length = np.array([len(t) for t in every], np.float64)
-        parts = [np.unique(t, return_counts=True) for t in every]
+        length, parts = np.zeros(self.n), []
+        for i, t in enumerate(texts):
+            found = terms(t, hashes)
+            length[i] = len(found)
+            parts.append(np.unique(found, return_counts=True))
         term = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
-        tf = np.concatenate([np.zeros(0), *(p[1] for p in parts)])
-        doc = np.repeat(np.arange(self.n), [len(p[0]) for p in parts])
+        tf = np.concatenate([np.zeros(0, np.int32), *(p[1].astype(np.int32) for p in parts)])
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(p[0]) for p in parts])
+        del parts, hashes
         order = np.argsort(term, kind="stable")
         term, tf, self.doc = term[order], tf[order].astype(float), doc[order]
+        del order, doc
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean)) if mean else tf
         starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
         self.terms, self.starts = term[starts], np.r_[starts, len(term)]
@@ -144,12 +147,15 @@ def _count(buckets: int):
 
     def rows(batch: pa.RecordBatch, hashes: _Hashes, held: list) -> list[tuple]:
         out = []
+        length = 0
         for text, query in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = np.unique(terms(text, hashes))
+            found = terms(text, hashes)
+            length += len(found)
+            found = np.unique(found)
             held.append(found)
             if query is not None:
                 out += [(b, query, True, found[pick].tobytes(), None) for b, pick in dealt(found)]
-        return out
+        return [*out, (-1, length, False, None, None)]  # the words of these texts
 
     def flush(held: list) -> list[tuple]:
         found, df = np.unique(np.concatenate(held), return_counts=True)
@@ -202,9 +208,9 @@ def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, s
     total = input_bytes(base, "_text")
     shards, buckets = pieces(total, shard_bytes, 6), pieces(total, 1 << 25, 6)
     counted = stored(base.select("_text", F.when(F.col("_asks"), F.col("_id")).alias("_query")).mapInArrow(_count(buckets), _COUNTED), "counts")
-    answers = stored(counted.groupBy("_bucket").applyInArrow(_answer, _QUERY), "queries")
-    size = F.size(F.filter(F.split(F.regexp_replace(F.lower("_text"), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "), " "), lambda w: w != ""))
-    n, mean = base.agg(F.count(F.lit(1)), F.avg(F.when(F.col("_text").isNull(), 0).otherwise(size))).first()
+    answers = stored(counted.where("_bucket >= 0").groupBy("_bucket").applyInArrow(_answer, _QUERY), "queries")
+    n = base.count()
+    mean = (counted.where("_bucket = -1").agg(F.sum("_query")).first()[0] or 0) / max(1, n)
     asked = answers.select("_query").distinct().count()
     blocks = max(1, -(-asked // queries))
     sharded = base.select("_id", "_text", F.pmod(F.xxhash64("_id", "_text"), F.lit(shards)).cast("int").alias("_shard"),
