@@ -3,8 +3,8 @@
 Documents are dealt into shards. A shard's index keeps, per term, the documents and their
 impacts, and the largest impact in each block of documents. For a query the block maxima of
 its terms are summed: as in WAND, a block whose sum cannot beat the k-th score found so far
-is skipped whole, and blocks are visited in the order of their sums, so that the threshold
-rises early. Every shard uses the statistics of the whole corpus, so the shards' lists are on
+is skipped whole; the blocks of the largest sums are scored first and set the threshold. Like
+documents lie side by side, so that a block's maxima are close to what its documents reach. Every shard uses the statistics of the whole corpus, so the shards' lists are on
 one scale and their merge is exact.
 
 Queries are a stated set. They go to the shards in blocks of ``QUERIES``; what a task holds is
@@ -28,7 +28,9 @@ from .common import input_bytes, pieces, stored, tidy
 #: BM25's constants, documents of a block, bytes of text of a shard, queries of a block.
 K1, B, BLOCK, SHARD, QUERIES = 1.2, 0.75, 64, 3 << 23, 4096
 #: A term in more than this part of a shard's documents is kept as a full row of impacts.
-DENSE = 0.1
+DENSE = 0.05
+#: Blocks that set a query's threshold, and queries that are worked on together.
+FIRST, TOGETHER = 4, 256
 #: Decimals that scores are rounded to, so that ties don't depend on the order of a sum.
 DECIMALS = 9
 _SPACED = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256))
@@ -53,7 +55,7 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str | None], mean: float):
         hashes = _Hashes()
-        self.ids, self.n = ids, len(ids)
+        self.n = len(ids)
         length, parts = np.zeros(self.n), []
         for i, t in enumerate(texts):
             found = terms(t, hashes)
@@ -61,9 +63,15 @@ class Index:
             parts.append(np.unique(found, return_counts=True))
         term = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
         tf = np.concatenate([np.zeros(0, np.int32), *(p[1].astype(np.int32) for p in parts)])
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(p[0]) for p in parts])
+        # like documents side by side: those of one most frequent word, by length; a block's maxima are then close to its documents'
+        alike = np.array([p[0][p[1].argmax()] if len(p[0]) else 0 for p in parts], np.uint64)
+        placed = np.lexsort((length, alike))
+        self.ids, length = [ids[i] for i in placed], length[placed]
+        place = np.empty(self.n, np.int32)
+        place[placed] = np.arange(self.n, dtype=np.int32)
+        doc = np.repeat(place, [len(p[0]) for p in parts])
         del parts, hashes
-        order = np.argsort(term, kind="stable")
+        order = np.lexsort((doc, term))
         term, tf, self.doc = term[order], tf[order].astype(float), doc[order]
         del order, doc
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean)) if mean else tf
@@ -77,7 +85,8 @@ class Index:
         self.most_block = key[heads] % max(1, self.blocks)
         self.most_starts = np.searchsorted(heads, self.starts)
         common = np.flatnonzero(np.diff(self.starts) > DENSE * self.n)
-        self.dense = {int(t): i for i, t in enumerate(common)}
+        self.row_of = np.full(len(starts) + 1, -1)
+        self.row_of[common] = np.arange(len(common))
         self.rows, self.row_most = np.zeros((len(common), self.n)), np.zeros((len(common), self.blocks))
         for i, t in enumerate(common):
             a, z = self.starts[t], self.starts[t + 1]
@@ -85,46 +94,50 @@ class Index:
             a, z = self.most_starts[t], self.most_starts[t + 1]
             self.row_most[i, self.most_block[a:z]] = self.most[a:z]
 
-    def search(self, query: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, object]]:
-        """The k best (score, id) with a term of the query; ties by id, ids that are None last."""
-        where = np.searchsorted(self.terms, query)
-        where[where == len(self.terms)] = 0
-        known = self.terms[where] == query if len(self.terms) else np.zeros(len(query), bool)
-        where, weights = where[known], weights[known]
-        if not len(where):
-            return []
-        full = np.array([self.dense.get(t, -1) for t in where.tolist()])
-        row, row_weight = full[full >= 0], weights[full >= 0]
-        rare, rare_weight = where[full < 0], weights[full < 0]
-        bound = row_weight @ self.row_most[row] if len(row) else np.zeros(self.blocks)
-        counts = (self.most_starts[rare + 1] - self.most_starts[rare])
-        at = _runs(self.most_starts[rare], counts)
-        bound = bound + np.bincount(self.most_block[at], self.most[at] * np.repeat(rare_weight, counts), self.blocks)
-        counts = self.starts[rare + 1] - self.starts[rare]
-        at = _runs(self.starts[rare], counts)
-        sparse = np.bincount(self.doc[at], self.impact[at] * np.repeat(rare_weight, counts), self.n)
-        order = np.argsort(-bound, kind="stable")
-        scores, least, i, step = np.zeros(0), -1.0, 0, 4
-        docs = np.zeros(0, np.int64)
-        while i < len(order) and bound[order[i]] > 0:
-            visit = order[i:i + step]
-            if least >= 0:  # blocks that cannot reach the k-th score are skipped, with all that follow
-                visit = visit[bound[visit] >= least - 1e-6]
-            if not len(visit):
-                break
-            new = (visit[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            new = new[new < self.n]
-            got = sparse[new] + (row_weight @ self.rows[np.ix_(row, new)] if len(row) else 0)
-            docs, scores = np.concatenate([docs, new]), np.concatenate([scores, got])
-            if len(scores) > k:
-                least = np.partition(scores, -k)[-k]
-                keep = scores >= least - 1e-6
-                docs, scores = docs[keep], scores[keep]
-            i += step
-            step *= 2
-        scores = np.round(scores, DECIMALS)
-        found = [(float(s), self.ids[d]) for s, d in zip(scores, docs) if s > 0]
-        return sorted(found, key=lambda x: (-x[0], x[1] is None, x[1]))[:k]
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, object]]]:
+        """For each query, terms and their weights, the k best (score, id) with one of its terms; ties by id, ids that
+        are None last."""
+        full, bound, scores = np.zeros((len(queries), len(self.rows))), np.zeros((len(queries), self.blocks)), np.zeros((len(queries), self.n))
+        for q, (query, weights) in enumerate(queries):
+            where = np.searchsorted(self.terms, query)
+            where[where == len(self.terms)] = 0
+            known = self.terms[where] == query if len(self.terms) else np.zeros(len(query), bool)
+            where, weights = where[known], weights[known]
+            row = self.row_of[where]
+            full[q, row[row >= 0]] = weights[row >= 0]
+            rare, weights = where[row < 0], weights[row < 0]
+            counts = self.most_starts[rare + 1] - self.most_starts[rare]
+            at = _runs(self.most_starts[rare], counts)
+            bound[q] = np.bincount(self.most_block[at], self.most[at] * np.repeat(weights, counts), self.blocks)
+            counts = self.starts[rare + 1] - self.starts[rare]
+            at = _runs(self.starts[rare], counts)
+            scores[q] = np.bincount(self.doc[at], self.impact[at] * np.repeat(weights, counts), self.n)
+        bound += full @ self.row_most
+        visited = np.zeros(bound.shape, bool)
+        if self.blocks:  # the blocks of the largest bounds set each query's threshold; what cannot reach it is skipped
+            np.put_along_axis(visited, np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST], True, 1)
+            self._score(visited, full, scores)
+            seen = np.where(np.repeat(visited, BLOCK, axis=1)[:, :self.n], scores, -1.0)
+            least = np.partition(seen, -min(k, self.n), axis=1)[:, -min(k, self.n)]
+            further = ~visited & (bound > 0) & (bound >= least[:, None] - 1e-6)
+            self._score(further, full, scores)
+            visited |= further
+        out = []
+        for q in range(len(queries)):
+            docs = np.flatnonzero(np.repeat(visited[q], BLOCK)[:self.n])
+            found = np.round(scores[q, docs], DECIMALS)
+            if len(found) > k:
+                best = found >= np.partition(found, -k)[-k]
+                docs, found = docs[best], found[best]
+            hits = [(float(x), self.ids[d]) for x, d in zip(found, docs) if x > 0]
+            out.append(sorted(hits, key=lambda h: (-h[0], h[1] is None, h[1]))[:k])
+        return out
+
+    def _score(self, visit: np.ndarray, full: np.ndarray, scores: np.ndarray) -> None:
+        """Add the common terms' part to the scores of the blocks that each query visits."""
+        for b in np.flatnonzero(visit.any(0)):
+            mine, docs = np.flatnonzero(visit[:, b]), slice(b * BLOCK, min(self.n, (b + 1) * BLOCK))
+            scores[mine, docs] += full[mine] @ self.rows[:, docs]
 
 
 def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -229,10 +242,15 @@ def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, s
                 mine = by.setdefault(q, ([], []))
                 mine[0].append(np.frombuffer(t, np.uint64))
                 mine[1].append(np.frombuffer(d, np.int64))
-            for q, (t, d) in by.items():
-                term, first = np.unique(np.concatenate(t), return_index=True)
-                df = np.concatenate(d)[first]
-                hits += [(q, i, s) for s, i in index.search(term, np.log1p((n - df + 0.5) / (df + 0.5)), k)]
+            names = list(by)
+            for start in range(0, len(names), TOGETHER):
+                some, queries = names[start:start + TOGETHER], []
+                for q in some:
+                    term, first = np.unique(np.concatenate(by[q][0]), return_index=True)
+                    df = np.concatenate(by[q][1])[first]
+                    queries.append((term, np.log1p((n - df + 0.5) / (df + 0.5))))
+                for q, best in zip(some, index.search(queries, k), strict=True):
+                    hits += [(q, i, x) for x, i in best]
         columns = zip(*hits, strict=True) if hits else ([], [], [])
         return pa.table([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=_HITS.names)
 
