@@ -205,7 +205,7 @@ def _answer(table: pa.Table) -> pa.Table:
     df = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zlib.decompress(r["_df"]), "<i8") for r in told)])
     known, where = np.unique(term, return_inverse=True)
     total = np.bincount(where, df, len(known)).astype(np.int64)
-    found = [total[np.searchsorted(known, np.frombuffer(r["_terms"], np.uint64))].tobytes() for r in asks]
+    found = [zlib.compress(total[np.searchsorted(known, np.frombuffer(r["_terms"], np.uint64))].astype("<i8").tobytes(), 1) for r in asks]
     return pa.table([pa.array([r["_query"] for r in asks], pa.int64()), pa.array([r["_terms"] for r in asks], pa.binary()), pa.array(found, pa.binary())], names=_QUERY.names)
 
 
@@ -241,7 +241,7 @@ def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, s
             for q, t, d in zip(asks.column("_query").to_pylist(), asks.column("_terms").to_pylist(), asks.column("_df").to_pylist(), strict=True):
                 mine = by.setdefault(q, ([], []))
                 mine[0].append(np.frombuffer(t, np.uint64))
-                mine[1].append(np.frombuffer(d, np.int64))
+                mine[1].append(np.frombuffer(zlib.decompress(d), "<i8"))
             names = list(by)
             for start in range(0, len(names), TOGETHER):
                 some, queries = names[start:start + TOGETHER], []
