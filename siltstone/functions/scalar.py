@@ -207,7 +207,7 @@ def truncate(x: Column, d: int) -> Column:
 
 def clamp_int(x: Column, low: int, high: int) -> Column:
     """A decimal stored in a whole-number column: rounded half away from zero, kept in range."""
-    return F.least(F.greatest(F.round(x.cast("decimal(38,6)")), F.lit(low)), F.lit(high)).cast("decimal(20,0)")
+    return F.when(x.isNotNull(), F.least(F.greatest(F.round(x.cast("decimal(38,6)")), F.lit(low)), F.lit(high))).cast("decimal(20,0)")
 
 
 def greatest(*xs: Column) -> Column:
@@ -331,11 +331,11 @@ def time_of(text: Column) -> Column:
     m = F.regexp_extract(text, r"^-?(\d+):[0-5]\d:[0-5]\d$", 1)
     part = F.split(F.regexp_replace(text, "^-", ""), ":")
     seconds = F.when(m != "", F.get(part, F.lit(0)).try_cast("long") * 3600 + F.get(part, F.lit(1)).try_cast("long") * 60 + F.get(part, F.lit(2)).try_cast("long"))
-    return F.least(seconds, F.lit(838 * 3600 + 3599)) * F.when(text.startswith("-"), -1).otherwise(1)
+    return F.when(seconds.isNotNull(), F.least(seconds, F.lit(838 * 3600 + 3599)) * F.when(text.startswith("-"), -1).otherwise(1))
 
 
 def sec_to_time(n: Column) -> Column:
-    n = F.greatest(F.least(n, F.lit(838 * 3600 + 3599)), F.lit(-838 * 3600 - 3599)).cast("long")
+    n = F.when(n.isNotNull(), F.greatest(F.least(n, F.lit(838 * 3600 + 3599)), F.lit(-838 * 3600 - 3599))).cast("long")
     a = F.abs(n)
     return F.concat(F.when(n < 0, "-").otherwise(""), F.lpad(_text(F.floor(a / 3600)), F.greatest(F.lit(2), F.length(_text(F.floor(a / 3600)))), F.lit("0")),
                     F.lit(":"), F.lpad(_text(F.floor(a / 60) % 60), 2, "0"), F.lit(":"), F.lpad(_text(a % 60), 2, "0"))

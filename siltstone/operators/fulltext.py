@@ -40,7 +40,13 @@ def relevance(df: DataFrame, key: str, text: str, query: str, stopwords: tuple[s
     listed = df.select(F.col(key), F.filter(words(F.col(text), shortest), lambda w: ~w.isin(list(stopwords)) if stopwords else F.lit(True)).alias("_w"))
     distinct = F.array_distinct("_w")
     tf = lambda w: F.size(F.filter("_w", lambda x: x == w))
-    norm = F.aggregate(distinct, F.lit(0.0), lambda a, w: a + F.log(tf(w).cast("double")) + 1.0)
+    # equal words side by side: one pass gives the sum over the words of ln tf + 1
+    run_end = lambda s: F.when(s["run"] > 0, F.log(s["run"].cast("double")) + 1.0).otherwise(0.0)
+    norm = F.aggregate(
+        F.array_sort("_w"), F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("sum")),
+        lambda s, w: F.struct(w.alias("word"), F.when(w == s["word"], s["run"] + 1).otherwise(1).alias("run"),
+                              F.when(w == s["word"], s["sum"]).otherwise(s["sum"] + run_end(s)).alias("sum")),
+        lambda s: s["sum"] + run_end(s))
     hits = F.filter(F.array(*[F.struct(F.lit(w).alias("word"), tf(F.lit(w)).alias("tf")) for w in wanted]), lambda s: s["tf"] > 0)
     rows = listed.select(key, F.size(distinct).alias("_u"), hits.alias("_h"), F.when(F.size(hits) > 0, norm).alias("_norm"))
     counts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.exists("_h", _is(w))).alias(f"_d{i}") for i, w in enumerate(wanted)])

@@ -65,7 +65,7 @@ def wait_summary(waits: DataFrame, *by: str) -> DataFrame:
 
 def check_join_size(df: DataFrame, most: int) -> DataFrame:
     """The DataFrame, unless Spark expects it to read more than ``most`` bytes."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > most:
         raise ValueError(f"the plan reads about {size} bytes, more than {most}")
     return df
