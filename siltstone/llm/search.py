@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import input_bytes, pieces, stored, tidy
 
 #: BM25's constants, documents of a block, bytes of text of a shard, queries of a block.
-K1, B, BLOCK, SHARD, QUERIES = 1.2, 0.75, 64, 3 << 23, 4096
+K1, B, BLOCK, SHARD, QUERIES = 1.2, 0.75, 64, 5 << 23, 4096
 #: A term in more than this part of a shard's documents is kept as a full row of impacts.
 DENSE = 0.05
 #: Blocks that set a query's threshold, and queries that are worked on together.
@@ -205,10 +205,19 @@ def _answer(table: pa.Table) -> pa.Table:
     df = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zlib.decompress(r["_df"]), "<i8") for r in told)])
     known, where = np.unique(term, return_inverse=True)
     total = np.bincount(where, df, len(known)).astype(np.int64)
-    found = [zlib.compress(total[np.searchsorted(known, np.frombuffer(r["_terms"], np.uint64))].astype("<i8").tobytes(), 1) for r in asks]
+    found = [total[np.searchsorted(known, np.frombuffer(r["_terms"], np.uint64))].tobytes() for r in asks]
     return pa.table([pa.array([r["_query"] for r in asks], pa.int64()), pa.array([r["_terms"] for r in asks], pa.binary()), pa.array(found, pa.binary())], names=_QUERY.names)
 
 
+def _whole(table: pa.Table) -> pa.Table:
+    """The terms of one query, from all buckets, and their counts."""
+    term, first = np.unique(np.frombuffer(b"".join(table.column("_terms").to_pylist()), np.uint64), return_index=True)
+    df = np.frombuffer(b"".join(table.column("_df").to_pylist()), np.int64)[first]
+    planes = np.ascontiguousarray(df.astype("<i8")).view(np.uint8).reshape(-1, 8).T
+    packed = zlib.compress(np.ascontiguousarray(planes).tobytes(), 6)
+    return pa.table([pa.array([table.column("_query")[0].as_py()], pa.int64()), pa.array([term.tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=_QUERY.names)
+
+
 _HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
@@ -222,10 +231,11 @@ def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, s
     total = input_bytes(base, "_text")
     shards, buckets = pieces(total, shard_bytes, 6), pieces(total, 1 << 25, 6)
     counted = stored(base.select("_text", F.when(F.col("_asks"), F.col("_id")).alias("_query")).mapInArrow(_count(buckets), _COUNTED), "counts")
-    answers = stored(counted.where("_bucket >= 0").groupBy("_bucket").applyInArrow(_answer, _QUERY), "queries")
+    answers = counted.where("_bucket >= 0").groupBy("_bucket").applyInArrow(_answer, _QUERY)
+    answers = stored(answers.groupBy("_query").applyInArrow(_whole, _QUERY), "queries")
     n = base.count()
     mean = (counted.where("_bucket = -1").agg(F.sum("_query")).first()[0] or 0) / max(1, n)
-    asked = answers.select("_query").distinct().count()
+    asked = answers.count()
     blocks = max(1, -(-asked // queries))
     sharded = base.select("_id", "_text", F.pmod(F.xxhash64("_id", "_text"), F.lit(shards)).cast("int").alias("_shard"),
                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
@@ -237,19 +247,13 @@ def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, s
         tidy()
         if rows.num_rows and asks.num_rows:
             index = Index(rows.column("_id").to_pylist(), rows.column("_text").to_pylist(), float(mean or 0))
-            by: dict[int, tuple[list, list]] = {}
-            for q, t, d in zip(asks.column("_query").to_pylist(), asks.column("_terms").to_pylist(), asks.column("_df").to_pylist(), strict=True):
-                mine = by.setdefault(q, ([], []))
-                mine[0].append(np.frombuffer(t, np.uint64))
-                mine[1].append(np.frombuffer(zlib.decompress(d), "<i8"))
-            names = list(by)
-            for start in range(0, len(names), TOGETHER):
-                some, queries = names[start:start + TOGETHER], []
-                for q in some:
-                    term, first = np.unique(np.concatenate(by[q][0]), return_index=True)
-                    df = np.concatenate(by[q][1])[first]
-                    queries.append((term, np.log1p((n - df + 0.5) / (df + 0.5))))
-                for q, best in zip(some, index.search(queries, k), strict=True):
+            for start in range(0, asks.num_rows, TOGETHER):
+                some, queries = asks.slice(start, TOGETHER), []
+                for terms_, counts in zip(some.column("_terms").to_pylist(), some.column("_df").to_pylist(), strict=True):
+                    planes = np.frombuffer(zlib.decompress(counts), np.uint8).reshape(8, -1)
+                    df = np.ascontiguousarray(planes.T).view("<i8").ravel()
+                    queries.append((np.frombuffer(terms_, np.uint64), np.log1p((n - df + 0.5) / (df + 0.5))))
+                for q, best in zip(some.column("_query").to_pylist(), index.search(queries, k), strict=True):
                     hits += [(q, i, x) for x, i in best]
         columns = zip(*hits, strict=True) if hits else ([], [], [])
         return pa.table([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=_HITS.names)
