@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, input_bytes, pieces, tidy
+from .common import MOST_PARTITIONS, bucketed, input_bytes, pieces, tidy
 
 #: Bytes of text that share a dictionary.
 CHUNK = 1 << 24
@@ -212,7 +212,7 @@ def encode(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, ou
     # a chunk comes from one task, so the texts can be laid out by chunk where they are
     split = bucketed(docs.mapInArrow(run, schema), "_chunk", 2 * buckets, "pretokens", deal=False)
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary, whatever the corpus
-    words = split.where("_packed is not null").select(_WORDS.names).repartition(buckets, "_bucket").sortWithinPartitions("_bucket")
+    words = split.where("_packed is not null").select(_WORDS.names).repartition(min(buckets, MOST_PARTITIONS), "_bucket").sortWithinPartitions("_bucket")
     ids = words.mapInArrow(_encode_words(shared, pattern), _IDS)
     texts = split.where("_numbers is not null").select(*[f.name for f in rest], "_numbers", "_chunk")
     result = T.StructType([*rest, T.StructField(out, T.ArrayType(T.IntegerType()))])

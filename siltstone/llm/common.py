@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SCRATCH: list[str] = []
+#: Partitions of a shuffle and files of a bucketed table at most; only the layout depends on it.
+MOST_PARTITIONS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +64,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str, deal: bool = True
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"siltstone_{name}_{uuid.uuid4().hex}"
+    buckets = min(buckets, MOST_PARTITIONS)  # groups of a key share a bucket's file where there are more of them
     ((df.repartition(buckets, key) if deal else df).write.bucketBy(buckets, key).sortBy(key)
        .option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table))
     return spark.table(table)

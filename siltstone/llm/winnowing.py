@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import input_bytes, pieces
+from .common import MOST_PARTITIONS, input_bytes, pieces
 
 #: Words of a k-gram, hashes of a window.
 K, WINDOW = 5, 4
@@ -91,7 +91,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], derived: dict[str,
     its own bucket and texts are shuffled once. ``derived`` adds columns worked out after that
     shuffle; they can be among ``columns``.
     """
-    parts = pieces(input_bytes(docs, text), each)
+    parts = min(pieces(input_bytes(docs, text), each), MOST_PARTITIONS // 8)  # the bounds are part of the plan
     buckets = 8 * parts  # several to a partition, for an even load
     bounds = docs.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
     bounds = sorted(set(bounds))
