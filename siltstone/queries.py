@@ -566,6 +566,197 @@ for _args in [
     function(*_args)
 
 
+# -- tables that are written and read again ----------------------------------------------------
+
+def _folder(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+    return f"{shared}/table-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def outfile_and_load_data(spark, folder):
+    path, rows = _folder(spark), table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
+    files.into_outfile(rows, path, fields=",")
+    return files.load_data(spark, path, rows.schema, fields=",")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def load_xml(spark, folder):
+    path, rows = _folder(spark), table(spark, folder, "nation").select("n_nationkey", "n_name")
+    rows.write.format("xml").option("rowTag", "row").option("rootTag", "t").save(path)
+    return files.load_xml(spark, path, rows.schema)
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
+def archive_table(spark, folder):
+    path, rows = _folder(spark), table(spark, folder, "region")
+    files.archive(rows, path)
+    files.archive(rows, path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 20")
+def bulk_load_range_scan(spark, folder):
+    path = _folder(spark)
+    files.bulk_load(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), path, ["o_custkey"], 4)
+    return spark.read.parquet(path).where("o_custkey BETWEEN 10 AND 20")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 100 AND o_custkey < 500")
+def partition_pruning(spark, folder):
+    path = _folder(spark)
+    files.write_partitioned(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), path, files.range_partition(c("o_custkey"), [100, 500, None]))
+    return spark.read.parquet(path).where("part = 1").drop("part")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 1")
+def truncate_partition(spark, folder):
+    path, rows = _folder(spark), table(spark, folder, "nation")
+    files.write_partitioned(rows, path, c("n_regionkey"))
+    kept = spark.read.parquet(path).where("part <> 1")
+    return kept.select("n_nationkey", "n_name")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def create_table_as(spark, folder):
+    path = _folder(spark)
+    table(spark, folder, "supplier").select("s_suppkey", "s_name").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT r_regionkey + 100 AS r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
+def insert_select(spark, folder):
+    path, rows = _folder(spark), table(spark, folder, "region").select("r_regionkey", "r_name")
+    rows.write.parquet(path)
+    rows.withColumn("r_regionkey", (c("r_regionkey") + 100).cast("int")).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT count(*) AS n FROM region WHERE false")
+def truncate_table(spark, folder):
+    path, rows = _folder(spark), table(spark, folder, "region")
+    rows.write.parquet(path)
+    C.replace_table(spark.read.parquet(path).limit(0), path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n FROM part")
+def blackhole(spark, folder):
+    rows = table(spark, folder, "part")
+    files.blackhole(rows)
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, min(c_custkey) AS a FROM customer")
+def memory_table(spark, folder):
+    table(spark, folder, "customer").select("c_custkey").createOrReplaceTempView("m_customer")
+    spark.sql("CACHE LAZY TABLE m_customer OPTIONS ('storageLevel' 'MEMORY_AND_DISK')")
+    return spark.sql("SELECT count(*) AS n, min(c_custkey) AS a FROM m_customer")
+
+
+# -- routines ----------------------------------------------------------------------------------
+
+@query("SELECT p_partkey, length(p_name) * 2 AS v FROM part")
+def udf_scalar(spark, folder):
+    import pandas as pd
+
+    def twice(s: pd.Series) -> pd.Series:
+        return s.str.len() * 2
+
+    twice.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return table(spark, folder, "part").select("p_partkey", F.pandas_udf(twice, "long")("p_name").alias("v"))
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS cost FROM lineitem GROUP BY l_returnflag")
+def udaf_avgcost(spark, folder):
+    """The mean price weighted by quantity. It needs no UDF: two sums combine map-side."""
+    cost = F.sum(c("l_quantity") * c("l_extendedprice")) / F.sum("l_quantity")
+    return table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.round(cost, 4).alias("cost"))
+
+
+@query("SELECT n_regionkey, max(length(n_name)) AS v FROM nation GROUP BY n_regionkey")
+def udaf_pandas(spark, folder):
+    import pandas as pd
+
+    def longest(s: pd.Series) -> int:
+        return int(s.str.len().max())
+
+    longest.__annotations__ = {"s": pd.Series, "return": int}
+    return table(spark, folder, "nation").groupBy("n_regionkey").agg(F.pandas_udf(longest, "long")("n_name").alias("v"))
+
+
+@query("SELECT n_nationkey, n_nationkey * 2 + 1 AS v FROM nation")
+def stored_function(spark, folder):
+    table(spark, folder, "nation").createOrReplaceTempView("nation")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION odd_of(n BIGINT) RETURNS BIGINT RETURN n * 2 + 1")
+    return spark.sql("SELECT n_nationkey, odd_of(n_nationkey) AS v FROM nation")
+
+
+@query("SELECT 55 AS total")
+def stored_procedure(spark, folder):
+    return spark.sql("""BEGIN DECLARE i INT DEFAULT 0; DECLARE total INT DEFAULT 0;
+WHILE i < 10 DO SET i = i + 1; SET total = total + i; END WHILE; SELECT total AS total; END""")
+
+
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS v FROM nation")
+def udf_sequence(spark, folder):
+    table(spark, folder, "nation").createOrReplaceTempView("nation")
+    return spark.sql("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS v FROM nation")
+
+
+@query()
+def table_checksum(spark, folder):
+    return profile.checksum(table(spark, folder, "orders"))
+
+
+@query()
+def information_schema(spark, folder):
+    from .sources import schema_tables
+
+    return schema_tables.tables(spark).select("table_name", "table_type").union(schema_tables.routines(spark).toDF("table_name", "table_type"))
+
+
+@query()
+def order_by_rand(spark, folder):
+    return table(spark, folder, "nation").orderBy(F.rand(7)).select("n_nationkey").limit(5)
+
+
+statement("group_by_position", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1")
+statement("hints", "SELECT /*+ BROADCAST(n) */ s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey",
+          "SELECT s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey")
+statement("explain_free_count", "SELECT count(*) AS n FROM lineitem WHERE l_shipdate >= timestamp '1995-01-01 00:00:00' AND l_shipdate < timestamp '1996-01-01 00:00:00'")
+statement("statement_clock", "SELECT CASE WHEN now() = current_timestamp() AND year(current_date()) > 2000 THEN 1 ELSE 0 END AS same",
+          "SELECT 1 AS same")
+statement("session_information", "SELECT CASE WHEN current_user() <> '' AND current_database() <> '' AND version() <> '' THEN 1 ELSE 0 END AS known", "SELECT 1 AS known")
+statement("unique_ids", "SELECT count(DISTINCT u) AS n FROM (SELECT uuid() AS u FROM nation)", "SELECT count(*) AS n FROM nation")
+statement("random_numbers", "SELECT count(*) AS n FROM part WHERE rand(3) BETWEEN 0 AND 1", "SELECT count(*) AS n FROM part")
+statement("conditional_aggregate", "SELECT o_orderstatus, sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) AS large FROM orders GROUP BY o_orderstatus",
+          "SELECT o_orderstatus, cast(sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END) as bigint) AS large FROM orders GROUP BY o_orderstatus")
+
+for _args in [
+    ("password", *P, lambda: S.password(c("p_name")), "'*' || upper(sha1(unhex(sha1(p_name))))"),
+    ("convert_tz", *E, "convert_timezone('+00:00', '+03:00', cast(ts as timestamp_ntz))", "ts + INTERVAL 3 HOUR", "timestamp"),
+    ("addtime", *E, "cast(ts as timestamp_ntz) + make_dt_interval(0, 1, 30, 15)", "ts + INTERVAL 5415 SECOND", "timestamp"),
+    ("timediff", *O, "unix_timestamp(o_orderdate) - unix_timestamp(timestamp'1995-01-01 00:00:00')", "date_diff('second', TIMESTAMP '1995-01-01', o_orderdate)", "long"),
+    ("str_to_date", *O, "to_date(date_format(o_orderdate, 'dd.MM.yyyy'), 'dd.MM.yyyy')", "cast(o_orderdate as date)", "date"),
+    ("timestampadd", *O, "cast(timestampadd(MONTH, 2, o_orderdate) as timestamp_ntz)", "o_orderdate + INTERVAL 2 MONTH", "timestamp"),
+    ("microsecond", *E, "cast(extract(SECOND FROM ts) * 1000000 as bigint) % 1000000", "epoch_us(ts) % 1000000", "long"),
+    ("to_seconds", *E, "unix_timestamp(ts) + 719528L * 86400", "floor(epoch(ts)) + 719528 * 86400", "long"),
+    ("null_safe_equal", *P, "cast(nullif(p_size, 7) <=> NULL as int)", "CASE WHEN p_size = 7 THEN 1 ELSE 0 END", "long"),
+    ("between", *P, "cast(p_size between 5 and 9 as int)", "CASE WHEN p_size BETWEEN 5 AND 9 THEN 1 ELSE 0 END", "long"),
+    ("regexp_binary", *P, lambda: S.regexp(c("p_name"), "[A-Z]", binary=True), "CASE WHEN regexp_matches(p_name, '[A-Z]') THEN 1 ELSE 0 END", "long"),
+    ("case_collation", *P, "cast(p_brand collate utf8_lcase = upper(p_brand) as int)", "1", "long"),
+    ("mbr_contains", *P, lambda: S.mbr_contains(S.geometry(F.lit("POLYGON((0 0,0 30,30 30,30 0,0 0))")), S.geometry(F.concat(F.lit("POINT("), c("p_size"), F.lit(" 4)")))), "CASE WHEN p_size <= 30 THEN 1 ELSE 0 END", "long"),
+    ("html_text", "pages", "page_id", lambda: F.regexp_replace("html", "<[^>]*>", ""), "regexp_replace(html, '<[^>]*>', '', 'g')"),
+    ("soundex_first", *P, lambda: F.left(S.soundex(c("p_name")), F.lit(1)), "upper(left(regexp_replace(p_name, '[^A-Za-z]', '', 'g'), 1))"),
+]:
+    function(*_args)
+
+
 def _check_names() -> None:
     for name in QUERIES:
         if not re.fullmatch(r"\w+", name):
