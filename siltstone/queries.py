@@ -745,7 +745,7 @@ for _args in [
     ("str_to_date", *O, "to_date(date_format(o_orderdate, 'dd.MM.yyyy'), 'dd.MM.yyyy')", "cast(o_orderdate as date)", "date"),
     ("timestampadd", *O, "cast(timestampadd(MONTH, 2, o_orderdate) as timestamp_ntz)", "o_orderdate + INTERVAL 2 MONTH", "timestamp"),
     ("microsecond", *E, "cast(extract(SECOND FROM ts) * 1000000 as bigint) % 1000000", "epoch_us(ts) % 1000000", "long"),
-    ("to_seconds", *E, "unix_timestamp(ts) + 719528L * 86400", "floor(epoch(ts)) + 719528 * 86400", "long"),
+    ("to_seconds", *E, "unix_timestamp(ts) + 719528L * 86400", "floor(epoch(ts)) + 719528::bigint * 86400", "long"),
     ("null_safe_equal", *P, "cast(nullif(p_size, 7) <=> NULL as int)", "CASE WHEN p_size = 7 THEN 1 ELSE 0 END", "long"),
     ("between", *P, "cast(p_size between 5 and 9 as int)", "CASE WHEN p_size BETWEEN 5 AND 9 THEN 1 ELSE 0 END", "long"),
     ("regexp_binary", *P, lambda: S.regexp(c("p_name"), "[A-Z]", binary=True), "CASE WHEN regexp_matches(p_name, '[A-Z]') THEN 1 ELSE 0 END", "long"),
