@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MOST_PARTITIONS, bucketed, input_bytes, pieces, tidy
+from .common import MOST_PARTITIONS, bucketed, input_bytes, of_groups, pieces, tidy
 
 #: Bytes of text that share a dictionary.
 CHUNK = 1 << 24
@@ -157,6 +157,8 @@ def _encode_words(ranks, pattern: str):
                      pa.array([pack(np.array(counts, np.uint32)) + pack(np.array(ids, np.uint32))], pa.binary()),
                      pa.array([len(pack(np.array(counts, np.uint32)))], pa.int32())],
                     names=["_chunk", "_bucket", "_places", "_ids", "_cut"])
+        known.clear()
+        tidy()
 
     return run
 
@@ -187,7 +189,6 @@ def _reassemble(names: list[str], out: str):
         for blob in docs.column("_numbers").to_pylist():
             numbers = unpack(blob)
             found.append(_gather(value, start_of[numbers], count_of[numbers]).astype(np.int32))
-        tidy()
         offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
         return pa.table([*(docs.column(n) for n in names), lists], names=[*names, out])
@@ -216,7 +217,7 @@ def encode(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, ou
     ids = words.mapInArrow(_encode_words(shared, pattern), _IDS)
     texts = split.where("_numbers is not null").select(*[f.name for f in rest], "_numbers", "_chunk")
     result = T.StructType([*rest, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return texts.groupBy("_chunk").cogroup(ids.groupBy("_chunk")).applyInArrow(_reassemble([f.name for f in rest], out), result)
+    return texts.groupBy("_chunk").cogroup(ids.groupBy("_chunk")).applyInArrow(of_groups(_reassemble([f.name for f in rest], out)), result)
 
 
 def decode_ids(ids: list[int], table: dict[int, bytes]) -> bytes:
@@ -237,6 +238,7 @@ def decode(docs: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "decod
                 part = batch.slice(i, 256)
                 found = [None if x is None else decode_ids(x, shared.value) for x in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=schema.names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
@@ -249,6 +251,7 @@ def with_digest(docs: DataFrame, ids: str, out: str) -> DataFrame:
         for batch in batches:
             found = [hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() if x.is_valid else None for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=schema.names)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 

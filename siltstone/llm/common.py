@@ -42,6 +42,26 @@ def tidy() -> None:
         pass
 
 
+def of_group(f):
+    """A function of one group that leaves nothing behind in its worker but what it returns."""
+    def run(table):
+        out = f(table)
+        tidy()
+        return out
+
+    return run
+
+
+def of_groups(f):
+    """As ``of_group``, for two groups of one key."""
+    def run(left, right):
+        out = f(left, right)
+        tidy()
+        return out
+
+    return run
+
+
 def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path in the shared folder; ``clear_scratch`` deletes it unless it is to be kept."""
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"

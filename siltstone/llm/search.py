@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, pieces, stored, tidy
+from .common import input_bytes, of_group, of_groups, pieces, stored, tidy
 
 #: BM25's constants, documents of a block, bytes of text of a shard, queries of a block.
 K1, B, BLOCK, SHARD, QUERIES = 1.2, 0.75, 64, 5 << 23, 4096
@@ -188,6 +188,7 @@ def _count(buckets: int):
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), _kinds(), strict=True)], names=_COUNTED.names)
         if held and (out := flush(held)):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), _kinds(), strict=True)], names=_COUNTED.names)
+        tidy()
 
     return run
 
@@ -231,7 +232,7 @@ def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, s
     total = input_bytes(base, "_text")
     shards, buckets = pieces(total, shard_bytes, 6), pieces(total, 1 << 25, 6)
     counted = stored(base.select("_text", F.when(F.col("_asks"), F.col("_id")).alias("_query")).mapInArrow(_count(buckets), _COUNTED), "counts")
-    answers = counted.where("_bucket >= 0").groupBy("_bucket").applyInArrow(_answer, _QUERY)
+    answers = counted.where("_bucket >= 0").groupBy("_bucket").applyInArrow(of_group(_answer), _QUERY)
     answers = stored(answers.groupBy("_query").applyInArrow(_whole, _QUERY), "queries")
     n = base.count()
     mean = (counted.where("_bucket = -1").agg(F.sum("_query")).first()[0] or 0) / max(1, n)
@@ -244,7 +245,6 @@ def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, s
 
     def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
         hits: list[tuple] = []
-        tidy()
         if rows.num_rows and asks.num_rows:
             index = Index(rows.column("_id").to_pylist(), rows.column("_text").to_pylist(), float(mean or 0))
             for start in range(0, asks.num_rows, TOGETHER):
@@ -258,7 +258,7 @@ def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, s
         columns = zip(*hits, strict=True) if hits else ([], [], [])
         return pa.table([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=_HITS.names)
 
-    found = sharded.groupBy("_shard", "_block").cogroup(sent.groupBy("_shard", "_block")).applyInArrow(run, _HITS)
+    found = sharded.groupBy("_shard", "_block").cogroup(sent.groupBy("_shard", "_block")).applyInArrow(of_groups(run), _HITS)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

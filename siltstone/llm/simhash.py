@@ -171,6 +171,7 @@ def fingerprints(docs: DataFrame, text: str, width: int, scheme: Scheme = EXACT,
                 found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", width, scheme.lanes) for x in part.column(place)]
                 fps = np.frombuffer(b"".join(found), np.uint64).reshape(-1, scheme.lanes)
                 yield pa.RecordBatch.from_arrays([*part.columns, _binary(fps), pa.array(scheme.node(fps).view(np.int64))], names=schema.names)
+        tidy()
 
     return carried.mapInArrow(run, schema).withColumn(text, F.col(text).cast("string"))
 
@@ -191,6 +192,7 @@ def _index(scheme: Scheme):
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 yield pa.RecordBatch.from_arrays(_entries(_fps(batch.column(0).slice(i, 1000), scheme.lanes), names, scheme.base), names=_ENTRY.names)
+        tidy()
 
     return run
 

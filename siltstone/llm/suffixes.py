@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, input_bytes, pieces, stored, tidy
+from .common import bucketed, input_bytes, of_group, of_groups, pieces, stored
 
 #: Bytes of a string, of the strings whose hashes make anchors; bytes of text of a part; suffixes of a batch.
 LENGTH, GRAM, PART, BATCH = 50, 20, 1 << 23, 1 << 16
@@ -221,8 +221,7 @@ def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
 
 def _send_anchors(key: str, text: str, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        tidy()
-        part, p = table.column("_part")[0].as_py(), Part(table, key, text, buckets)
+            part, p = table.column("_part")[0].as_py(), Part(table, key, text, buckets)
         rows = [(part, b, (p.hash[pick] // np.uint64(buckets)).astype("<u4").tobytes(), p.digest[pick].astype("<u8").tobytes(),
                  _pack(np.diff(p.keys[p.doc[pick]], prepend=0))) for b, pick in p.dealt()]
         return _table(rows, _SENT)
@@ -231,7 +230,6 @@ def _send_anchors(key: str, text: str, buckets: int):
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    tidy()
     rows = sorted(table.to_pylist(), key=lambda r: r["_part"])
     group = np.concatenate([np.frombuffer(r["_hash"], "<u4") for r in rows])
     digest = np.concatenate([np.frombuffer(r["_digest"], "<u8") for r in rows])
@@ -250,8 +248,7 @@ def _send_contexts(key: str, text: str, buckets: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([], _SENT)
-        tidy()
-        part, p = table.column("_part")[0].as_py(), Part(table, key, text, buckets)
+            part, p = table.column("_part")[0].as_py(), Part(table, key, text, buckets)
         flags, rows = p.flags(_by_bucket(replies)), []
         for b, pick in p.asked(flags):
             contexts = p.contexts(pick)
@@ -273,7 +270,6 @@ def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _look_up(table: pa.Table) -> pa.Table:
-    tidy()
     rows = sorted(table.to_pylist(), key=lambda r: r["_part"])
     keys, docs, counts = [], [], []
     for r in rows:
@@ -303,8 +299,7 @@ def _cut(key: str, text: str, buckets: int, names: list[str], result: T.StructTy
         kinds = to_arrow_schema(result)
         if not table.num_rows:
             return pa.table([pa.array([], k.type) for k in kinds], schema=kinds)
-        tidy()
-        p = Part(table, key, text, buckets)
+            p = Part(table, key, text, buckets)
         flags, bits = p.flags(_by_bucket(settled)), _by_bucket(looked)
         whole = np.flatnonzero(flags == 1)
         docs, starts, ends = [p.doc[whole]], [p.first[whole]], [p.last[whole] + LENGTH]
@@ -359,10 +354,10 @@ def remove_repeats(docs: DataFrame, key: str, text: str, part: int = PART) -> Da
     laid = laid.withColumn("_rid", F.xxhash64(key, "_text")).withColumn("_part", F.pmod("_rid", F.lit(parts)).cast("int"))
     laid = bucketed(laid, "_part", parts, "texts")
     anchored = laid.select(key, "_text", "_rid", "_part")
-    sent = anchored.groupBy("_part").applyInArrow(_send_anchors(key, "_text", buckets), _SENT)
-    settled = stored(sent.groupBy("_bucket").applyInArrow(_settle, _REPLY), "settled")
-    asked = anchored.groupBy("_part").cogroup(settled.groupBy("_part")).applyInArrow(_send_contexts(key, "_text", buckets), _SENT)
-    looked = asked.groupBy("_bucket").applyInArrow(_look_up, _REPLY)
+    sent = anchored.groupBy("_part").applyInArrow(of_group(_send_anchors(key, "_text", buckets)), _SENT)
+    settled = stored(sent.groupBy("_bucket").applyInArrow(of_group(_settle), _REPLY), "settled")
+    asked = anchored.groupBy("_part").cogroup(settled.groupBy("_part")).applyInArrow(of_groups(_send_contexts(key, "_text", buckets)), _SENT)
+    looked = asked.groupBy("_bucket").applyInArrow(of_group(_look_up), _REPLY)
     replies = stored(settled.withColumn("_late", F.lit(False)).unionByName(looked.withColumn("_late", F.lit(True))), "replies")
     result = T.StructType([*(laid.schema[n] for n in names), T.StructField("kept", T.BinaryType()),
                            *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))])
@@ -372,7 +367,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str, part: int = PART) -> Da
         late = both.column("_late").to_numpy(zero_copy_only=False).astype(bool) if both.num_rows else np.zeros(0, bool)
         return cut(table, both.filter(pa.array(~late)), both.filter(pa.array(late)))
 
-    return laid.groupBy("_part").cogroup(replies.groupBy("_part")).applyInArrow(run, result)
+    return laid.groupBy("_part").cogroup(replies.groupBy("_part")).applyInArrow(of_groups(run), result)
 
 
 def whole_characters(kept: Column) -> Column:
