@@ -224,33 +224,26 @@ def decode_ids(ids: list[int], table: dict[int, bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 
 
-def decode(docs: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "decoded", digest: str | None = None) -> DataFrame:
     """``docs`` with the bytes of each list of ids: a join of the table of the tokens' bytes,
-    which every task holds (it is the vocabulary, whatever the corpus). A null list gives null,
-    an unknown id is an error. Every row and other column stays; a column ``out`` is replaced."""
-    docs = docs.drop(out)
+    which every task holds (it is the vocabulary, whatever the corpus). With ``digest``, also
+    the SHA-256 of the ids as little-endian unsigned 32-bit numbers. A null list gives nulls,
+    an unknown id is an error. Every row and other column stays; columns of the new names are replaced."""
+    new = [out, *([digest] if digest else [])]
+    docs = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast({n: b for b, n in ranks.items()})
-    place, schema = docs.columns.index(ids), docs.select("*", F.lit(b"").alias(out)).schema
+    place = docs.columns.index(ids)
+    schema = docs.select("*", F.lit(b"").alias(out), *([F.lit("").alias(digest)] if digest else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [None if x is None else decode_ids(x, shared.value) for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=schema.names)
-        tidy()
-
-    return docs.mapInArrow(run, schema)
-
-
-def with_digest(docs: DataFrame, ids: str, out: str) -> DataFrame:
-    """``docs`` with the SHA-256 of the ids as little-endian unsigned 32-bit numbers."""
-    place, schema = docs.columns.index(ids), docs.select("*", F.lit("").alias(out)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() if x.is_valid else None for x in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=schema.names)
+                lists = [x.values.to_numpy() if x.is_valid else None for x in part.column(place)]
+                columns = [*part.columns, pa.array([None if x is None else decode_ids(x.tolist(), shared.value) for x in lists], pa.binary())]
+                if digest:
+                    columns.append(pa.array([None if x is None else hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         tidy()
 
     return docs.mapInArrow(run, schema)
@@ -270,6 +263,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document and what they decode to, as digests."""
     ranks, pattern = vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = with_digest(encode(docs, "text", ranks, pattern), "ids", "ids_sha256")
-    return decode(coded, "ids", ranks).select(
+    return decode(encode(docs, "text", ranks, pattern), "ids", ranks, digest="ids_sha256").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
