@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scalar import unsigned
@@ -20,6 +20,25 @@ def group_concat(x: Column, order: list[Column] | None = None, sep: str = ",", m
     return F.when(F.count(x) > 0, F.left(joined, F.lit(max_len)))
 
 
+def group_concat_rows(df: DataFrame, group: list[str], x: Column, order: list[Column] | None = None, sep: str = ",",
+                      max_len: int = 1024, distinct: bool = False, out: str = "joined") -> DataFrame:
+    """``group_concat`` of groups of any size: a row per group, with its joined values in ``out``.
+
+    Every value after the first adds at least a separator, so no more than ``max_len`` of them
+    can show: the rest of a group goes before the group is gathered, and before the shuffle
+    where Spark limits the window's groups there. Distinct values come in their own order.
+    """
+    rows = df.select(*group, x.cast("string").alias("_v"), *[o.alias(f"_o{i}") for i, o in enumerate([] if distinct else order or [])])
+    if distinct:
+        rows = rows.distinct()
+    value, keys = F.col("_v"), [F.col(c) for c in rows.columns if c.startswith("_o")]
+    last = value.isNull() if sep else value.isNull() | (value == "")  # what adds nothing stands behind what does
+    w = Window.partitionBy(*group).orderBy(last.cast("int"), *keys, value)
+    most = -(-max_len // max(1, len(sep))) + 1
+    kept = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return kept.groupBy(*group).agg(group_concat(value, [F.col("_n")], sep, max_len).alias(out))
+
+
 def sum_exact(x: Column) -> Column:
     return F.sum(x.cast("decimal(28,0)"))
 

@@ -138,7 +138,7 @@ def regexp(s: Column, pattern: str, binary: bool = False) -> Column:
 
 def like(s: Column, pattern: str, escape: str = "\\", binary: bool = False) -> Column:
     """Wildcards match without regard to case unless the operand is binary."""
-    return (s.like(pattern, F.lit(escape)) if escape != "\\" and binary else s.ilike(pattern) if not binary else s.like(pattern)).cast("int")
+    return (F.like if binary else F.ilike)(s, F.lit(pattern), F.lit(escape)).cast("int")
 
 
 def equal_text(a: Column, b: Column) -> Column:
@@ -341,6 +341,54 @@ def sec_to_time(n: Column) -> Column:
                     F.lit(":"), F.lpad(_text(F.floor(a / 60) % 60), 2, "0"), F.lit(":"), F.lpad(_text(a % 60), 2, "0"))
 
 
+def add_time(a: Column, b: Column, sign: int = 1) -> Column:
+    """ADDTIME and SUBTIME of two times in seconds, kept within 838:59:59."""
+    most = F.lit(838 * 3600 + 3599)
+    total = a + sign * b
+    return F.when(total.isNotNull(), F.least(F.greatest(total, -most), most))
+
+
+def make_time(hours: Column, minutes: Column, seconds: Column) -> Column:
+    """A time in seconds, kept within 838:59:59; null for minutes or seconds outside 0 to 59."""
+    whole = (F.abs(hours) * 3600 + minutes * 60 + seconds).cast("long")
+    whole = F.when(whole.isNotNull(), F.least(whole, F.lit(838 * 3600 + 3599).cast("long"))) * F.when(hours < 0, -1).otherwise(1)
+    return F.when(minutes.between(0, 59) & seconds.between(0, 59), whole)
+
+
+def time_format(seconds: Column, pattern: str) -> Column:
+    """TIME_FORMAT of a time in seconds, for %H %k %h %I %l %i %s %S %p %T %r. %H and %k can pass 24."""
+    hour, minute, second = F.floor(F.abs(seconds) / 3600), F.floor(F.abs(seconds) / 60) % 60, F.abs(seconds) % 60
+    twelve = (hour + 11) % 12 + 1
+    two = lambda x: F.lpad(_text(x), F.greatest(F.lit(2), F.length(_text(x))), F.lit("0"))
+    half = F.when(hour % 24 < 12, "AM").otherwise("PM")
+    known = {"H": two(hour), "k": _text(hour), "h": two(twelve), "I": two(twelve), "l": _text(twelve), "i": two(minute), "s": two(second),
+             "S": two(second), "p": half, "T": F.concat_ws(":", two(hour), two(minute), two(second)),
+             "r": F.concat(F.concat_ws(":", two(twelve), two(minute), two(second)), F.lit(" "), half)}
+    parts, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "%" and i + 1 < len(pattern):
+            parts.append(known.get(pattern[i + 1], F.lit(pattern[i + 1])))
+            i += 2
+        else:
+            parts.append(F.lit(pattern[i]))
+            i += 1
+    return F.when(seconds.isNotNull(), F.concat(F.when((seconds < 0) & F.lit(pattern[:2] in ("%H", "%k", "%T")), "-").otherwise(""), *parts))
+
+
+def extract(unit: str, ts: Column) -> Column:
+    """EXTRACT of one field, or of a run of them such as ``day_minute`` as one number."""
+    fields = ["year", "month", "day", "hour", "minute", "second", "microsecond"]
+    value = {"year": F.year(ts), "month": F.month(ts), "day": F.day(ts), "hour": F.hour(ts), "minute": F.minute(ts), "second": F.second(ts),
+             "microsecond": F.unix_micros(ts.cast("timestamp")) % 1000000, "quarter": F.quarter(ts), "week": week(F.to_date(ts), 0)}
+    if "_" not in unit:
+        return value[unit].cast("long")
+    first, last = unit.split("_")
+    out = F.lit(0).cast("long")
+    for name in fields[fields.index(first): fields.index(last) + 1]:
+        out = out * (1_000_000 if name == "microsecond" else 100) + value[name]
+    return out
+
+
 def add_interval(ts: Column, n: Column, unit: str) -> Column:
     """A date and time plus an interval; null outside the years 0 to 9999."""
     months = {"month": 1, "quarter": 3, "year": 12}

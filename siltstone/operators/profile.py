@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def analyse(df: DataFrame, max_elements: int = 256) -> DataFrame:
     """A row per column: extremes, lengths, empty or zero values, nulls, mean, deviation and a
     suggested type. One pass over the table for all columns; an enumeration is suggested for
-    text of at most ``max_elements`` values, counted approximately first and exactly then."""
+    text of at most about ``max_elements`` values: distinct values are counted approximately."""
     kinds = dict(df.dtypes)
     aggregates = []
     for c in df.columns:

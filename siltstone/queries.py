@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .catalog import sql, table
 from .functions import aggregate as A
 from .functions import scalar as S
-from .operators import fulltext, profile
+from .operators import admin, fulltext, profile
 from .plans import quantified, statements
 from .sources import changes as C
 from .sources import files
+from .sources.scratch import scratch_path
 from .streaming import changes as stream
 
 QUERIES: dict = {}
@@ -134,7 +135,7 @@ for _op, _word in {"<": "lt", "<=": "le", ">": "gt", ">=": "ge", "=": "eq", "<>"
 
 statement("group_by", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n
 FROM lineitem GROUP BY l_returnflag, l_linestatus""")
-statement("group_by_expression", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)")
+statement("group_by_expression", "SELECT cast(year(o_orderdate) as bigint) AS y, cast(month(o_orderdate) as bigint) AS m, count(*) AS n FROM orders GROUP BY year(o_orderdate), month(o_orderdate)")
 statement("group_by_desc", "SELECT p_size, count(*) AS n FROM part GROUP BY p_size ORDER BY p_size DESC")
 statement("rollup", """SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total
 FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
@@ -154,12 +155,12 @@ GROUP BY r.r_name""")
 
 @query("SELECT o_orderstatus, left(string_agg(cast(o_custkey as varchar), ',' ORDER BY o_orderkey), 100) AS keys FROM orders GROUP BY o_orderstatus")
 def group_concat(spark, folder):
-    return table(spark, folder, "orders").groupBy("o_orderstatus").agg(A.group_concat(c("o_custkey"), [c("o_orderkey")], max_len=100).alias("keys"))
+    return A.group_concat_rows(table(spark, folder, "orders"), ["o_orderstatus"], c("o_custkey"), [c("o_orderkey")], max_len=100, out="keys")
 
 
 @query("SELECT n_regionkey, string_agg(DISTINCT left(n_name, 1), '|' ORDER BY left(n_name, 1)) AS letters FROM nation GROUP BY n_regionkey")
 def group_concat_distinct(spark, folder):
-    return table(spark, folder, "nation").groupBy("n_regionkey").agg(A.group_concat(F.left("n_name", F.lit(1)), sep="|", distinct=True).alias("letters"))
+    return A.group_concat_rows(table(spark, folder, "nation"), ["n_regionkey"], F.left("n_name", F.lit(1)), sep="|", distinct=True, out="letters")
 
 
 @query("""SELECT p_size % 5 AS g, cast(bit_and(cast(p_partkey as bigint)) as bigint) AS a, cast(bit_or(cast(p_partkey as bigint)) as bigint) AS o,
@@ -223,7 +224,7 @@ statement("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT
 statement("union_all", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_nationkey FROM supplier")
 statement("union_ordered", """(SELECT c_custkey AS k, c_acctbal AS b FROM customer ORDER BY c_acctbal, c_custkey LIMIT 5)
 UNION ALL (SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal, s_suppkey LIMIT 5) ORDER BY b, k LIMIT 7""")
-statement("correlated_rank", "SELECT n_nationkey, rank() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r FROM nation",
+statement("correlated_rank", "SELECT n_nationkey, cast(rank() OVER (PARTITION BY n_regionkey ORDER BY n_name) as bigint) AS r FROM nation",
           "SELECT n.n_nationkey, (SELECT count(*) + 1 FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_name < n.n_name) AS r FROM nation n")
 
 
@@ -345,6 +346,8 @@ _partition("partition_range_columns", lambda: files.columns_partition([c("o_orde
            "CASE WHEN o_orderstatus < 'F' OR (o_orderstatus = 'F' AND o_custkey < 700) THEN 0 WHEN o_orderstatus <= 'O' THEN 1 ELSE 2 END")
 _partition("partition_list", lambda: files.list_partition(c("o_orderstatus"), [["F", None], ["O", "P"]]), "CASE WHEN o_orderstatus = 'F' OR o_orderstatus IS NULL THEN 0 WHEN o_orderstatus IN ('O', 'P') THEN 1 END")
 _partition("partition_hash", lambda: files.hash_partition(c("o_custkey"), 6), "o_custkey % 6")
+_partition("partition_sub", lambda: files.subpartition(files.range_partition(c("o_custkey"), [100, 500, None]), files.hash_partition(c("o_orderkey"), 2), 2),
+           "CASE WHEN o_custkey < 100 THEN 0 WHEN o_custkey < 500 THEN 1 ELSE 2 END * 2 + o_orderkey % 2")
 _partition("partition_linear_hash", lambda: files.hash_partition(c("o_custkey"), 6, True), "CASE WHEN (o_custkey & 7) < 6 THEN o_custkey & 7 ELSE o_custkey & 3 END")
 
 
@@ -569,12 +572,7 @@ for _args in [
 # -- tables that are written and read again ----------------------------------------------------
 
 def _folder(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-    return f"{shared}/table-{uuid.uuid4().hex}"
+    return scratch_path(spark, "table")
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part")
@@ -689,7 +687,7 @@ def udaf_pandas(spark, folder):
     return table(spark, folder, "nation").groupBy("n_regionkey").agg(F.pandas_udf(longest, "long")("n_name").alias("v"))
 
 
-@query("SELECT n_nationkey, n_nationkey * 2 + 1 AS v FROM nation")
+@query("SELECT n_nationkey, cast(n_nationkey * 2 + 1 as bigint) AS v FROM nation")
 def stored_function(spark, folder):
     table(spark, folder, "nation").createOrReplaceTempView("nation")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION odd_of(n BIGINT) RETURNS BIGINT RETURN n * 2 + 1")
@@ -704,8 +702,111 @@ WHILE i < 10 DO SET i = i + 1; SET total = total + i; END WHILE; SELECT total AS
 
 @query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS v FROM nation")
 def udf_sequence(spark, folder):
+    return statements.running(table(spark, folder, "nation").select("n_nationkey"), [], [c("n_nationkey")], v=F.lit(1))
+
+
+@query("SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::bigint AS running FROM orders")
+def user_variable_whole_table(spark, folder):
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    return statements.running(rows, [], [c("o_orderdate"), c("o_orderkey")], running=c("o_custkey")).select("o_orderkey", "running")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS n FROM lineitem")
+def user_variable_large_groups(spark, folder):
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return statements.running_spread(rows, ["l_returnflag"], [c("l_orderkey"), c("l_linenumber")], n=F.lit(1)).drop("l_returnflag")
+
+
+@query("SELECT 300 AS total")
+def script_cursor(spark, folder):
+    table(spark, folder, "nation").createOrReplaceTempView("nation")
+    return spark.sql("""BEGIN DECLARE total INT DEFAULT 0;
+FOR r AS SELECT n_nationkey AS k FROM nation DO SET total = total + r.k; END FOR; SELECT total AS total; END""")
+
+
+@query("SELECT 'caught' AS outcome")
+def script_handler(spark, folder):
+    return spark.sql("""BEGIN DECLARE outcome STRING DEFAULT 'none';
+BEGIN DECLARE EXIT HANDLER FOR DIVIDE_BY_ZERO SET outcome = 'caught'; SELECT 1 / 0; END; SELECT outcome AS outcome; END""")
+
+
+@query("SELECT 'large' AS size, 112 AS n")
+def script_flow(spark, folder):
+    return spark.sql("""BEGIN DECLARE n INT DEFAULT 0;
+again: LOOP SET n = n + 1; IF n = 3 THEN ITERATE again; END IF; IF n > 6 THEN LEAVE again; END IF; END LOOP;
+REPEAT SET n = n * 2; UNTIL n > 100 END REPEAT;
+CASE WHEN n > 111 THEN SELECT 'large' AS size, n AS n; ELSE SELECT 'small' AS size, n AS n; END CASE; END""")
+
+
+@query("SELECT 'signalled' AS outcome")
+def script_signal(spark, folder):
+    return spark.sql("""BEGIN DECLARE outcome STRING DEFAULT 'none';
+BEGIN DECLARE EXIT HANDLER FOR SQLEXCEPTION SET outcome = 'signalled'; SELECT raise_error('45000'); END; SELECT outcome AS outcome; END""")
+
+
+@query("SELECT n_nationkey + 100 AS n_nationkey, n_name FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, n_name FROM nation")
+def view_check_option(spark, folder):
+    rows = table(spark, folder, "nation")
+    new = rows.where("n_regionkey = 2").withColumn("n_nationkey", (c("n_nationkey") + 100).cast("int"))
+    return rows.unionByName(C.check_option(new, c("n_regionkey") == 2)).select("n_nationkey", "n_name")
+
+
+@query("SELECT r_regionkey + 10 AS r_regionkey, upper(r_name) AS r_name FROM region")
+def trigger_before_insert(spark, folder):
+    rows = table(spark, folder, "region").select("r_regionkey", "r_name")
+    content, _ = C.with_triggers(rows.limit(0), rows.withColumn("r_regionkey", (c("r_regionkey") + 10).cast("int")),
+                                 before=lambda new: new.withColumn("r_name", F.upper("r_name")))
+    return content
+
+
+@query("SELECT r_regionkey, 'insert' AS what FROM region")
+def trigger_after_insert(spark, folder):
+    rows = table(spark, folder, "region").select("r_regionkey", "r_name")
+    return C.with_triggers(rows.limit(0), rows, after=lambda new: new.select("r_regionkey", F.lit("insert").alias("what")))[1]
+
+
+@query("SELECT 0 AS range_no, count(*) AS records FROM orders WHERE o_custkey BETWEEN 10 AND 200 UNION ALL SELECT 1, count(*) FROM orders WHERE o_custkey >= 500")
+def records_in_range(spark, folder):
+    return admin.records_in_range(table(spark, folder, "orders"), "o_custkey", [(10, 200), (500, None)])
+
+
+@query("SELECT count(*) AS rows FROM orders")
+def table_check(spark, folder):
+    return admin.check(table(spark, folder, "orders")).agg(F.sum("rows").alias("rows"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 20")
+def table_optimize(spark, folder):
+    path = _folder(spark)
+    table(spark, folder, "orders").select("o_orderkey", "o_custkey").write.parquet(path)
+    admin.optimize(spark, path, ["o_custkey"])
+    return spark.read.parquet(path).where("o_custkey BETWEEN 10 AND 20")
+
+
+@query("SELECT r_regionkey, r_name AS name, cast(NULL as int) AS extra FROM region")
+def alter_table(spark, folder):
+    import uuid
+
+    path, name = _folder(spark), f"t_{uuid.uuid4().hex}"
+    table(spark, folder, "region").select("r_regionkey", c("r_name").alias("name")).write.parquet(path)
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+    spark.sql(f"ALTER TABLE {name} ADD COLUMNS (extra INT)")
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}_new")
+    found = spark.read.schema(spark.table(f"{name}_new").schema).parquet(path)
+    spark.sql(f"DROP TABLE {name}_new")  # the table is an external one: its files stay
+    return found
+
+
+@query("SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) t(col_name, data_type)")
+def describe_table(spark, folder):
     table(spark, folder, "nation").createOrReplaceTempView("nation")
-    return spark.sql("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS v FROM nation")
+    return spark.sql("DESCRIBE nation").select("col_name", "data_type")
+
+
+@query("SELECT event_id FROM events WHERE event_id <= 500 ORDER BY event_id DESC LIMIT 20")
+def log_cursor_backward(spark, folder):
+    log = table(spark, folder, "events").select("event_id", c("event_id").alias("seq"))
+    return stream.log_cursor(log, 500, backward=True, limit=20).select("event_id")
 
 
 @query()
@@ -725,6 +826,14 @@ def order_by_rand(spark, folder):
     return table(spark, folder, "nation").orderBy(F.rand(7)).select("n_nationkey").limit(5)
 
 
+statement("join_comma", "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey")
+statement("join_natural_left", "SELECT doc_id, lang, quality FROM documents NATURAL LEFT JOIN labels")
+statement("join_left_limit", """SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
+ORDER BY c.c_custkey, o.o_orderkey NULLS FIRST LIMIT 1 OFFSET 2""")
+statement("row_subquery_equal", """SELECT o_orderkey FROM orders
+WHERE o_custkey = (SELECT max(c_custkey) FROM customer) AND o_orderstatus = (SELECT min(o_orderstatus) FROM orders)""")
+statement("nested_exists", """SELECT r.r_name FROM region r WHERE EXISTS (SELECT 1 FROM nation n WHERE n.n_regionkey = r.r_regionkey
+AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000))""")
 statement("group_by_position", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1")
 statement("hints", "SELECT /*+ BROADCAST(n) */ s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey",
           "SELECT s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey")
@@ -744,6 +853,12 @@ for _args in [
     ("timediff", *O, "unix_timestamp(o_orderdate) - unix_timestamp(timestamp'1995-01-01 00:00:00')", "date_diff('second', TIMESTAMP '1995-01-01', o_orderdate)", "long"),
     ("str_to_date", *O, "to_date(date_format(o_orderdate, 'dd.MM.yyyy'), 'dd.MM.yyyy')", "cast(o_orderdate as date)", "date"),
     ("timestampadd", *O, "cast(timestampadd(MONTH, 2, o_orderdate) as timestamp_ntz)", "o_orderdate + INTERVAL 2 MONTH", "timestamp"),
+    ("subtime", *P, lambda: S.add_time(c("p_size") * 3600, F.lit(5400), -1), "p_size * 3600 - 5400", "long"),
+    ("maketime", *P, lambda: S.make_time(c("p_size") - 20, F.lit(12), F.lit(30)), "(abs(p_size - 20) * 3600 + 750) * CASE WHEN p_size < 20 THEN -1 ELSE 1 END", "long"),
+    ("time_format", *P, lambda: S.time_format(c("p_size") * 3661, "%H:%i:%s"), "printf('%02d:%02d:%02d', p_size * 3661 // 3600, p_size * 3661 // 60 % 60, p_size * 3661 % 60)"),
+    ("extract_run", *E, lambda: S.extract("day_minute", c("ts")), "day(ts) * 10000 + hour(ts) * 100 + minute(ts)", "long"),
+    ("sounds_like", *P, lambda: S.sounds_like(c("p_name"), F.upper("p_name")), "1", "long"),
+    ("like_escape", *P, lambda: S.like(F.concat("p_name", F.lit("%")), "%|%", escape="|"), "1", "long"),
     ("microsecond", *E, "cast(extract(SECOND FROM ts) * 1000000 as bigint) % 1000000", "epoch_us(ts) % 1000000", "long"),
     ("to_seconds", *E, "unix_timestamp(ts) + 719528L * 86400", "floor(epoch(ts)) + 719528::bigint * 86400", "long"),
     ("null_safe_equal", *P, "cast(nullif(p_size, 7) <=> NULL as int)", "CASE WHEN p_size = 7 THEN 1 ELSE 0 END", "long"),

@@ -91,6 +91,20 @@ def delete_joined(table: DataFrame, other: DataFrame, key: list[str]) -> DataFra
     return table.join(other.select(*key).distinct(), key, "left_anti").select(*table.columns)
 
 
+def check_option(rows: DataFrame, condition: Column) -> DataFrame:
+    """WITH CHECK OPTION: the rows that go through a view. One that the view could not show fails the statement."""
+    told = F.raise_error(F.lit("CHECK OPTION failed")).cast("boolean")
+    return rows.where(F.when(condition, F.lit(True)).otherwise(told))
+
+
+def with_triggers(table: DataFrame, rows: DataFrame, before=None, after=None) -> tuple[DataFrame, DataFrame | None]:
+    """An insert with its triggers: ``before`` makes each new row what is stored, ``after`` makes
+    of the stored new rows the rows of another table. Both are functions of a DataFrame, so the
+    triggers are part of the statement's plan. Gives the table's content and the other rows."""
+    new = (before(rows) if before else rows).select(*table.columns)
+    return table.unionByName(new), after(new) if after else None
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Write new content beside a table and move it into its place; readers see the old or the new."""
     spark = df.sparkSession

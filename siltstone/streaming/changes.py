@@ -114,3 +114,44 @@ def first_events(events: DataFrame, key: str, ts: str, lateness: str) -> DataFra
 def last_per_key(changes: DataFrame, key: list[str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(F.col("seq").desc())
     return changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def log_cursor(changes: DataFrame, start: int | None = None, backward: bool = False, limit: int | None = None) -> DataFrame:
+    """The entries of a stored log from a place on, forward or backward."""
+    if start is not None:
+        changes = changes.where(F.col("seq") <= start if backward else F.col("seq") >= start)
+    ordered = changes.orderBy(F.col("seq").desc() if backward else F.col("seq").asc())
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def wait_for_batch(query, batch: int, seconds: float) -> bool:
+    """Wait until a running stream has applied a batch; false if that takes too long or the stream ends before it."""
+    import time
+
+    until = time.monotonic() + seconds
+    while True:
+        done = query.lastProgress
+        if done is not None and done["batchId"] >= batch:
+            return True
+        if not query.isActive or time.monotonic() > until:
+            return False
+        time.sleep(0.05)
+
+
+def every(spark: SparkSession, interval: str, statement, checkpoint: str, starts=None, ends=None):
+    """The event scheduler: run ``statement(spark)`` once per interval, from ``starts`` to
+    ``ends`` (datetimes; None is open). A run that takes longer than the interval delays the
+    next one. Gives the running query, which ends by itself after ``ends``."""
+    import datetime
+    import threading
+
+    def run(df: DataFrame, _: int) -> None:
+        now = datetime.datetime.now(tz=(starts or ends).tzinfo) if starts or ends else None
+        if (starts is None or now >= starts) and (ends is None or now <= ends):
+            statement(df.sparkSession)
+        elif ends is not None and now > ends:
+            threading.Thread(target=query.stop).start()  # stopping waits for this batch
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    query = clock.writeStream.foreachBatch(run).trigger(processingTime=interval).option("checkpointLocation", checkpoint).start()
+    return query

@@ -29,7 +29,12 @@ def cases():
         (S.strcmp(L("a"), L("b")), -1), (S.soundex(L("Quadratically")), "Q36324"), (S.soundex(L("Hello")), "H400"), (S.sounds_like(L("Robert"), L("Rupert")), 1),
         (S.char_of(L(77), L(121), NULL, L(83)), "MyS"), (S.convert_using(L("aé"), "ascii"), "a?"),
         (S.regexp(L("Monty!"), "^mo.*[[:punct:]]$"), 1), (S.regexp(L("a"), "A", binary=True), 0), (S.regexp(L("a word"), "[[:<:]]word[[:>:]]"), 1),
-        (S.like(L("David!"), "DAVID_"), 1), (S.like(L("abc"), "ABC", binary=True), 0), (S.equal_text(L("a"), L("A ")), 1),
+        (S.like(L("David!"), "DAVID_"), 1), (S.like(L("a%"), "A|%", escape="|"), 1), (S.like(L("ab"), "a|%", escape="|", binary=True), 0), (S.like(L("a_b"), "A\\_B"), 1),
+        (S.make_time(L(12), L(15), L(30)), 44130), (S.make_time(L(-1), L(0), L(1)), -3601), (S.make_time(L(1), L(60), L(0)), None), (S.make_time(L(900), L(0), L(0)), 3020399),
+        (S.add_time(L(3600), L(60), -1), 3540), (S.add_time(L(3020399), L(1)), 3020399), (S.add_time(NULL, L(1)), None),
+        (S.time_format(L(100 * 3600), "%H %k %h %I %l"), "100 100 04 04 4"), (S.time_format(L(3661), "%r"), "01:01:01 AM"), (S.time_format(NULL, "%H"), None),
+        (S.time_format(L(-3661), "%T"), "-01:01:01"), (S.extract("year_month", TS("2019-07-02 01:02:03")), 201907), (S.extract("day_minute", TS("2019-07-02 01:02:03")), 20102),
+        (S.extract("second_microsecond", TS("2019-07-02 01:02:03.000123")), 3000123), (S.extract("quarter", TS("2019-07-02")), 3), (S.like(L("abc"), "ABC", binary=True), 0), (S.equal_text(L("a"), L("A ")), 1),
         (S.number_prefix(L(" 12.5abc")), 12.5), (S.number_prefix(L("abc")), 0.0),
         (S.divide(L(8), L(5)).cast("string"), "1.6000"), (S.divide(L(1), L(7), 3).cast("string"), "0.143"), (S.divide(L(1), L(0)), None),
         (S.int_divide(L(-7), L(2)), -3), (S.modulo(L(8), L(5)), 3), (S.modulo(L(8), L(0)), None),
@@ -80,3 +85,15 @@ def test_aggregates(spark):
     none = rows.where("g > 9").agg(A.bit_and(F.col("g")).cast("string"), A.bit_or(F.col("g")).cast("string"), A.group_concat(F.col("v"))).first()
     assert list(none) == ["18446744073709551615", "0", None]
     assert str(spark.createDataFrame([(1,), (2,)], "a int").agg(A.avg_exact(F.col("a"))).first()[0]) == "1.5000"
+
+
+def test_group_concat_of_large_groups(spark):
+    rows = spark.createDataFrame([(1, i, f"v{i % 7}") for i in range(500)] + [(2, 0, None), (None, 1, "x"), (None, 0, "y"), (3, 0, "")], "g int, k int, v string")
+    for sep, most, order in [(",", 1024, [F.col("k")]), (",", 10, [F.col("k")]), ("", 20, [F.col("k")]), ("--", 33, None)]:
+        want = {r.g: r.j for r in rows.groupBy("g").agg(A.group_concat(F.col("v"), order, sep, most).alias("j")).collect()}
+        assert {r.g: r.joined for r in A.group_concat_rows(rows, ["g"], F.col("v"), order, sep, most).collect()} == want
+    assert {r.g: r.joined for r in A.group_concat_rows(rows, ["g"], F.col("v"), distinct=True).collect()} == {1: "v0,v1,v2,v3,v4,v5,v6", 2: None, None: "x,y", 3: ""}
+    assert A.group_concat_rows(rows.limit(0), ["g"], F.col("v")).count() == 0
+    mixed = spark.createDataFrame([(1, i, "" if i % 2 else "a") for i in range(40)], "g int, k int, v string")
+    assert A.group_concat_rows(mixed, ["g"], F.col("v"), [F.col("k")], "", 30).first().joined == "a" * 20
+    assert A.group_concat_rows(mixed, ["g"], F.col("v"), [F.col("k")], ",", 9).first().joined == "a,,a,,a,,"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.operators import fulltext, profile
+from siltstone.operators import admin, fulltext, profile
 from siltstone.plans import quantified, statements
 from siltstone.sources import changes, files, schema_tables
 
@@ -119,3 +119,49 @@ def test_fulltext(spark):
     assert {r.a for r in fulltext.boolean(rows, "a", "m", '+steve -"is cool"').collect()} == {2}
     assert {r.a for r in fulltext.boolean(rows, "a", "m", '"steve is"').collect()} == {5}
     assert fulltext.relevance(rows, "a", "m", "").count() == 0
+
+
+def test_running_over_large_groups(spark):
+    rows = spark.createDataFrame([(g, i, None if i % 5 == 0 else i) for g in ("a", "b", None) for i in range(300)], "g string, k int, v int").repartition(6)
+    want = {(g, i): (sum(x for x in range(i + 1) if x % 5) if i else None, i + 1) for g in ("a", "b", None) for i in range(300)}
+    for spread in (statements.running_spread, statements.running):
+        got = spread(rows, ["g"], [F.col("k")], s=F.col("v"), n=F.lit(1)).collect()
+        assert {(r.g, r.k): (r.s, r.n) for r in got} == want and len(got) == 900
+    down = statements.running(rows.where("g = 'a'"), [], [F.col("k").desc()], n=F.lit(1))
+    assert {r.k: r.n for r in down.collect()} == {i: 300 - i for i in range(300)}
+    assert statements.running(rows.limit(0), [], [F.col("k")], n=F.lit(1)).count() == 0
+
+
+def test_table_maintenance(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).repartition(10).write.parquet(path)
+    assert spark.read.parquet(path).transform(admin.check).agg(F.sum("rows"), F.count("file")).first()[:] == (100, 10)
+    admin.optimize(spark, path)
+    assert spark.read.parquet(path).transform(admin.check).count() < 10
+    admin.optimize(spark, path, ["id"])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(100))
+    (tmp_path / "t" / "broken.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):  # noqa: B017
+        admin.check(spark.read.schema("id long").parquet(path)).collect()
+    admin.repair(spark, path, spark.range(1).schema, str(tmp_path / "repaired"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "repaired")).collect()) == list(range(100))
+    spark.sql(f"CREATE TABLE repaired USING parquet LOCATION '{tmp_path / 'repaired'}'")
+    try:
+        assert "100 rows" in admin.analyze(spark, "repaired").first().statistics
+    finally:
+        spark.sql("DROP TABLE repaired")
+    counts = admin.records_in_range(spark.createDataFrame([(1,), (5,), (None,)], "k int"), "k", [(1, 4), (None, None), (6, None)])
+    assert [tuple(r) for r in counts.collect()] == [(0, 1), (1, 2), (2, 0)]
+
+
+def test_views_triggers_and_statistics(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5), (2, None)], "k int, v int")
+    assert changes.check_option(rows, F.col("k") < 3).count() == 2
+    with pytest.raises(Exception, match="CHECK OPTION"):
+        changes.check_option(rows, F.col("v") > 3).collect()
+    content, told = changes.with_triggers(rows, rows, before=lambda r: r.withColumn("v", F.coalesce("v", F.lit(0))), after=lambda r: r.select("k"))
+    assert sorted(tuple(r) for r in content.na.fill(-1).collect()) == [(1, 5), (1, 5), (2, -1), (2, 0)] and told.count() == 2
+    path = str(tmp_path / "io")
+    spark.range(50).repartition(2).write.parquet(path)
+    read = statements.io_statistics(spark.read.parquet(path).groupBy("id").count())
+    assert read["files"] == 2 and read["rows"] == 50 and read["bytes"] > 0

@@ -1,5 +1,6 @@
 """Change streams from files to a table and back."""
 
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -68,3 +69,23 @@ def test_first_events(spark, tmp_path):
     query = stream.first_events(events, "id", "ts", "1 minute").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r.id for r in spark.table("firsts").collect()) == [1, 2]
+
+
+def test_log_cursor(spark):
+    changes = log(spark, *CHANGES)
+    assert [r.seq for r in stream.log_cursor(changes, 2).collect()] == [2, 3, 4, 5]
+    assert [r.seq for r in stream.log_cursor(changes, 3, backward=True, limit=2).collect()] == [3, 2]
+    assert [r.seq for r in stream.log_cursor(changes).collect()] == [0, 1, 2, 3, 4, 5]
+
+
+def test_scheduled_statement(spark, tmp_path):
+    ran = []
+    now = datetime.datetime.now()
+    query = stream.every(spark, "1 second", lambda s: ran.append(s.range(3).count()), str(tmp_path / "a"), ends=now + datetime.timedelta(seconds=6))
+    try:
+        assert stream.wait_for_batch(query, 1, 30)
+        assert ran and set(ran) == {3}
+        assert query.awaitTermination(30)
+        assert not stream.wait_for_batch(query, 10**6, 1)
+    finally:
+        query.stop()
