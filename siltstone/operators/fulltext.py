@@ -9,6 +9,7 @@ rows and more weigh nothing.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,33 +28,39 @@ def _begins(start: str):
     return lambda w: w.startswith(start)
 
 
-def _is(word: str):
-    return lambda s: s["word"] == word
+def _holds(text: Column, word: str) -> Column:
+    """Whether a lowered word is among the words of a text, without making a list of them."""
+    if not re.fullmatch(r"[^\W]+(?:'\w+)*", word) or len(word) > LONGEST:
+        return F.lit(False)
+    low, letter = F.lower(text), r"[\p{L}\p{N}_]"
+    return low.contains(word) & low.rlike(f"(?<!{letter})(?<!{letter}')" + re.escape(word) + f"(?!{letter})(?!'{letter})")
 
 
 def relevance(df: DataFrame, key: str, text: str, query: str, stopwords: tuple[str, ...] = (), shortest: int = SHORTEST) -> DataFrame:
-    """``key`` and ``score`` of the rows with a score above zero. Rows are cut to the query's
-    words and their norms before anything is shuffled; the words' counts are one small table."""
+    """``key`` and ``score`` of the rows with a score above zero. No row is shuffled: the words'
+    counts are one row. Only rows with a query's word are cut into words."""
     wanted = sorted({w for w in re.findall(r"[^\W]+(?:'\w+)*", query.lower()) if shortest <= len(w) <= LONGEST} - set(stopwords))
     if not wanted:
         return df.select(key, F.lit(0.0).alias("score")).limit(0)
-    listed = df.select(F.col(key), F.filter(words(F.col(text), shortest), lambda w: ~w.isin(list(stopwords)) if stopwords else F.lit(True)).alias("_w"))
+    some = reduce(lambda a, b: a | b, [_holds(F.col(text), w) for w in wanted])
+    found = words(F.col(text), shortest)
+    listed = df.where(some).select(F.col(key), (F.filter(found, lambda w: ~w.isin(list(stopwords))) if stopwords else found).alias("_w"))
     distinct = F.array_distinct("_w")
     tf = lambda w: F.size(F.filter("_w", lambda x: x == w))
     # equal words side by side: one pass gives the sum over the words of ln tf + 1
     run_end = lambda s: F.when(s["run"] > 0, F.log(s["run"].cast("double")) + 1.0).otherwise(0.0)
     norm = F.aggregate(
-        F.array_sort("_w"), F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("sum")),
+        F.sort_array("_w"), F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0.0).alias("sum")),
         lambda s, w: F.struct(w.alias("word"), F.when(w == s["word"], s["run"] + 1).otherwise(1).alias("run"),
                               F.when(w == s["word"], s["sum"]).otherwise(s["sum"] + run_end(s)).alias("sum")),
         lambda s: s["sum"] + run_end(s))
     hits = F.filter(F.array(*[F.struct(F.lit(w).alias("word"), tf(F.lit(w)).alias("tf")) for w in wanted]), lambda s: s["tf"] > 0)
-    rows = listed.select(key, F.size(distinct).alias("_u"), hits.alias("_h"), F.when(F.size(hits) > 0, norm).alias("_norm"))
-    counts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.exists("_h", _is(w))).alias(f"_d{i}") for i, w in enumerate(wanted)])
+    rows = listed.select(key, F.size(distinct).alias("_u"), hits.alias("_h"), norm.alias("_norm"))
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(_holds(F.col(text), w)).alias(f"_d{i}") for i, w in enumerate(wanted)])
     weights = F.create_map(*[x for i, w in enumerate(wanted) for x in (F.lit(w), F.when((F.col(f"_d{i}") > 0) & (F.col("_n") > F.col(f"_d{i}")), F.greatest(
         F.log((F.col("_n") - F.col(f"_d{i}")) / F.col(f"_d{i}")), F.lit(0.0))).otherwise(0.0))])
     one = counts.select(weights.alias("_g"))
-    joined = rows.where(F.size("_h") > 0).crossJoin(F.broadcast(one))  # one row on the right
+    joined = rows.crossJoin(F.broadcast(one))  # one row on the right
     local = lambda s: (F.log(s["tf"].cast("double")) + 1.0) / F.col("_norm") * F.col("_u") / (1.0 + PIVOT * F.col("_u"))
     score = F.aggregate("_h", F.lit(0.0), lambda a, s: a + local(s) * F.element_at("_g", s["word"]))
     return joined.select(key, score.alias("score")).where("score > 0")
@@ -64,15 +71,15 @@ def boolean(df: DataFrame, key: str, text: str, query: str) -> DataFrame:
     ``-word`` must not, ``word*`` is a beginning, ``"a phrase"`` stands together, a bare word
     adds to the score. Without a ``+`` term, one of the bare ones must be there. No shuffle."""
     terms = re.findall(r'([+-]?)(?:"([^"]+)"|([^\s"+-][^\s"]*))', query)
-    list_ = words(F.col(text), 1)
     must, must_not, may = [], [], []
     for sign, phrase, word in terms:
         if phrase:
             test = F.lower(F.col(text)).rlike(r"(?<![\p{L}\p{N}_])" + r"[^\p{L}\p{N}_]+".join(map(re.escape, phrase.lower().split())) + r"(?![\p{L}\p{N}_])")
         elif word.endswith("*"):
-            test = F.exists("_w", _begins(word[:-1].lower()))
+            start = word[:-1].lower()
+            test = F.lower(text).contains(start) & F.exists(words(F.col(text), 1), _begins(start))
         else:
-            test = F.array_contains("_w", word.lower())
+            test = _holds(F.col(text), word.lower())
         {"+": must, "-": must_not, "": may}[sign].append(F.coalesce(test, F.lit(False)))
     keep = F.lit(bool(must or may))
     for m in must:
@@ -85,7 +92,7 @@ def boolean(df: DataFrame, key: str, text: str, query: str) -> DataFrame:
             some = some | m
         keep = keep & some
     score = sum((m.cast("int") for m in [*must, *may]), F.lit(0)).cast("double")
-    return df.withColumn("_w", list_).where(keep).select(key, score.alias("score"))
+    return df.where(keep).select(key, score.alias("score"))
 
 
 def expand(df: DataFrame, key: str, text: str, query: str, rows: int = 20, terms: int = 10, **more) -> DataFrame:
