@@ -11,7 +11,8 @@ and of the twenty triples of positions in the index every four positions contain
 pair is found.
 ``SIMILAR``: 256 bits, for likeness 0.8 of the shingles. So many bits may differ there that
 no number of shared bytes is certain; a pair of likeness 0.8 shares eight of 32 on average,
-four are asked for, and 48 pairs of positions are indexed. README has the measured recall.
+four are asked for, and 48 pairs of positions are indexed. Every near pair is told, not only
+links that connect them. README has the measured recall.
 
 Equal fingerprints are one entry. A list with more than ``LIST`` entries is not paired but
 split by further positions, so that no task holds an unbounded list. For ``EXACT`` that is
@@ -69,6 +70,20 @@ class Scheme:
         out[out] = np.bitwise_count(differ[out]).sum(1, dtype=np.int64) <= self.distance
         return out
 
+    def told(self, x: np.ndarray, y: np.ndarray, names: np.ndarray, level: int) -> np.ndarray:
+        """Whether the lists ``names`` are the ones that tell the pairs: of all that hold a pair,
+        the one of its first set, extended by the first free positions that it shares."""
+        same = np.ascontiguousarray(x ^ y).view(np.uint8).reshape(len(x), -1) == 0
+        out = self.first_set(x, y) == names >> 6 * level
+        for name in np.unique(names) if level else ():
+            at = names == name
+            free = [p for p in range(8 * self.lanes) if p not in self.sets[int(name) >> 6 * level]]
+            for step in reversed(range(level)):
+                child = int(name) >> 6 * step & 63
+                out[at] &= ~same[at][:, free[:child]].any(1)
+                del free[child]
+        return out
+
     def first_set(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The first set of positions that pairs share."""
         same = np.ascontiguousarray(x ^ y).view(np.uint8).reshape(len(x), -1) == 0
@@ -121,19 +136,26 @@ def _chain(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(data: bytes, width: int, lanes: int = 1) -> bytes:
-    """The fingerprint of a text: A-Z lowered, words between ASCII blanks, XXH64 with seed 42
-    of each run of ``width`` words joined by one blank (of all words, if fewer), and a bit set
-    where over half the hashes have it. Further lanes mix the hash anew. No words: zero."""
+def shingles(data: bytes, width: int) -> np.ndarray:
+    """The shingles of a text as hashes: A-Z lowered, words between ASCII blanks, XXH64 with seed
+    42 of each run of ``width`` words joined by one blank (of all words, if fewer). No words: none."""
     words = data.lower().split()
-    if not words:
-        return bytes(8 * lanes)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = np.array([digest(joined, 42)], np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip([0, *ends[:-1].tolist()], (ends - 1).tolist()[width - 1:])], np.uint64)
+        return np.array([digest(joined, 42)] if words else [], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    return np.array([digest(joined[a:b], 42) for a, b in zip([0, *ends[:-1].tolist()], (ends - 1).tolist()[width - 1:])], np.uint64)
+
+
+def fingerprint(data: bytes, width: int, lanes: int = 1) -> bytes:
+    """The fingerprint of a text: a bit is set where over half the hashes of its shingles have
+    it. Further lanes mix the hash anew. No words: zero."""
+    return _majority(shingles(data, width), lanes)
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> bytes:
+    if not len(hashes):
+        return bytes(8 * lanes)
     out = []
     for lane in range(lanes):
         mixed = hashes if lane == 0 else _mix(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -216,6 +238,21 @@ def _forest(fps: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     return fps[np.concatenate([none, *one])], fps[np.concatenate([none, *two])]
 
 
+def _pairs(fps: np.ndarray, scheme: Scheme, name: int, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near pairs that one list tells."""
+    one, two, held = [], [], 0
+    for i in range(len(fps) - 1):
+        hit = np.flatnonzero(np.bitwise_count(fps[i + 1:] ^ fps[i]).sum(1, dtype=np.int64) <= scheme.distance)
+        one.append(np.full(len(hit), i))
+        two.append(hit + i + 1)
+        held += len(hit)
+        if held and (held >= 1 << 16 or i == len(fps) - 2):
+            x, y = fps[np.concatenate(one)], fps[np.concatenate(two)]
+            here = scheme.told(x, y, np.full(len(x), name), level)
+            yield x[here], y[here]
+            one, two, held = [], [], 0
+
+
 def _search(scheme: Scheme, level: int, most: int):
     """Over entries sorted by key: links, and the entries of split lists."""
 
@@ -237,7 +274,11 @@ def _search(scheme: Scheme, level: int, most: int):
         for k in np.flatnonzero(sizes > SHIFTS):
             own = fps[starts[k]:starts[k] + sizes[k]]
             if len(own) <= most or level == scheme.splits:
-                yield links(*_forest(own, scheme))
+                if scheme.certain:
+                    yield links(*_forest(own, scheme))
+                else:
+                    for found in _pairs(own, scheme, int(mask[starts[k]]), level):
+                        yield links(*found)
             else:
                 yield from split(own, int(mask[starts[k]]))
         small = np.repeat((sizes <= SHIFTS) & (sizes > 1), sizes)
@@ -249,7 +290,9 @@ def _search(scheme: Scheme, level: int, most: int):
             for i in range(0, len(at), 1 << 16):
                 one = at[i:i + (1 << 16)]
                 one = one[scheme.near(fps[one], fps[one + d])]
-                if level == 0 and len(one):  # a pair that shares many sets is told once
+                if not scheme.certain and len(one):
+                    one = one[scheme.told(fps[one], fps[one + d], mask[one], level)]
+                elif level == 0 and len(one):  # a pair that shares many sets is told once
                     one = one[scheme.first_set(fps[one], fps[one + d]) == mask[one]]
                 if len(one):
                     yield links(fps[one], fps[one + d])
@@ -285,8 +328,9 @@ def _search(scheme: Scheme, level: int, most: int):
 
 
 def near_links(fps: DataFrame, scheme: Scheme = EXACT, most: int = LIST) -> DataFrame:
-    """Links (a, b) between the numbers of distinct fingerprints that connect them as all near
-    pairs would. ``fps`` has one column of fingerprints."""
+    """Links (a, b) between the numbers of distinct fingerprints: for ``EXACT``, such that they
+    connect them as all near pairs would, for ``SIMILAR`` every near pair that the index has.
+    ``fps`` has one column of fingerprints."""
     entries = fps.mapInArrow(_index(scheme), _ENTRY)
     out = None
     for level in range(scheme.splits + 1):
@@ -311,15 +355,90 @@ def near_components(docs: DataFrame, key: str, fp: str, node: str, scheme: Schem
     return labelled.join(least, "root").select(F.col(node).alias("node"), "root", "component_id")
 
 
+#: The likeness of near copies: shingles in common, of the shingles of both, in parts.
+LIKE = (4, 5)
+
+
+def _sketches(docs: DataFrame, key: str, text: str, width: int, scheme: Scheme) -> DataFrame:
+    """Per row its key, ``_th``, a hash of its text, ``_set``, a hash of the set of its shingles,
+    ``_size``, how many these are, and the set's fingerprint ``_fp`` with its number ``_node``."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_th"), F.col(text).cast("binary").alias("_t"))
+    longs = [T.StructField(n, T.LongType()) for n in ("_set", "_size", "_node")]
+    schema = T.StructType([*rows.schema.fields[:2], *longs, T.StructField("_fp", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, sizes, found = [], [], []
+            for x in batch.column(2):
+                hashes = np.unique(shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", width))
+                sets.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+                sizes.append(len(hashes))
+                found.append(_majority(hashes, scheme.lanes))
+            fps = np.frombuffer(b"".join(found), np.uint64).reshape(-1, scheme.lanes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+                 pa.array(scheme.node(fps).view(np.int64)), _binary(fps)], names=schema.names)
+        tidy()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``_set`` and its hashes, from ``_set`` and a text (bytes) that has it."""
+    schema = T.StructType([T.StructField("_set", T.LongType()), T.StructField("_hashes", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", width)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=schema.names)
+        tidy()
+
+    return texts.mapInArrow(run, schema)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of sets with their hashes, those of likeness ``LIKE`` and more."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both * LIKE[1] >= (len(x) + len(y) - both) * LIKE[0])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    tidy()
+
+
+def verified_links(docs: DataFrame, marked: DataFrame, key: str, text: str, width: int, scheme: Scheme, most: int = LIST) -> DataFrame:
+    """Links (a, b) between the distinct sets of shingles of likeness ``LIKE`` and more, among
+    the near pairs of fingerprints: the sets themselves are compared. ``marked`` has the rows of
+    ``_sketches``. Texts are read again for the sets of near pairs only."""
+    row = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("k"), F.col("_th").alias("t"))
+    sets = stored(marked.groupBy("_set").agg(F.first("_fp").alias("_fp"), F.first("_node").alias("_node"), F.first("_size").alias("_size"),
+                                             F.min(row).alias("_s")), "sets")
+    one, two = (sets.select(F.col("_node").alias(n), F.col("_set").alias(f"_{n}"), F.col("_size").alias(f"_n{n}")) for n in ("a", "b"))
+    near = near_links(sets.select("_fp").distinct(), scheme, most).join(one, "a").join(two, "b")
+    same = one.join(two, (F.col("a") == F.col("b")) & (F.col("_a") < F.col("_b")))  # sets of one fingerprint
+    sizes = F.least("_na", "_nb") * LIKE[1] >= F.greatest("_na", "_nb") * LIKE[0]
+    pairs = stored(near.select("_a", "_b", "_na", "_nb").union(same.select("_a", "_b", "_na", "_nb")).where(sizes).select("_a", "_b"), "pairs")
+    wanted = sets.join(pairs.select(F.col("_a").alias("_set")).union(pairs.select("_b")).distinct(), "_set").select(
+        "_set", _named(F.col("_s.k")).alias("_rk"), F.col("_s.t").alias("_rt"))
+    rows = docs.select(_named(F.col(key)).alias("_rk"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_rt"), F.col(text).cast("binary").alias("_t"))
+    texts = rows.join(wanted, ["_rk", "_rt"]).groupBy("_set").agg(F.first("_t").alias("_t"))
+    hashes = stored(_shingle_sets(texts, width), "shingles")
+    left, right = (hashes.select(F.col("_set").alias(n), F.col("_hashes").alias(f"_h{n}")) for n in ("_a", "_b"))
+    return pairs.join(left, "_a").join(right, "_b").select("_a", "_b", "_h_a", "_h_b").mapInArrow(_alike, "a long, b long")
+
+
 def deduplicate(docs: DataFrame, key: str, text: str, width: int = 5, scheme: Scheme = SIMILAR, most: int = LIST) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component of near copies the row with the
-    smallest key (nulls last; ties: the smallest hash of the text, then one of the equal
-    rows). All columns stay. An empty table gives an empty table."""
-    marked = stored(fingerprints(docs.select(key, text), text, width, scheme, "_fp", "_node").select(
-        key, "_fp", "_node", F.coalesce(F.xxhash64(text), F.lit(0)).alias("_th")), "marked")
-    groups = near_components(marked, key, "_fp", "_node", scheme, most).select("node", "root")
-    best = marked.join(groups, marked["_node"] == groups["node"]).groupBy("root").agg(
-        F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("_th").alias("t"))).alias("_s"))
+    """The rows of ``docs`` that stay: of each component of near copies (links: likeness of the
+    sets of shingles ``LIKE`` and more) the row with the smallest key (nulls last; ties: the
+    smallest hash of the text, then one of the equal rows). All columns stay. An empty table
+    gives an empty table."""
+    marked = stored(_sketches(docs, key, text, width, scheme), "marked")
+    roots = components(verified_links(docs, marked, key, text, width, scheme, most)).toDF("_n", "_r")
+    best = marked.join(roots, marked["_set"] == roots["_n"], "left").groupBy(F.coalesce("_r", "_set").alias("root")).agg(
+        F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("k"), F.col("_th").alias("t"))).alias("_s"))
     keep = best.select(_named(F.col("_s.k")).alias("_rk"), F.col("_s.t").alias("_rt"))
     rows = docs.withColumn("_rk", _named(F.col(key))).withColumn("_rt", F.coalesce(F.xxhash64(text), F.lit(0)))
     one = Window.partitionBy("_rk", "_rt").orderBy(F.lit(0))

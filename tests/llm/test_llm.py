@@ -149,6 +149,47 @@ def test_deduplicate(docs, none):
     assert simhash.deduplicate(none, "doc_id", "text").count() == 0
 
 
+def pair_of_texts(seed, size, like, width=5):
+    """Two texts of ``size`` different shingles each, of at least the likeness ``like`` and hardly more (or hardly less, if it is negative)."""
+    n = size + width - 1
+    one = [f"{seed}w{i}" for i in range(n)]
+    shared = size * 2 * abs(like) / (1 + abs(like))
+    same = math.ceil(shared - 1e-9) if like > 0 else math.ceil(shared - 1e-9) - 1
+    return " ".join(one), " ".join(one[:same + width - 1] + [f"{seed}v{i}" for i in range(n - same - width + 1)])
+
+
+def likeness(one, two, width=5):
+    a, b = (set(simhash.shingles(t.encode(), width).tolist()) for t in (one, two))
+    return len(a & b) / len(a | b)
+
+
+def test_deduplicate_keeps_texts_below_the_likeness(spark):
+    pairs = [pair_of_texts(i, 200, like) for i, like in enumerate([-0.8] * 20 + [0.75] * 20 + [0.7] * 20 + [0.95] * 20)]
+    assert all(likeness(*p) < 0.8 for p in pairs[:60])
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    rows += [(900, "q r s t u " * 200), (901, "q r s t u " * 200 + words(77, 30)), (902, " ".join(["z"] * 300 + ["a"])), (903, " ".join(["z"] * 9))]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert kept >= set(range(120)) | {900, 901, 902, 903}
+    assert kept & set(range(120, 160)) == set(range(120, 160, 2))
+
+
+@pytest.mark.parametrize("most", [4, 2048])
+def test_near_pairs_are_all_told_once(spark, most):
+    scheme = simhash.Scheme(4, 64, 2, [(0, 1), (1, 2), (3, 9)], 2, False)
+    draw = np.random.default_rng(4)
+    centre = draw.integers(0, 2**63, 4, dtype=np.uint64)
+    fps = np.stack([centre ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (4, 6)).astype(np.uint64), axis=1) for _ in range(60)])
+    got = Counter((min(r.a, r.b), max(r.a, r.b)) for r in simhash.near_links(spark.createDataFrame([(f.tobytes(),) for f in fps], "fp binary"), scheme, most).collect())
+    nodes = scheme.node(fps).view(np.int64).tolist()
+    want = set()
+    for i in range(59):
+        x, y = np.broadcast_to(fps[i], (60 - i - 1, 4)), fps[i + 1:]
+        enough = 4 if most == 4 else 2  # lists of more than ``most`` are split by further bytes
+        bytes_ = (np.ascontiguousarray(x ^ y).view(np.uint8).reshape(-1, 32) == 0).sum(1) >= enough
+        want |= {(min(nodes[i], nodes[j + i + 1]), max(nodes[i], nodes[j + i + 1])) for j in np.flatnonzero(scheme.near(x, y) & (scheme.first_set(x, y) >= 0) & bytes_)}
+    assert want and max(got.values()) == 1 and set(got) >= want and (most == 4 or set(got) == want)
+
+
 def brute_repeats(rows):
     texts = [(k, (t or "").encode()) for k, t in rows]
     order = lambda k: (k is not None, k or 0)
