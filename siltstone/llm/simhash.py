@@ -11,14 +11,14 @@ and of the twenty triples of positions in the index every four positions contain
 pair is found.
 ``SIMILAR``: 256 bits, for likeness 0.8 of the shingles. So many bits may differ there that
 no number of shared bytes is certain; a pair of likeness 0.8 shares eight of 32 on average,
-four are asked for, and 48 pairs of positions are indexed. Every near pair is told, not only
+two are asked for, and 128 pairs of positions are indexed. Every near pair is told, not only
 links that connect them. README has the measured recall.
 
 Equal fingerprints are one entry. A list with more than ``LIST`` entries is not paired but
 split by further positions, so that no task holds an unbounded list. For ``EXACT`` that is
 five blocks of the free bits, one of which a near pair must share, until 17 free bits bound
-the list. For ``SIMILAR`` it is each free position, until a list shares as many bytes as the
-count asks for.
+the list. For ``SIMILAR`` it is each free position, twice at most: pairs from such a list share
+three or four bytes.
 """
 
 from __future__ import annotations
@@ -119,8 +119,8 @@ def _rounds(positions: int, rounds: int) -> list[tuple[int, ...]]:
 
 
 EXACT = Scheme(1, 4, 4, _triples(), 4, True)
-#: Fingerprints of likeness 0.8 differ in 39 of 256 bits on average, give or take 6.
-SIMILAR = Scheme(4, 42, 4, _rounds(32, 3), 2, False)
+#: Fingerprints of likeness 0.8 differ in 39 of 256 bits on average, give or take 6 (of four shingles and five, 48).
+SIMILAR = Scheme(4, 64, 2, _rounds(32, 8), 2, False)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -190,6 +190,17 @@ def test_near_pairs_are_all_told_once(spark, most):
     assert want and max(got.values()) == 1 and set(got) >= want and (most == 4 or set(got) == want)
 
 
+@pytest.mark.parametrize("size", [200, 600])
+def test_deduplicate_finds_isolated_pairs(spark, size):
+    pairs = [pair_of_texts(f"{n}-{i}", size, like) for n, like in enumerate((0.8, 0.82, 0.85)) for i in range(100)]
+    assert all(0.8 <= likeness(*p) < 0.86 for p in pairs)
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert kept >= set(range(0, 600, 2))
+    for start in (0, 200, 400):  # each likeness: recall
+        assert 1 - len(kept & set(range(start + 1, start + 200, 2))) / 100 >= 0.94, start
+
+
 def brute_repeats(rows):
     texts = [(k, (t or "").encode()) for k, t in rows]
     order = lambda k: (k is not None, k or 0)
