@@ -6,7 +6,8 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, langid, mixing, simhash, suffixes
@@ -46,13 +47,26 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return placed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*COLUMNS)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``place``: where a row stands in the order it was written in, from 0, by the names of the Parquet files and the
+    rows in them. Rows that come from no file are counted as they come (in order, with gaps between partitions)."""
+    try:
+        told = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return docs.withColumn("place", F.monotonically_increasing_id())
+    counts = told.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))  # a row per file
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return told.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_start") + F.col("_row")).alias("place"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document's tokens, and whether they decode to its text."""
+    """The ids of every document's tokens, whether they decode to its text, and ``place``, where the document stands in the mixture."""
     clear_scratch(spark)
     ranks, pattern = bpe.vocabulary()
-    named = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    named = in_order(docs).select("doc_id", "lang", "source", "place", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     coded = bpe.decode(bpe.encode(named, "text", ranks, pattern), "ids", ranks)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+    return coded.select("doc_id", "lang", "source", "place", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 

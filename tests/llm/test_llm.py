@@ -396,6 +396,18 @@ def test_pipeline_stages(spark, docs, none):
         assert len(done) == rows.count() and all(r.round_trip for r in done)
 
 
+def test_tokens_tell_the_order_of_the_mixture(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"text {i} of {words(i, 20)}", "en", "s" + str(min(i % 7, 2)), 1) for i in range(300)]
+    start = spark.createDataFrame(rows, DOCS)
+    want = [r.doc_id for r in mixing.mix(start, "source", "doc_id").orderBy("mix_slot", "mix_place").collect()]
+    out = corpus_pipeline.mixed_sources(spark, start, "")
+    out.write.option("maxRecordsPerFile", 9).parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), "").select("place", "doc_id").collect()
+    assert [tuple(r) for r in sorted(got)] == list(enumerate(want))
+
+
 def test_repeats_keep_whole_characters(spark):
     cut = spark.createDataFrame([(bytearray("aé".encode()[:2] + b"b"),)], "kept binary").select(suffixes.whole_characters(F.col("kept"))).first()[0]
     assert cut == "ab"
