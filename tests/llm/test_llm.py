@@ -80,6 +80,48 @@ def test_pfair_deviation(blocks, weights):
     assert Counter(slots.values()) == Counter(sources)
 
 
+def worst_deviation(plan, blocks, weights):
+    """Most blocks by which a source's run in a phase ever differs from its unrounded share. Its lag grows until it runs: extremes lie at its runs and at the end."""
+    left, worst, start = dict(blocks), 0.0, 0
+    while start < len(plan):
+        phase = plan[start][2]
+        total, ran, now = sum(weights[s] for s in left), Counter(), 0
+        while start + now < len(plan) and plan[start + now][2] == phase:
+            s = plan[start + now][0]
+            worst = max(worst, abs(ran[s] - now * weights[s] / total), abs(ran[s] + 1 - (now + 1) * weights[s] / total))
+            ran[s], now = ran[s] + 1, now + 1
+        worst = max([worst, *(abs(ran[s] - now * weights[s] / total) for s in left)])
+        left = {s: n - ran[s] for s, n in left.items() if n > ran[s]}
+        start += now
+    return worst
+
+
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=7), st.lists(st.floats(1e-3, 1e3), min_size=7, max_size=7))
+@settings(max_examples=60, deadline=None)
+def test_schedule_follows_the_unrounded_weights(blocks, weights):
+    sources = {f"s{i}": n for i, n in enumerate(blocks)}
+    weight = dict(zip(sources, weights))
+    plan = list(mixing.schedule(sources, weight))
+    assert Counter(s for s, _, _ in plan) == Counter(sources)
+    assert all([b for s, b, _ in plan if s == k] == list(range(n)) for k, n in sources.items())
+    assert worst_deviation(plan, sources, weight) < 1 + 1e-9
+
+
+def test_schedule_of_one_hot_source_and_tiny_ones():
+    rows = {"hot": 5_000_000} | {f"mid{i}": 500_000 for i in range(10)} | {f"tiny{i}": 100 for i in range(20)}
+    weight = {s: n ** mixing.TEMPERATURE for s, n in rows.items()}
+    blocks = {s: min(-(-n // 8), 4000) for s, n in rows.items()}
+    assert worst_deviation(list(mixing.schedule(blocks, weight)), blocks, weight) < 1 + 1e-9
+
+
+def test_mixing_over_1024_sources(spark):
+    rows = [(i, f"s{i % 1500}") for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "id long, source string"), "source", "id", block_rows=2).collect()
+    assert sorted(r.id for r in got) == list(range(4000))
+    slots = {(r.mix_slot, r.source, r.mix_block) for r in got}
+    assert sorted(s for s, _, _ in slots) == list(range(len(slots)))
+
+
 def test_mixing_places_every_row_once(docs, none):
     rows = mixing.mix(docs, "source", "doc_id", block_rows=2).collect()
     assert len(rows) == len(corpus())
