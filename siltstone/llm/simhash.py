@@ -11,8 +11,9 @@ and of the twenty triples of positions in the index every four positions contain
 pair is found.
 ``SIMILAR``: 256 bits, for likeness 0.8 of the shingles. So many bits may differ there that
 no number of shared bytes is certain; a pair of likeness 0.8 shares eight of 32 on average,
-two are asked for, and 128 pairs of positions are indexed. Every near pair is told, not only
-links that connect them. README has the measured recall.
+two are asked for, and 128 pairs of positions are indexed. Links of a first, smaller index are
+compared by the texts and group what they connect; then every near pair of two groups is told,
+so that no group of near copies is paired out. README has the measured recall.
 
 Equal fingerprints are one entry. A list with more than ``LIST`` entries is not paired but
 split by further positions, so that no task holds an unbounded list. For ``EXACT`` that is
@@ -41,18 +42,20 @@ LIST, SHIFTS = 2048, 24
 
 class Scheme:
     """Fingerprints of ``lanes`` times 64 bits, the bits that may differ, the bytes that must be
-    shared, the sets of positions that key the index, and how lists are split."""
+    shared, the sets of positions that key the index, and how lists are split. With ``labels``,
+    a word behind the lanes tells a group, and only pairs of two groups are told, but all of them."""
 
-    def __init__(self, lanes: int, distance: int, shared: int, sets: list[tuple[int, ...]], splits: int, certain: bool):
+    def __init__(self, lanes: int, distance: int, shared: int, sets: list[tuple[int, ...]], splits: int, certain: bool, labels: bool = False):
         self.lanes, self.distance, self.shared, self.sets, self.splits, self.certain = lanes, distance, shared, sets, splits, certain
-        self.base = np.stack([_bytes_mask(s, lanes) for s in sets])
+        self.labels, self.words = labels, lanes + labels
+        self.base = np.stack([_bytes_mask(s, self.words) for s in sets])
         self.bits = [sum(1 << p for p in s) for s in sets]
 
     def children(self, mask: np.ndarray) -> np.ndarray:
         """A mask with each of the blocks that it can be extended by."""
         if not self.certain:
             free = [p for p in range(8 * self.lanes) if not mask.view(np.uint8)[p]]
-            return np.stack([mask | _bytes_mask((p,), self.lanes) for p in free])
+            return np.stack([mask | _bytes_mask((p,), self.words) for p in free])
         free = [b for b in range(64) if not int(mask[0]) >> b & 1]
         return np.stack([mask | np.array([sum(1 << int(b) for b in block)], np.uint64) for block in np.array_split(free, 5)])
 
@@ -61,14 +64,14 @@ class Scheme:
 
     def node(self, fps: np.ndarray) -> np.ndarray:
         """A number for a fingerprint: itself, or a hash of its lanes."""
-        return fps[:, 0] if self.lanes == 1 else _chain(fps)
+        return fps[:, 0] if self.lanes == 1 else _chain(fps[:, :self.lanes])
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Tally the shared positional bytes, then compare the bits of pairs with enough of them."""
-        differ = x ^ y
+        differ = (x ^ y)[:, :self.lanes]
         out = (np.ascontiguousarray(differ).view(np.uint8).reshape(len(x), -1) == 0).sum(1) >= self.shared
         out[out] = np.bitwise_count(differ[out]).sum(1, dtype=np.int64) <= self.distance
-        return out
+        return out & (x[:, -1] != y[:, -1]) if self.labels else out
 
     def told(self, x: np.ndarray, y: np.ndarray, names: np.ndarray, level: int) -> np.ndarray:
         """Whether the lists ``names`` are the ones that tell the pairs: of all that hold a pair,
@@ -119,8 +122,10 @@ def _rounds(positions: int, rounds: int) -> list[tuple[int, ...]]:
 
 
 EXACT = Scheme(1, 4, 4, _triples(), 4, True)
+#: A first look, for links that connect most of each group.
+FIRST = Scheme(4, 42, 4, _rounds(32, 3), 2, False)
 #: Fingerprints of likeness 0.8 differ in 39 of 256 bits on average, give or take 6 (of four shingles and five, 48).
-SIMILAR = Scheme(4, 64, 2, _rounds(32, 8), 2, False)
+SIMILAR = Scheme(4, 64, 2, _rounds(32, 8), 2, False, True)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -213,7 +218,7 @@ def _index(scheme: Scheme):
         names = np.arange(len(scheme.sets))
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                yield pa.RecordBatch.from_arrays(_entries(_fps(batch.column(0).slice(i, 1000), scheme.lanes), names, scheme.base), names=_ENTRY.names)
+                yield pa.RecordBatch.from_arrays(_entries(_fps(batch.column(0).slice(i, 1000), scheme.words), names, scheme.base), names=_ENTRY.names)
         tidy()
 
     return run
@@ -242,7 +247,9 @@ def _pairs(fps: np.ndarray, scheme: Scheme, name: int, level: int) -> Iterator[t
     """The near pairs that one list tells."""
     one, two, held = [], [], 0
     for i in range(len(fps) - 1):
-        hit = np.flatnonzero(np.bitwise_count(fps[i + 1:] ^ fps[i]).sum(1, dtype=np.int64) <= scheme.distance)
+        other = fps[i + 1:]
+        at = np.flatnonzero(other[:, -1] != fps[i, -1])
+        hit = at[np.bitwise_count((other[at] ^ fps[i])[:, :scheme.lanes]).sum(1, dtype=np.int64) <= scheme.distance] if len(at) else at
         one.append(np.full(len(hit), i))
         two.append(hit + i + 1)
         held += len(hit)
@@ -274,7 +281,7 @@ def _search(scheme: Scheme, level: int, most: int):
         for k in np.flatnonzero(sizes > SHIFTS):
             own = fps[starts[k]:starts[k] + sizes[k]]
             if len(own) <= most or level == scheme.splits:
-                if scheme.certain:
+                if not scheme.labels:
                     yield links(*_forest(own, scheme))
                 else:
                     for found in _pairs(own, scheme, int(mask[starts[k]]), level):
@@ -290,7 +297,7 @@ def _search(scheme: Scheme, level: int, most: int):
             for i in range(0, len(at), 1 << 16):
                 one = at[i:i + (1 << 16)]
                 one = one[scheme.near(fps[one], fps[one + d])]
-                if not scheme.certain and len(one):
+                if scheme.labels and len(one):
                     one = one[scheme.told(fps[one], fps[one + d], mask[one], level)]
                 elif level == 0 and len(one):  # a pair that shares many sets is told once
                     one = one[scheme.first_set(fps[one], fps[one + d]) == mask[one]]
@@ -298,10 +305,10 @@ def _search(scheme: Scheme, level: int, most: int):
                     yield links(fps[one], fps[one + d])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, scheme.lanes), np.uint64)]
+        none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, scheme.words), np.uint64)]
         held, long_key = none, None
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _fps(batch.column(2), scheme.lanes)]
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _fps(batch.column(2), scheme.words)]
             if long_key is not None:  # the rest of a list that is being split
                 end = int(np.searchsorted(new[0], long_key, "right"))
                 if end:
@@ -328,9 +335,9 @@ def _search(scheme: Scheme, level: int, most: int):
 
 
 def near_links(fps: DataFrame, scheme: Scheme = EXACT, most: int = LIST) -> DataFrame:
-    """Links (a, b) between the numbers of distinct fingerprints: for ``EXACT``, such that they
-    connect them as all near pairs would, for ``SIMILAR`` every near pair that the index has.
-    ``fps`` has one column of fingerprints."""
+    """Links (a, b) between the numbers of distinct fingerprints: such that they
+    connect them as all near pairs would, or, with labels, every near pair of two labels that the
+    index has. ``fps`` has one column of fingerprints (and labels, in the last eight bytes)."""
     entries = fps.mapInArrow(_index(scheme), _ENTRY)
     out = None
     for level in range(scheme.splits + 1):
@@ -416,11 +423,31 @@ def verified_links(docs: DataFrame, marked: DataFrame, key: str, text: str, widt
     row = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("k"), F.col("_th").alias("t"))
     sets = stored(marked.groupBy("_set").agg(F.first("_fp").alias("_fp"), F.first("_node").alias("_node"), F.first("_size").alias("_size"),
                                              F.min(row).alias("_s")), "sets")
-    one, two = (sets.select(F.col("_node").alias(n), F.col("_set").alias(f"_{n}"), F.col("_size").alias(f"_n{n}")) for n in ("a", "b"))
-    near = near_links(sets.select("_fp").distinct(), scheme, most).join(one, "a").join(two, "b")
-    same = one.join(two, (F.col("a") == F.col("b")) & (F.col("_a") < F.col("_b")))  # sets of one fingerprint
+    least = sets.groupBy("_node").agg(F.min("_set").alias("_least"))
+    same = sets.join(least, "_node").where("_set <> _least").join(
+        sets.select(F.col("_set").alias("_least"), F.col("_size").alias("_nb")), "_least")  # sets of one fingerprint
+    same = same.select(F.col("_set").alias("_a"), F.col("_least").alias("_b"), F.col("_size").alias("_na"), "_nb")
+    first = stored(_compared(docs, sets, _members(near_links(sets.select("_fp").distinct(), FIRST, most), sets).union(same), key, text, width), "first")
+    roots = components(first).toDF("_n", "_r")
+    grouped = stored(sets.join(roots, sets["_set"] == roots["_n"], "left").select(*sets.columns, F.coalesce("_r", "_set").alias("_root")), "grouped")
+    labelled = grouped.select(F.concat("_fp", F.unhex(F.lpad(F.hex("_root"), 16, "0"))).alias("_fp")).distinct()
+    left = near_links(labelled, scheme, most)
+    return first.union(_compared(docs, sets, _members(left.distinct(), grouped), key, text, width))
+
+
+def _members(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of linked fingerprints; where ``sets`` has groups (``_root``), of two groups."""
+    own = [c for c in ("_set", "_size", "_root") if c in sets.columns]
+    one, two = (sets.select(F.col("_node").alias(n), *(F.col(c).alias(c + n) for c in own)) for n in ("a", "b"))
+    found = links.join(one, "a").join(two, "b")
+    found = found.where("_roota <> _rootb") if "_root" in own else found
+    return found.select(F.col("_seta").alias("_a"), F.col("_setb").alias("_b"), F.col("_sizea").alias("_na"), F.col("_sizeb").alias("_nb"))
+
+
+def _compared(docs: DataFrame, sets: DataFrame, found: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """The pairs (a, b) of sets, out of ``found``, of likeness ``LIKE`` and more."""
     sizes = F.least("_na", "_nb") * LIKE[1] >= F.greatest("_na", "_nb") * LIKE[0]
-    pairs = stored(near.select("_a", "_b", "_na", "_nb").union(same.select("_a", "_b", "_na", "_nb")).where(sizes).select("_a", "_b"), "pairs")
+    pairs = stored(found.where(sizes).select("_a", "_b"), "pairs")
     wanted = sets.join(pairs.select(F.col("_a").alias("_set")).union(pairs.select("_b")).distinct(), "_set").select(
         "_set", _named(F.col("_s.k")).alias("_rk"), F.col("_s.t").alias("_rt"))
     rows = docs.select(_named(F.col(key)).alias("_rk"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_rt"), F.col(text).cast("binary").alias("_t"))
