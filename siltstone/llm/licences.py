@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
 A text is brought to a canonical form in which copies of one licence agree: lower case, no
-copyright lines, one spelling of equivalent words, no punctuation, single blanks. The SHA-256
+copyright notices, one spelling of equivalent words, no punctuation, single blanks. The SHA-256
 of the whole form is joined to the digests of the known licences. No part of a text matches,
 only a text that is a licence from end to end.
 """
@@ -22,14 +22,21 @@ SPELLINGS = [
     ("wilful", "willful"), ("noncommercial", "non commercial"), ("noninfringement", "non infringement"),
     ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
 ]
-#: A line that tells the holder: it may stand before, or be, the word copyright, (c) or the sign.
+#: Words that follow "copyright" or "(c)" where a line of a licence's own text begins with it.
+BODY = "notices?|holders?|owners?|laws?|interests?|licen[sc]es?|statements?|and|or|in|to|of|as|is|that|which"
+#: Where the text of a licence begins behind a notice on the same line.
+BEGIN = "permission is hereby granted|permission to use|redistribution and use|this software is provided"
+#: A notice, a line that tells the holder: "copyright" with (c), the sign, a year or a holder; (c); the sign; and "All rights reserved" below it.
+NOTICE = (rf"(^|\n)[ \t#*/;-]*(?:copyright(?=[ \t]*(?:\(c\)|©|[0-9<\[{{])|[ \t]+(?!(?:{BODY})\b)[\p{{L}}])|\(c\)(?![ \t]*(?:{BODY}|you|the|any|all|if|each)\b)|©"
+          rf")[^\n]*?(?:\s*\n[ \t#*/;-]*all rights reserved\.?[ \t\r]*)?(?=\n|$|{BEGIN})")
+#: What the SQL takes for a notice: every line that begins with one of the words. ``canonical`` keeps more; README names the difference.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*"
 TITLES = {"mit": "MIT", "isc": "ISC", "bsd-2-clause": "BSD-2-Clause", "zlib": "Zlib", "unlicense": "Unlicense", "0bsd": "0BSD"}
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null, and a text of copyright lines and punctuation alone becomes empty."""
-    plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
+    plain = F.regexp_replace(F.lower(text), NOTICE, "$1")
     plain = F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")
     plain = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
     for word, same in SPELLINGS:

@@ -323,6 +323,20 @@ def test_licences(spark, same):
     assert [got[i][0] for i in (2, 3, 4, 5)] == [None] * 4 and got[3][1] is got[4][1] is got[5][1] is None
 
 
+@pytest.mark.parametrize("header", ["", "Copyright (c) 2020 Someone\n\n", "Copyright 2019, 2020 The Authors.\nAll rights reserved.\n\n", "Copyright Someone Ltd.\r\n"])
+def test_wrapped_licences(spark, header):
+    import textwrap
+    rows = []
+    for name, text in licences.known_texts():
+        body = "\n\n".join(p for p in text.split("\n\n") if not p.strip().startswith("Copyright (c)"))
+        rows += [(name, header + "\n\n".join(textwrap.fill(p, width) for p in body.split("\n\n"))) for width in range(30, 81, 5)]
+    wrapped = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice and"
+    isc = next(t for n, t in licences.known_texts() if n == "ISC").split("<owner>")[1]
+    rows += [("ISC", header + isc.replace(wrapped.replace("\n", " "), wrapped)), ("ISC", "Copyright (c) 2020 Someone " + " ".join(isc.split()))]
+    got = licences.scan(spark.createDataFrame(rows, "want string, t string"), "t").collect()
+    assert len(got) == len(rows) and [(r.want, r.t) for r in got if r.licence != r.want] == []
+
+
 def encoder():
     ranks, pattern = bpe.vocabulary()
     return ranks, pattern, tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
