@@ -437,6 +437,7 @@ for _args in [
     ("concat", *P, "concat(p_brand, '-', p_type)", "p_brand || '-' || p_type"),
     ("concat_ws", *P, "concat_ws('/', p_brand, nullif(p_type, p_type), p_name)", "concat_ws('/', p_brand, NULL, p_name)"),
     ("convert_using", *D, lambda: S.convert_using(F.left("text", F.lit(40)), "ascii"), r"regexp_replace(left(text, 40), '[^\x00-\x7f]', '?', 'g')"),
+    ("convert_using_whole", *D, lambda: S.convert_using(F.col("text"), "ascii"), r"regexp_replace(text, '[^\x00-\x7f]', '?', 'g')"),
     ("elt", *P, lambda: S.elt(c("p_size") % 5, c("p_brand"), c("p_type"), c("p_name")), "CASE p_size % 5 WHEN 1 THEN p_brand WHEN 2 THEN p_type WHEN 3 THEN p_name END"),
     ("export_set", *P, lambda: S.export_set(c("p_size"), F.lit("Y"), F.lit("N"), ",", 4), "concat_ws(',', " + ", ".join(f"CASE WHEN (p_size >> {i}) & 1 = 1 THEN 'Y' ELSE 'N' END" for i in range(4)) + ")"),
     ("field", *P, lambda: S.field(c("p_size"), F.lit(3), F.lit(9), F.lit(27)), "CASE p_size WHEN 3 THEN 1 WHEN 9 THEN 2 WHEN 27 THEN 3 ELSE 0 END", "long"),
