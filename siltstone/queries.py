@@ -72,6 +72,8 @@ statement("where_three_valued", """SELECT d.doc_id, CASE WHEN l.quality = 1 AND
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 statement("order_nulls_first", """SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 ORDER BY l.quality ASC NULLS FIRST, d.doc_id LIMIT 500""")
+statement("order_nulls_first_whole", """SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+ORDER BY l.quality ASC NULLS FIRST, d.doc_id""")
 statement("case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS state FROM orders")
 statement("in_list_between", "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 5, 9) OR p_size BETWEEN 40 AND 45")
 statement("row_values", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('R', 'F'), ('N', 'O'))")
