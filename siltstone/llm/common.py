@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SCRATCH: list[str] = []
+#: What an owner has written: tables of the catalogue, and paths.
+_SCRATCH: dict[str, list[tuple[str, str]]] = {}
+_OWNER = ["queries"]
 #: Partitions of a shuffle and files of a bucketed table at most; only the layout depends on it.
 MOST_PARTITIONS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, where that is
-    unset (tests on one machine), a new temporary folder."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a session on one machine
+    (tests) gets a new temporary folder; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, mixed; different ones stay different."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python a thousand rows at a time, unless the session says otherwise: ten
     thousand, Spark's own number, are hundreds of MB where texts are long."""
@@ -62,11 +75,21 @@ def of_groups(f):
     return run
 
 
+@contextlib.contextmanager
+def owned(owner: str):
+    """Scratch tables written inside belong to ``owner``; ``clear_scratch`` deletes an owner's."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
 def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path in the shared folder; ``clear_scratch`` deletes it unless it is to be kept."""
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
     if not keep:
-        _SCRATCH.append(path)
+        _SCRATCH.setdefault(_OWNER[-1], []).append(("path", path))
     return path
 
 
@@ -87,15 +110,43 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str, deal: bool = True
     buckets = min(buckets, MOST_PARTITIONS)  # groups of a key share a bucket's file where there are more of them
     ((df.repartition(buckets, key) if deal else df).write.bucketBy(buckets, key).sortBy(key)
        .option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table))
+    _SCRATCH.setdefault(_OWNER[-1], []).append(("table", table))
     return spark.table(table)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far; results that still read them become unreadable."""
-    jvm = spark._jvm
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def clear_scratch(spark: SparkSession, owner: str) -> None:
+    """Delete the scratch tables of an owner; results of its that are not written yet become unreadable, no others."""
+    for kind, name in reversed(_SCRATCH.pop(owner, [])):
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            fs, path = _file_system(spark, name)
+            fs.delete(path, True)
+
+
+def _file_system(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def list_folder(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    fs, path = _file_system(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def put_text(spark: SparkSession, name: str, text: str) -> None:
+    """Write a small file that appears whole or not at all, and never in the place of another."""
+    fs, path = _file_system(spark, name)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(path) or not fs.rename(draft, path):
+        fs.delete(draft, False)
+        raise FileExistsError(name)
 
 
 def input_bytes(df: DataFrame, text: str) -> int:
@@ -114,29 +165,26 @@ def pieces(total_bytes: int, each: int, least: int = 12) -> int:
     return max(least, -(-int(total_bytes) // each))
 
 
-def gapless_rank(df: DataFrame, group: str, order: Column, ties: list[Column], out: str,
-                 size: str | None = None, buckets: int = 1024) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in the order of the signed 64-bit
-    hash ``order`` and then ``ties``. With ``size``, a row counts as that many rows and gets
-    the first of its numbers. Null groups are a group.
+def ranked(rows: DataFrame, buckets: int = 1024) -> DataFrame:
+    """Rows (``_row``, a struct of all their columns; ``_h``, a hash; ``_g``, a group; ``_c``, how many rows it stands for) with
+    ``_rank``, the first of their numbers in the group.
 
     No task holds a group: rows are dealt by the upper bits of the hash, numbered inside
     their bucket, and shifted by the counts of the lower buckets (a table whose size is
     groups times buckets). The numbers don't depend on the number of buckets.
     """
-    n = F.col(size) if size else F.lit(1)
     shift = 64 - max(1, (buckets - 1).bit_length())
-    keyed = df.withColumn("_h", order).withColumn("_b", F.shiftright("_h", shift)).withColumn(
-        "_g", F.coalesce(F.concat(F.lit("v"), F.col(group).cast("string")), F.lit("n")))
-    counts = keyed.groupBy("_g", "_b").agg(F.sum(n).alias("_n"))
+    keyed = rows.withColumn("_b", F.shiftright("_h", shift)).withColumn(
+        "_g", F.coalesce(F.concat(F.lit("v"), F.col("_g").cast("string")), F.lit("n")))
+    counts = keyed.groupBy("_g", "_b").agg(F.sum("_c").alias("_n"))
     earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_g", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_g", "_b").orderBy("_h", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = keyed.withColumn("_r", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    return ranked.join(before, ["_g", "_b"]).select(*df.columns, (F.col("_r") + F.col("_before")).cast("long").alias(out))
+    inside = Window.partitionBy("_g", "_b").orderBy("_h", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = keyed.withColumn("_r", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    return numbered.join(before, ["_g", "_b"]).select("_row", "_c", (F.col("_r") + F.col("_before")).cast("long").alias("_rank"))
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): a row (node, root) for each node with a link,
     root the smallest node of its component.
 
@@ -147,9 +195,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .where("a <> b").distinct(), "edges")
     sign = _signature(edges)
-    for _ in range(rounds):
-        if sign[0] == 0:
-            break
+    while sign[0]:  # the rounds grow with the logarithm of the longest chain
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -162,8 +208,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         sign = _signature(edges)
         if sign == before:
             break
-    else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select("b", "b").distinct())
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gapless_rank, stored
+from .common import ranked, stored
 
 #: Slots of a period of the periodic form, and so the most sources that it can have.
 QUANTA = 1024
@@ -152,12 +152,13 @@ def mix(df: DataFrame, source: str, key: str, weights: dict | None = None, *, bl
     ``mix_slot`` (the block's place in the whole mixture) and ``mix_place`` (the row's place
     in the block). Sorted by slot and place, rows are mixed to the weights.
 
-    Every row is kept once. Inside a source, rows come in the order of their key's hash. A
-    null source is a source of its own (weights key None). Sources without a given weight are an error.
+    Every row is kept once. Inside a source, rows come in the order of their key's hash, then of all columns, which must be
+    orderable. Columns with one of the four names are replaced; other names are free. A null source is a source of its own (weights key None). Sources without a given weight are an error.
     Weights are positive. An empty table gives an empty table. Only the row count per source
     comes to the driver.
     """
     spark = df.sparkSession
+    df = df.drop("mix_block", "mix_phase", "mix_slot", "mix_place")
     counts = {r[0]: r[1] for r in df.groupBy(source).agg(F.count(F.lit(1))).collect()}
     if weights is None:
         weights = {s: float(n) ** temperature for s, n in counts.items()}
@@ -165,10 +166,10 @@ def mix(df: DataFrame, source: str, key: str, weights: dict | None = None, *, bl
         raise ValueError(f"no positive weight for sources {missing[:5]}")
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     table = stored(spark.range(0, 1, 1, 1).mapInArrow(_slots(blocks, {s: weights[s] for s in counts}), _SLOTS), "slots")
-    ranked = gapless_rank(df, source, F.xxhash64(F.col(key)), [F.col(c) for c in df.columns if c != source], "_rank")
-    named = ranked.withColumn("_s", F.coalesce(F.concat(F.lit("v"), F.col(source).cast("string")), F.lit("n")))
+    rows = df.select(F.struct("*").alias("_row"), F.xxhash64(F.col(key)).alias("_h"), F.col(source).alias("_g"), F.lit(1).cast("long").alias("_c"))
+    named = ranked(rows).withColumn("_s", F.coalesce(F.concat(F.lit("v"), F.col(f"_row.{source}").cast("string")), F.lit("n")))
     placed = named.withColumn("mix_block", F.expr(f"_rank div {block_rows}")).join(table, ["_s", "mix_block"])
-    return placed.select(*df.columns, "mix_block", "mix_phase", "mix_slot", (F.col("_rank") % block_rows).cast("int").alias("mix_place"))
+    return placed.select("_row.*", "mix_block", "mix_phase", "mix_slot", (F.col("_rank") % block_rows).cast("int").alias("mix_place"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank
+from .common import ranked
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -36,20 +36,24 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard"
     return df.withColumn(out, rendezvous(F.col(key), weights))
 
 
+#: Copies of a row that are written out at once.
+_COPIES = 1 << 16
+
+
 def slots(df: DataFrame, shard: str, key: str, out: str = "slot") -> DataFrame:
     """Number the rows of each shard from 0 without gaps, in the order of the key's hash.
 
     Equal rows are counted before anything is numbered, so that a key that holds a third of
-    all rows is one row until the end. All columns of ``df`` must be groupable.
+    all rows is one row until the end, and is then written out in blocks of rows. All columns of ``df`` must be groupable and
+    orderable. Every row and other column stays, a column ``out`` is replaced, and no other name is taken: columns may have any
+    names. An empty table gives an empty table, null shards are a shard, null keys come in one place of the order.
     """
-    columns = df.columns
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    order = F.xxhash64(F.col(key).cast("string"))
-    ties = [F.col(c) for c in columns]
-    ranked = gapless_rank(counted, shard, order, ties, "_first", "_copies")
-    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))
-    return ranked.select(*columns, "_first", copy.alias("_i")).select(
-        *columns, (F.col("_first") + F.col("_i")).cast("long").alias(out))
+    counted = df.drop(out).select(F.struct("*").alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_c"))
+    placed = ranked(counted.select("_row", "_c", F.col(f"_row.{shard}").alias("_g"), F.xxhash64(F.col(f"_row.{key}").cast("string")).alias("_h")))
+    blocks = placed.select("_row", "_c", "_rank", F.explode(F.expr(f"sequence(0L, (_c - 1) div {_COPIES})")).alias("_i"))
+    first, last = F.col("_i") * _COPIES, F.least(F.col("_c"), (F.col("_i") + 1) * _COPIES) - 1
+    return blocks.select("_row", "_rank", F.explode(F.sequence(first, last)).alias("_j")).select(
+        "_row.*", (F.col("_rank") + F.col("_j")).cast("long").alias(out))
 
 
 #: Shards of the registered query, all of one weight.
