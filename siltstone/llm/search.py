@@ -1,14 +1,17 @@
-"""Exact top-k search by BM25 over sharded inverted indexes with block-max pruning.
-
-Documents are dealt into shards. A shard's index keeps, per term, the documents and their
-impacts, and the largest impact in each block of documents. For a query the block maxima of
-its terms are summed: as in WAND, a block whose sum cannot beat the k-th score found so far
-is skipped whole; the blocks of the largest sums are scored first and set the threshold. Like
-documents lie side by side, so that a block's maxima are close to what its documents reach. Every shard uses the statistics of the whole corpus, so the shards' lists are on
-one scale and their merge is exact.
-
-Queries are a stated set. They go to the shards in blocks of ``QUERIES``; what a task holds is
-one shard and one block of queries.
+"""Exact top-k search by BM25: an inverted index per shard, block-max WAND, an exact merge.
+
+One pass reads the texts where they lie. Every ``SHARD`` bytes of text become a shard: its
+postings (term, document, count) are written to the shared folder, and so are its terms'
+document counts and the queries' terms, from which the statistics of the whole corpus are
+added up. Texts are never shuffled, and the index is built once, whatever the number of queries.
+
+Queries are a stated set. They come past the stored index in blocks of ``QUERY_BYTES``, each
+broadcast. A task goes through its shards and keeps the ``k`` best hits of each query. Inside a
+shard, documents lie in blocks with the largest impact of each term. A query's cursor moves
+through the blocks in order; its pivot is the next block whose maxima sum to the query's threshold, the k-th score so far; blocks before it are
+not read. The threshold rises with every hit, from shard to shard too, and the blocks of the largest
+sums are read first, so that it starts high. Every shard uses the statistics of the whole corpus, so the
+tasks' lists are on one scale and their merge is exact.
 """
 
 from __future__ import annotations
@@ -18,21 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, of_group, of_groups, pieces, stored, tidy
+from .common import MOST_PARTITIONS, input_bytes, of_group, pieces, scratch_path, stored, tidy
 
-#: BM25's constants, documents of a block, bytes of text of a shard, queries of a block.
-K1, B, BLOCK, SHARD, QUERIES = 1.2, 0.75, 64, 5 << 23, 4096
+#: BM25's constants, documents of a block, bytes of text of a shard, bytes of a block of queries' terms.
+K1, B, BLOCK, SHARD, QUERY_BYTES = 1.2, 0.75, 64, 5 << 23, 1 << 25
 #: A term in more than this part of a shard's documents is kept as a full row of impacts.
 DENSE = 0.05
-#: Blocks that set a query's threshold, and queries that are worked on together.
-FIRST, TOGETHER = 4, 256
-#: Decimals that scores are rounded to, so that ties don't depend on the order of a sum.
-DECIMALS = 9
+#: Blocks that are read first, queries that are worked on together, and the entries of their cursors at most (or of one query).
+FIRST, TOGETHER, CURSORS = 4, 256, 1 << 20
+#: Decimals that scores are rounded to, so that ties don't depend on the order of a sum, and what sums may be off by.
+DECIMALS, SLACK = 9, 1e-6
 _SPACED = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256))
 
 
@@ -50,94 +54,175 @@ def terms(text: str | None, hashes: dict) -> np.ndarray:
     return np.fromiter((hashes[w] for w in words), np.uint64, len(words))
 
 
-class Index:
-    """A shard's index under the statistics of the corpus."""
-
-    def __init__(self, ids: list, texts: list[str | None], mean: float):
-        hashes = _Hashes()
-        self.n = len(ids)
-        length, parts = np.zeros(self.n), []
-        for i, t in enumerate(texts):
-            found = terms(t, hashes)
-            length[i] = len(found)
-            parts.append(np.unique(found, return_counts=True))
-        term = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
-        tf = np.concatenate([np.zeros(0, np.int32), *(p[1].astype(np.int32) for p in parts)])
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte planes apart, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<i8")).view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+class Postings:
+    """What a shard stores: its documents' keys (``none``: the key is null) and lengths, its sorted terms, and the
+    postings in the order of terms and documents."""
+
+    def __init__(self, ids: list, found: list[np.ndarray]):
+        parts = [np.unique(t, return_counts=True) for t in found]
+        length = np.array([len(t) for t in found], np.int64)
         # like documents side by side: those of one most frequent word, by length; a block's maxima are then close to its documents'
         alike = np.array([p[0][p[1].argmax()] if len(p[0]) else 0 for p in parts], np.uint64)
         placed = np.lexsort((length, alike))
-        self.ids, length = [ids[i] for i in placed], length[placed]
-        place = np.empty(self.n, np.int32)
-        place[placed] = np.arange(self.n, dtype=np.int32)
+        self.none = np.array([ids[i] is None for i in placed], bool)
+        self.ids = np.array([ids[i] or 0 for i in placed], np.int64)
+        self.length = length[placed]
+        place = np.empty(len(ids), np.int64)
+        place[placed] = np.arange(len(ids))
         doc = np.repeat(place, [len(p[0]) for p in parts])
-        del parts, hashes
+        term = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
+        tf = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+        del parts
         order = np.lexsort((doc, term))
-        term, tf, self.doc = term[order], tf[order].astype(float), doc[order]
-        del order, doc
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean)) if mean else tf
-        starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-        self.terms, self.starts = term[starts], np.r_[starts, len(term)]
+        term, self.doc, self.tf = term[order], doc[order], tf[order]
+        heads = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+        self.terms, self.starts = term[heads], np.r_[heads, len(term)].astype(np.int64)
+
+    def pack(self) -> tuple[bytes, ...]:
+        places = np.repeat(np.arange(len(self.terms)), np.diff(self.starts)) * len(self.ids) + self.doc
+        return (self.ids.tobytes(), np.packbits(self.none).tobytes(), _pack(self.length), self.terms.tobytes(),
+                _pack(np.diff(places, prepend=0)), _pack(self.tf))
+
+    @classmethod
+    def unpack(cls, ids: bytes, none: bytes, length: bytes, terms_: bytes, places: bytes, tf: bytes) -> Postings:
+        self = cls.__new__(cls)
+        self.ids, self.length, self.terms, self.tf = np.frombuffer(ids, np.int64), _unpack(length), np.frombuffer(terms_, np.uint64), _unpack(tf)
+        self.none = np.unpackbits(np.frombuffer(none, np.uint8), count=len(self.ids)).astype(bool)
+        number, self.doc = np.divmod(np.cumsum(_unpack(places)), max(1, len(self.ids)))
+        self.starts = np.searchsorted(number, np.arange(len(self.terms) + 1))
+        return self
+
+
+class Queries:
+    """A block of queries: their keys, and their terms as numbers in a list of all their terms with the weights of these."""
+
+    def __init__(self, ids: list[int], found: list[np.ndarray], df: list[np.ndarray], n: int):
+        self.ids, self.starts = np.array(ids, np.int64), np.cumsum([0, *map(len, found)])
+        self.vocabulary, first, where = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_index=True, return_inverse=True)
+        self.terms = where.astype(np.int32)
+        count = np.concatenate([np.zeros(0, np.int64), *df])[first]
+        self.weight = np.log1p((n - count + 0.5) / (count + 0.5))
+
+
+class Best:
+    """The ``k`` best hits of each query so far: score, then the smaller key, keys that are null last. Free places have the score 0."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score = k, np.zeros((queries, k))
+        self.ids, self.none = np.zeros((queries, k), np.int64), np.zeros((queries, k), bool)
+        self.least = np.zeros(queries)
+
+    def add(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray, none: np.ndarray) -> None:
+        """Scores of the queries ``at`` for the documents ``ids``."""
+        score = np.round(score, DECIMALS)
+        better = (score.max(1) >= self.least[at]) & (score.max(1) > 0)
+        at, score = at[better], score[better]
+        if not len(at):
+            return
+        wide = (len(at), len(ids))
+        score = np.concatenate([self.score[at], score], 1)
+        ids = np.concatenate([self.ids[at], np.broadcast_to(ids, wide)], 1)
+        none = np.concatenate([self.none[at], np.broadcast_to(none, wide)], 1)
+        best = np.lexsort((ids, none, -score), axis=1)[:, :self.k]
+        self.score[at], self.ids[at], self.none[at] = (np.take_along_axis(x, best, 1) for x in (score, ids, none))
+        self.least[at] = self.score[at, -1]
+
+
+class Index:
+    """A shard's index under the statistics of the corpus: impacts, and the largest of each term and block."""
+
+    def __init__(self, stored_: Postings, mean: float):
+        self.ids, self.none, self.terms, self.starts, self.doc = stored_.ids, stored_.none, stored_.terms, stored_.starts, stored_.doc
+        self.n = len(self.ids)
+        tf = stored_.tf.astype(float)
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * stored_.length[self.doc] / mean)) if mean else tf
         self.blocks = -(-self.n // BLOCK)
-        # block maxima of every term: postings of a term and block lie together
-        key = np.repeat(np.arange(len(starts)), np.diff(self.starts)) * max(1, self.blocks) + self.doc // BLOCK
+        # postings of a term and block lie together: a run
+        key = np.repeat(np.arange(len(self.terms)), np.diff(self.starts)) * max(1, self.blocks) + self.doc // BLOCK
         heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         self.most = np.maximum.reduceat(self.impact, heads) if len(heads) else np.zeros(0)
-        self.most_block = key[heads] % max(1, self.blocks)
-        self.most_starts = np.searchsorted(heads, self.starts)
+        self.run_block = (key[heads] % max(1, self.blocks)).astype(np.int32)
+        self.run_starts = np.r_[heads, len(key)]
+        self.first_run = np.searchsorted(heads, self.starts)
         common = np.flatnonzero(np.diff(self.starts) > DENSE * self.n)
-        self.row_of = np.full(len(starts) + 1, -1)
+        self.row_of = np.full(len(self.terms) + 1, -1)
         self.row_of[common] = np.arange(len(common))
         self.rows, self.row_most = np.zeros((len(common), self.n)), np.zeros((len(common), self.blocks))
         for i, t in enumerate(common):
             a, z = self.starts[t], self.starts[t + 1]
             self.rows[i, self.doc[a:z]] = self.impact[a:z]
-            a, z = self.most_starts[t], self.most_starts[t + 1]
-            self.row_most[i, self.most_block[a:z]] = self.most[a:z]
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, object]]]:
-        """For each query, terms and their weights, the k best (score, id) with one of its terms; ties by id, ids that
-        are None last."""
-        full, bound, scores = np.zeros((len(queries), len(self.rows))), np.zeros((len(queries), self.blocks)), np.zeros((len(queries), self.n))
-        for q, (query, weights) in enumerate(queries):
-            where = np.searchsorted(self.terms, query)
-            where[where == len(self.terms)] = 0
-            known = self.terms[where] == query if len(self.terms) else np.zeros(len(query), bool)
-            where, weights = where[known], weights[known]
-            row = self.row_of[where]
-            full[q, row[row >= 0]] = weights[row >= 0]
-            rare, weights = where[row < 0], weights[row < 0]
-            counts = self.most_starts[rare + 1] - self.most_starts[rare]
-            at = _runs(self.most_starts[rare], counts)
-            bound[q] = np.bincount(self.most_block[at], self.most[at] * np.repeat(weights, counts), self.blocks)
-            counts = self.starts[rare + 1] - self.starts[rare]
-            at = _runs(self.starts[rare], counts)
-            scores[q] = np.bincount(self.doc[at], self.impact[at] * np.repeat(weights, counts), self.n)
+            a, z = self.first_run[t], self.first_run[t + 1]
+            self.row_most[i, self.run_block[a:z]] = self.most[a:z]
+
+    def search(self, queries: Queries, best: Best) -> int:
+        """Bring ``best`` up to date with this shard; returns how many pairs of a query and a block were read."""
+        if not self.n or not len(self.terms):
+            return 0
+        where = np.minimum(np.searchsorted(self.terms, queries.vocabulary), len(self.terms) - 1)
+        where[self.terms[where] != queries.vocabulary] = -1
+        local = where[queries.terms]
+        row, runs = self.row_of[local], np.diff(self.first_run)[local]
+        runs[(local < 0) | (row >= 0)] = 0
+        cursors = np.r_[0, np.cumsum(runs)][queries.starts]
+        read, a = 0, 0
+        while a < len(queries.ids):
+            z = min(a + TOGETHER, len(queries.ids), max(a + 1, int(np.searchsorted(cursors, cursors[a] + CURSORS, "right")) - 1))
+            read += self._sweep(queries, best, a, z, local, row, runs)
+            a = z
+        return read
+
+    def _sweep(self, queries: Queries, best: Best, a: int, z: int, local: np.ndarray, row: np.ndarray, runs: np.ndarray) -> int:
+        mine = slice(queries.starts[a], queries.starts[z])
+        number = np.repeat(np.arange(z - a), np.diff(queries.starts[a:z + 1]))
+        weight, local, row, runs = queries.weight[queries.terms[mine]], local[mine], row[mine], runs[mine]
+        full = np.zeros((z - a, len(self.rows)))
+        common = (local >= 0) & (row >= 0)
+        full[number[common], row[common]] = weight[common]
+        # the cursors of the other terms: their runs, in the order of blocks
+        run = _runs(self.first_run[local], runs)
+        who, weight = np.repeat(number, runs), np.repeat(weight, runs)
+        block = self.run_block[run]
+        bound = np.bincount(who * self.blocks + block, self.most[run] * weight, (z - a) * self.blocks).astype(float).reshape(z - a, self.blocks)
         bound += full @ self.row_most
-        visited = np.zeros(bound.shape, bool)
-        if self.blocks:  # the blocks of the largest bounds set each query's threshold; what cannot reach it is skipped
-            np.put_along_axis(visited, np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST], True, 1)
-            self._score(visited, full, scores)
-            seen = np.where(np.repeat(visited, BLOCK, axis=1)[:, :self.n], scores, -1.0)
-            least = np.partition(seen, -min(k, self.n), axis=1)[:, -min(k, self.n)]
-            further = ~visited & (bound > 0) & (bound >= least[:, None] - 1e-6)
-            self._score(further, full, scores)
-            visited |= further
-        out = []
-        for q in range(len(queries)):
-            docs = np.flatnonzero(np.repeat(visited[q], BLOCK)[:self.n])
-            found = np.round(scores[q, docs], DECIMALS)
-            if len(found) > k:
-                best = found >= np.partition(found, -k)[-k]
-                docs, found = docs[best], found[best]
-            hits = [(float(x), self.ids[d]) for x, d in zip(found, docs) if x > 0]
-            out.append(sorted(hits, key=lambda h: (-h[0], h[1] is None, h[1]))[:k])
-        return out
-
-    def _score(self, visit: np.ndarray, full: np.ndarray, scores: np.ndarray) -> None:
-        """Add the common terms' part to the scores of the blocks that each query visits."""
-        for b in np.flatnonzero(visit.any(0)):
-            mine, docs = np.flatnonzero(visit[:, b]), slice(b * BLOCK, min(self.n, (b + 1) * BLOCK))
-            scores[mine, docs] += full[mine] @ self.rows[:, docs]
+        order = np.argsort(block, kind="stable")
+        run, who, weight = run[order], who[order], weight[order]
+        cuts = np.searchsorted(block[order], np.arange(self.blocks + 1))
+        waiting = bound > 0
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST], True, 1)
+        read = 0
+        for early in (True, False):
+            for b in range(self.blocks):
+                here = waiting[:, b] & (bound[:, b] >= best.least[a:z] - SLACK)
+                if early:
+                    here &= first[:, b]
+                    waiting[:, b] &= ~here
+                at = np.flatnonzero(here)
+                if not len(at):
+                    continue
+                read += len(at)
+                docs = slice(b * BLOCK, min(self.n, (b + 1) * BLOCK))
+                width = docs.stop - docs.start
+                cut = slice(cuts[b], cuts[b + 1])
+                seen = here[who[cut]]
+                counts = self.run_starts[run[cut][seen] + 1] - self.run_starts[run[cut][seen]]
+                posting = _runs(self.run_starts[run[cut][seen]], counts)
+                place = np.cumsum(here) - 1
+                cell = np.repeat(place[who[cut][seen]], counts) * width + self.doc[posting] - docs.start
+                score = np.bincount(cell, self.impact[posting] * np.repeat(weight[cut][seen], counts), len(at) * width).reshape(len(at), width)
+                best.add(a + at, score + full[at] @ self.rows[:, docs], self.ids[docs], self.none[docs])
+        return read
 
 
 def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -145,13 +230,22 @@ def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-_COUNTED = T.StructType([T.StructField("_bucket", T.IntegerType()), T.StructField("_query", T.LongType()), T.StructField("_asks", T.BooleanType()),
-                         T.StructField("_terms", T.BinaryType()), T.StructField("_df", T.BinaryType())])
+_SHARD = [T.StructField(n, T.BinaryType()) for n in ("_ids", "_none", "_lengths", "_all", "_places", "_tf")]
+#: A shard (its words in ``_words``), or a bucket's document counts in a shard, or the terms of a query in a bucket.
+_PASS = T.StructType([T.StructField("_bucket", T.IntegerType()), T.StructField("_query", T.LongType()), T.StructField("_terms", T.BinaryType()),
+                      T.StructField("_df", T.BinaryType()), T.StructField("_words", T.LongType()), *_SHARD])
 _QUERY = T.StructType([T.StructField("_query", T.LongType()), T.StructField("_terms", T.BinaryType()), T.StructField("_df", T.BinaryType())])
+_HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def _count(buckets: int):
-    """Of texts, the documents of each term, packed by bucket of terms; of queries, their terms, by the same buckets."""
+def _table(rows: list[tuple], schema: T.StructType) -> list[pa.Array]:
+    kinds = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.BinaryType(): pa.binary()}
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return [pa.array(list(c), kinds[f.dataType]) for c, f in zip(columns, schema, strict=True)]
+
+
+def _read(buckets: int, shard_bytes: int):
+    """The pass over the texts: shards, document counts and queries' terms."""
 
     def dealt(found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         bucket = (found % np.uint64(buckets)).astype(np.int64)
@@ -159,108 +253,124 @@ def _count(buckets: int):
         for pick in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             yield int(bucket[pick[0]]), pick
 
-    def rows(batch: pa.RecordBatch, hashes: _Hashes, held: list) -> list[tuple]:
-        out = []
-        length = 0
-        for text, query in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = terms(text, hashes)
-            length += len(found)
-            found = np.unique(found)
-            held.append(found)
-            if query is not None:
-                out += [(b, query, True, found[pick].tobytes(), None) for b, pick in dealt(found)]
-        return [*out, (-1, length, False, None, None)]  # the words of these texts
-
-    def flush(held: list) -> list[tuple]:
-        found, df = np.unique(np.concatenate(held), return_counts=True)
-        return [(b, None, False, found[pick].tobytes(), zlib.compress(df[pick].astype("<i8").tobytes(), 1)) for b, pick in dealt(found)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
+        hashes, ids, held, size = _Hashes(), [], [], 0
+        nothing = (None,) * len(_SHARD)
+
+        def flush() -> pa.RecordBatch:
+            shard = Postings(ids, held)
+            rows = [(-1, None, None, None, int(shard.length.sum()), *shard.pack())]
+            df = np.diff(shard.starts)
+            rows += [(b, None, shard.terms[pick].tobytes(), _pack(df[pick]), None, *nothing) for b, pick in dealt(shard.terms)]
+            ids.clear()
+            held.clear()
+            tidy()
+            return pa.RecordBatch.from_arrays(_table(rows, _PASS), names=_PASS.names)
+
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                out = rows(batch.slice(i, 500), hashes, held)
-                size = sum(map(len, held))
-                if size > 1 << 21:
-                    out += flush(held)
-                    held.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), _kinds(), strict=True)], names=_COUNTED.names)
-        if held and (out := flush(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), _kinds(), strict=True)], names=_COUNTED.names)
-        tidy()
+                part, asks = batch.slice(i, 500), []
+                sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).to_pylist()
+                for key, text, query, length in zip(*(part.column(c).to_pylist() for c in range(3)), sizes, strict=True):
+                    found = terms(text, hashes)
+                    ids.append(key)
+                    held.append(found)
+                    size += length
+                    if query is not None:
+                        own = np.unique(found)
+                        asks += [(b, query, own[pick].tobytes(), None, None, *nothing) for b, pick in dealt(own)]
+                    if size >= shard_bytes:
+                        size = 0
+                        yield flush()
+                if asks:
+                    yield pa.RecordBatch.from_arrays(_table(asks, _PASS), names=_PASS.names)
+        if ids:
+            yield flush()
 
     return run
 
 
-def _kinds() -> list[pa.DataType]:
-    return [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-
-
 def _answer(table: pa.Table) -> pa.Table:
     """The corpus's document counts of the queries' terms of one bucket."""
     asks, told = [], []
     for row in table.to_pylist():
-        (asks if row["_asks"] else told).append(row)
+        (told if row["_query"] is None else asks).append(row)
     term = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["_terms"], np.uint64) for r in told)])
-    df = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zlib.decompress(r["_df"]), "<i8") for r in told)])
+    df = np.concatenate([np.zeros(0, np.int64), *(_unpack(r["_df"]) for r in told)])
     known, where = np.unique(term, return_inverse=True)
     total = np.bincount(where, df, len(known)).astype(np.int64)
     found = [total[np.searchsorted(known, np.frombuffer(r["_terms"], np.uint64))].tobytes() for r in asks]
-    return pa.table([pa.array([r["_query"] for r in asks], pa.int64()), pa.array([r["_terms"] for r in asks], pa.binary()), pa.array(found, pa.binary())], names=_QUERY.names)
+    return pa.Table.from_arrays(_table([(r["_query"], r["_terms"], f) for r, f in zip(asks, found, strict=True)], _QUERY), names=_QUERY.names)
 
 
 def _whole(table: pa.Table) -> pa.Table:
     """The terms of one query, from all buckets, and their counts."""
     term, first = np.unique(np.frombuffer(b"".join(table.column("_terms").to_pylist()), np.uint64), return_index=True)
     df = np.frombuffer(b"".join(table.column("_df").to_pylist()), np.int64)[first]
-    planes = np.ascontiguousarray(df.astype("<i8")).view(np.uint8).reshape(-1, 8).T
-    packed = zlib.compress(np.ascontiguousarray(planes).tobytes(), 6)
-    return pa.table([pa.array([table.column("_query")[0].as_py()], pa.int64()), pa.array([term.tobytes()], pa.binary()), pa.array([packed], pa.binary())], names=_QUERY.names)
+    return pa.Table.from_arrays(_table([(table.column("_query")[0].as_py(), term.tobytes(), _pack(df))], _QUERY), names=_QUERY.names)
 
 
-_HITS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
+def _searched(queries, mean: float, k: int):
+    """A task's shards, one after the other; then its hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = queries.value
+        best = Best(len(asked.ids), k)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                Index(Postings.unpack(*(c[i].as_py() for c in batch.columns)), mean).search(asked, best)
+                tidy()
+        for a in range(0, len(asked.ids), 10_000):
+            there = best.score[a:a + 10_000] > 0
+            who = np.broadcast_to(asked.ids[a:a + 10_000, None], there.shape)[there]
+            ids, none = best.ids[a:a + 10_000][there], best.none[a:a + 10_000][there]
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids, mask=none), pa.array(best.score[a:a + 10_000][there])], names=_HITS.names)
+        tidy()
+
+    return run
 
 
-def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, shard_bytes: int = SHARD, queries: int = QUERIES) -> DataFrame:
+def top_k(docs: DataFrame, key: str, text: str, is_query: Column, k: int = 10, shard_bytes: int = SHARD, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """For each row where ``is_query`` holds, its whole text as a query: ``query_id``, ``rank``
     (from 1), ``doc_id`` and the BM25 ``score`` of the ``k`` best rows with a word of it, the
     row itself included. Ties go to the smaller key, null keys last; repeated rows are hits of
-    their own. ``key`` is a whole number. A query without words, or with a null key, has no hits. Rows of one key that
-    are queries together ask once, with the words of all their texts."""
+    their own. ``key`` is a whole number. A query without words (a null text too), or with a null key, has no hits. Rows of one key that
+    are queries together ask once, with the words of all their texts. An empty table has no hits. Other
+    columns of ``docs``, whatever their names, are not read.
+
+    Bounds: a task holds a shard (``shard_bytes`` of text and one text more) and a block of
+    queries (``query_bytes`` of terms and one query more), which is what is broadcast and what the driver sees. The
+    index is read once per block of queries, the texts once.
+    """
+    spark = docs.sparkSession
     base = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), F.coalesce(is_query, F.lit(False)).alias("_asks"))
     total = input_bytes(base, "_text")
-    shards, buckets = pieces(total, shard_bytes, 6), pieces(total, 1 << 25, 6)
-    counted = stored(base.select("_text", F.when(F.col("_asks"), F.col("_id")).alias("_query")).mapInArrow(_count(buckets), _COUNTED), "counts")
-    answers = counted.where("_bucket >= 0").groupBy("_bucket").applyInArrow(of_group(_answer), _QUERY)
+    buckets = min(pieces(total, 1 << 25, 6), MOST_PARTITIONS)
+    rows = base.select("_id", "_text", F.when(F.col("_asks"), F.col("_id")).alias("_query"))
+    rows = rows.coalesce(pieces(total, shard_bytes, spark.sparkContext.defaultParallelism))  # many small files don't become many small shards
+    indexed = stored(rows.mapInArrow(_read(buckets, shard_bytes), _PASS), "postings")
+    shards = indexed.where("_bucket = -1")
+    answers = indexed.where("_bucket >= 0").select("_bucket", *_QUERY.names).groupBy("_bucket").applyInArrow(of_group(_answer), _QUERY)
     answers = stored(answers.groupBy("_query").applyInArrow(_whole, _QUERY), "queries")
-    n = base.count()
-    mean = (counted.where("_bucket = -1").agg(F.sum("_query")).first()[0] or 0) / max(1, n)
-    asked = answers.count()
-    blocks = max(1, -(-asked // queries))
-    sharded = base.select("_id", "_text", F.pmod(F.xxhash64("_id", "_text"), F.lit(shards)).cast("int").alias("_shard"),
-                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    sent = answers.withColumn("_block", F.pmod(F.xxhash64("_query"), F.lit(blocks)).cast("int")).withColumn(
-        "_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        hits: list[tuple] = []
-        if rows.num_rows and asks.num_rows:
-            index = Index(rows.column("_id").to_pylist(), rows.column("_text").to_pylist(), float(mean or 0))
-            for start in range(0, asks.num_rows, TOGETHER):
-                some, queries = asks.slice(start, TOGETHER), []
-                for terms_, counts in zip(some.column("_terms").to_pylist(), some.column("_df").to_pylist(), strict=True):
-                    planes = np.frombuffer(zlib.decompress(counts), np.uint8).reshape(8, -1)
-                    df = np.ascontiguousarray(planes.T).view("<i8").ravel()
-                    queries.append((np.frombuffer(terms_, np.uint64), np.log1p((n - df + 0.5) / (df + 0.5))))
-                for q, best in zip(some.column("_query").to_pylist(), index.search(queries, k), strict=True):
-                    hits += [(q, i, x) for x, i in best]
-        columns = zip(*hits, strict=True) if hits else ([], [], [])
-        return pa.table([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=_HITS.names)
-
-    found = sharded.groupBy("_shard", "_block").cogroup(sent.groupBy("_shard", "_block")).applyInArrow(of_groups(run), _HITS)
+    asked = answers.agg(F.sum(F.octet_length("_terms"))).first()[0] or 0
+    blocks = max(1, -(-asked // query_bytes))
+    n, words = shards.agg(F.sum(F.octet_length("_ids")), F.sum("_words")).first()
+    n, hits = (n or 0) // 8, scratch_path(spark, "hits")
+    mean = (words or 0) / max(1, n)
+    answers = answers.withColumn("_block", F.pmod(F.xxhash64("_query"), F.lit(blocks)))
+    if blocks > 1:  # a block's queries are then read without the others
+        path = scratch_path(spark, "blocks")
+        answers.repartition("_block").write.partitionBy("_block").parquet(path)
+        answers = spark.read.parquet(path)
+    for b in range(blocks):
+        some = answers.where(F.col("_block") == b).collect()  # bounded by query_bytes
+        some = Queries([r["_query"] for r in some], [np.frombuffer(r["_terms"], np.uint64) for r in some], [_unpack(r["_df"]) for r in some], n)
+        shared = spark.sparkContext.broadcast(some)
+        shards.select([f.name for f in _SHARD]).mapInArrow(_searched(shared, mean, k), _HITS).write.mode("append").parquet(hits)
+        shared.unpersist()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    found = spark.read.schema(_HITS).parquet(hits).withColumn("rank", F.row_number().over(best))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def op4_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
