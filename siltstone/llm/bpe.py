@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -104,7 +105,7 @@ def _split_texts(pattern: str, place: int, buckets: int, names: list[str], kinds
                 blobs = []
                 for text in part.column(place).to_pylist():
                     blobs.append(pack(np.array([numbers[w] for w in split(text or "")], np.uint32)))
-                    size += len(text or "")
+                size += pc.sum(pc.binary_length(part.column(place))).as_py() or 0
                 rest = [c for n, c in enumerate(part.columns) if n != place]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(blobs, pa.binary()), pa.array([chunk] * len(blobs), word_kinds[0]),
                                                   *(pa.nulls(len(blobs), k) for k in word_kinds[1:])], names=names)

@@ -3,12 +3,14 @@
 Each n-gram of four bytes has a few slots in one table; a slot holds a bit per language, so
 that the ``and`` of an n-gram's slots is the set of languages whose Bloom filter contains it.
 A text's n-grams are counted per language, the counts are corrected for the filters' false
-positives, and the largest share decides.
+positives, and the largest share decides. A slot is a word of up to 64 bits; for more
+languages there are more tables, one for each 64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +18,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, smallest_hashes, tidy
+from .common import small_batches, tidy
 
 #: Bytes of an n-gram, slots of the filter table, slots of an n-gram.
 NGRAM, SLOTS, HASHES = 4, 1 << 20, 2
-#: Fitting: so many texts of a language at most, none longer than so many bytes; an n-gram is learnt from so many occurrences on.
-PER_LANGUAGE, FIT_BYTES, LEAST = 1000, 1 << 16, 2
+#: Fitting: so many texts of a language at most, none longer than so many bytes, so many bytes in all; an n-gram is learnt from so many occurrences on.
+PER_LANGUAGE, FIT_BYTES, LANGUAGE_BYTES, LEAST = 1000, 1 << 16, 1 << 22, 2
 #: A language contains an n-gram if its rate there is at least this part of the rate in the language that has it most: texts quote other languages.
 COMMON = 0.05
 UNDETERMINED = "und"
@@ -68,26 +70,45 @@ def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageFilter:
-    """The languages, the table of bitmasks and each language's rate of false positives."""
-
-    def __init__(self, samples: dict[str, list[str]]):
-        self.languages = sorted(samples)
-        if len(self.languages) > 64:
-            raise ValueError("a slot holds 64 languages")
-        kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(self.languages) <= bits)
-        self.table = np.zeros(SLOTS, kind)
+    """The languages, the tables of bitmasks (64 languages each) and each language's rate of false positives.
+
+    ``counted`` has each language's n-grams with how often they occur."""
+
+    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages = sorted(counted)
         self.false = np.zeros(len(self.languages))
-        counted = [_counted(samples[language]) for language in self.languages]
-        every = np.unique(np.concatenate([g for g, _ in counted] or [np.zeros(0, np.uint32)]))
+        every = np.unique(np.concatenate([np.zeros(0, np.uint32), *(g for g, _ in counted.values())]))
         most = np.zeros(len(every))
-        for grams, counts in counted:
+        for grams, counts in counted.values():
             where = np.searchsorted(every, grams)
             most[where] = np.maximum(most[where], counts / max(1, counts.sum()))
-        for bit, (grams, counts) in enumerate(counted):
-            own = counts / max(1, counts.sum()) >= COMMON * most[np.searchsorted(every, grams)]
-            for slots in _slots(grams[(counts >= LEAST) & own]):
-                self.table[slots] |= kind(1 << bit)
-            self.false[bit] = np.mean((self.table >> kind(bit)) & kind(1)) ** HASHES
+        self.tables = []
+        for first in range(0, len(self.languages), 64):
+            some = self.languages[first:first + 64]
+            kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(some) <= bits)
+            table = np.zeros(SLOTS, kind)
+            for bit, language in enumerate(some):
+                grams, counts = counted[language]
+                own = counts / max(1, counts.sum()) >= COMMON * most[np.searchsorted(every, grams)]
+                for slots in _slots(grams[(counts >= LEAST) & own]):
+                    table[slots] |= kind(1 << bit)
+                self.false[first + bit] = np.mean((table >> kind(bit)) & kind(1)) ** HASHES
+            self.tables.append(table)
+
+    @classmethod
+    def of(cls, samples: dict[str, list[str]]) -> LanguageFilter:
+        return cls({language: _counted(texts) for language, texts in samples.items()})
+
+    def contains(self, grams: np.ndarray) -> Iterator[np.ndarray]:
+        """For each language, which n-grams its filter contains; 0 is no n-gram."""
+        slots, none = _slots(grams), grams == 0
+        for first, table in zip(range(0, len(self.languages), 64), self.tables, strict=True):
+            sets = table[slots[0]]
+            for s in slots[1:]:
+                sets &= table[s]
+            sets[none] = 0
+            for bit in range(min(64, len(self.languages) - first)):
+                yield (sets >> sets.dtype.type(bit)) & sets.dtype.type(1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """A language and a score from 0 to 1, the corrected share of the language's n-grams; ``und`` and 0 for
@@ -95,14 +116,8 @@ class LanguageFilter:
         known = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         for first, grams, starts in _blocks([texts[i] for i in known]):
-            slots = _slots(grams)
-            sets = self.table[slots[0]]
-            for s in slots[1:]:
-                sets &= self.table[s]
-            real = grams != 0
-            sets[~real] = 0
-            n = np.maximum(np.add.reduceat(real, starts, dtype=np.int64), 1)
-            share = np.stack([np.add.reduceat((sets >> sets.dtype.type(b)) & sets.dtype.type(1), starts, dtype=np.int64) for b in range(len(self.languages))], 1) / n[:, None]
+            n = np.maximum(np.add.reduceat(grams != 0, starts, dtype=np.int64), 1)
+            share = np.stack([np.add.reduceat(found, starts, dtype=np.int64) for found in self.contains(grams)], 1) / n[:, None]
             share = np.clip((share - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
             best = share.argmax(1)
             for k, b in enumerate(best):
@@ -113,18 +128,22 @@ class LanguageFilter:
 
 def fit(docs: DataFrame, text: str, lang: str, learn: Column, per_language: int = PER_LANGUAGE) -> LanguageFilter:
     """A filter from the rows where ``learn`` holds and language and text are there: of each language about
-    ``per_language`` distinct texts, those with the smallest hashes, of at most ``FIT_BYTES`` bytes. The share of the hashes that is taken
-    falls as the corpus grows, so that bound holds at any size."""
+    ``per_language`` distinct texts, those with the smallest hashes, of at most ``FIT_BYTES`` bytes each and about ``LANGUAGE_BYTES``
+    together. The share of the hashes that is taken falls as the corpus grows, so that bound holds at any size. The driver
+    sees one language's texts after the other's, and keeps their n-grams."""
     rows = (docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= FIT_BYTES))
             .select(F.col(lang).alias("_l"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t")))
-    bounds = {r[0]: smallest_hashes(per_language, r[1]) for r in rows.groupBy("_l").agg(F.approx_count_distinct("_h")).limit(65).collect()}
-    chosen = F.lit(False)
-    for name, most in bounds.items():
-        chosen = chosen | ((F.col("_l") == name) & (F.col("_h") <= most))
-    samples: dict[str, list[str]] = {name: [] for name in bounds}
-    for r in rows.where(chosen).groupBy("_l", "_h").agg(F.min("_t").alias("_t")).toLocalIterator():
-        samples[r[0]].append(r[2])
-    return LanguageFilter(samples)
+    sizes = rows.groupBy("_l").agg(F.approx_count_distinct("_h").alias("n"), F.avg(F.octet_length("_t")).alias("each"))
+    wanted = sizes.select("_l", F.least(F.lit(float(per_language)), LANGUAGE_BYTES / F.greatest("each", F.lit(1.0))).alias("wanted"), "n")
+    # a row per language; the share of the hashes as a bound that they stay below
+    bound = wanted.select(F.col("_l").alias("_b"), F.when(F.col("n") <= F.col("wanted"), F.lit((1 << 63) - 1)).otherwise(
+        (F.col("wanted") / F.col("n") * 2.0**64 - 2.0**63).cast("long")).alias("_most"))
+    chosen = rows.join(F.broadcast(bound), (F.col("_l") == F.col("_b")) & (F.col("_h") <= F.col("_most")))
+    texts = chosen.groupBy("_l", "_h").agg(F.min("_t").alias("_t")).orderBy("_l", "_h")
+    counted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for language, some in groupby(texts.toLocalIterator(), key=lambda r: r[0]):
+        counted[language] = _counted([r[2] for r in some])
+    return LanguageFilter(counted)
 
 
 def predict(docs: DataFrame, text: str, model: LanguageFilter, out: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -132,7 +151,7 @@ def predict(docs: DataFrame, text: str, model: LanguageFilter, out: str = "lang_
     Columns already of these names are replaced."""
     small_batches(docs.sparkSession)
     docs = docs.drop(out, score)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 8 MB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 8 MB for each 64 languages, whatever the corpus
     place = docs.columns.index(text)
     schema = docs.select("*", F.lit("").alias(out), F.lit(0.0).alias(score)).schema
 

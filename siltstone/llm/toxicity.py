@@ -23,7 +23,7 @@ from .langid import held_out
 #: Rows of the embedding table, numbers in a row, filters of each width, widths in words, letters of a word's beginnings.
 ROWS, DIMENSIONS, FILTERS, WIDTHS, BEGINNINGS = 1 << 15, 16, 8, (1, 2, 3), (4, 5)
 #: Fitting: texts of each label at most, bytes of the longest; passes and steps at least, texts of a step, step size.
-PER_LABEL, FIT_BYTES, PASSES, STEPS, STEP_TEXTS, STEP = {0: 3000, 1: 2000}, 1 << 16, 6, 500, 32, 0.02
+PER_LABEL, FIT_BYTES, PASSES, STEPS, STEP_TEXTS, STEP = {0: 3000, 1: 2000}, 1 << 14, 6, 500, 32, 0.02
 #: Where every language's threshold lies on the scale of scores.
 THRESHOLD = 0.3
 #: Frequent function words that tell the language of a text.
