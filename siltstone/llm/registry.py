@@ -7,7 +7,7 @@ from . import bpe, langid, licences, mixing, search, sharding, simhash, suffixes
 _ALL = [
     sharding.op1_rendezvous_shards, simhash.op2_simhash_components, mixing.op3_mix_sources, search.op4_bm25_top_k,
     suffixes.op5_suffix_repeats, toxicity.op6_toxicity, winnowing.op7_winnowing, licences.op8_licence_digests,
-    bpe.op9_byte_bpe, langid.op10_language_id,
+    bpe.op9_byte_bpe, langid.op10_language_id, licences.licences_known,
 ]
 
 
@@ -16,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licence_digests": licences.oracle_sql()}
+    return licences.oracle_sql()
