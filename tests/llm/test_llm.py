@@ -114,6 +114,46 @@ def test_schedule_of_one_hot_source_and_tiny_ones():
     assert worst_deviation(list(mixing.schedule(blocks, weight)), blocks, weight) < 1 + 1e-9
 
 
+def test_columns_of_the_operators_own_names(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 3}", -i) for i in range(20)] * 2, "id long, source string, mix_slot int")
+    for name in ("slot", "_h", "_row", "_g", "_c", "_rank", "_s"):
+        rows = rows.withColumn(name, F.lit(1))
+    got = mixing.mix(rows, "source", "id", block_rows=2)
+    assert sorted(got.columns) == sorted([*rows.columns, "mix_block", "mix_phase", "mix_place"])
+    places = [(r.mix_slot, r.mix_place) for r in got.collect()]
+    assert len(places) == len(set(places)) == 40
+    placed = sharding.slots(rows, "source", "id")
+    assert sorted(placed.columns) == sorted(rows.columns)
+    assert Counter(r.slot for r in placed.where("source = 's0'").collect()) == Counter(range(14))
+
+
+def test_slots_of_a_row_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_COPIES", 4)
+    rows = spark.createDataFrame([(1, 0)] * 23 + [(2, 0), (None, 0), (3, None)], "id long, shard int")
+    got = sharding.slots(rows, "shard", "id").collect()
+    assert sorted(r.slot for r in got if r.shard == 0) == list(range(25)) and [r.slot for r in got if r.shard is None] == [0]
+
+
+def test_slots_against_plain_edf(spark):
+    """Every row's slot as a plain search for the earliest deadline gives it, over the unrounded weights."""
+    from fractions import Fraction
+    rows = [(i, "abcde"[min(i * i % 11, 4)]) for i in range(90)]
+    weight = {"a": 0.6, "b": 0.3, "c": 0.1, "d": 0.017, "e": 2.5}
+    left = {s: -(-n // 2) for s, n in Counter(s for _, s in rows).items()}
+    ran, want, slot = Counter(), {}, 0
+    while left:
+        total, now, start = sum(Fraction(weight[s]) for s in left), 0, Counter()
+        while all(left.values()):
+            share = {s: Fraction(weight[s]) / total for s in left}
+            due = [(math.ceil((start[s] + 1) / share[s]), s) for s in left if math.floor(start[s] / share[s]) <= now]
+            _, s = min(due)
+            want[slot] = (s, ran[s])
+            start[s], ran[s], left[s], now, slot = start[s] + 1, ran[s] + 1, left[s] - 1, now + 1, slot + 1
+        left = {s: n for s, n in left.items() if n}
+    got = mixing.mix(spark.createDataFrame(rows, "id long, source string"), "source", "id", weight, block_rows=2).collect()
+    assert {r.mix_slot: (r.source, r.mix_block) for r in got} == want
+
+
 def test_mixing_over_1024_sources(spark):
     rows = [(i, f"s{i % 1500}") for i in range(4000)]
     got = mixing.mix(spark.createDataFrame(rows, "id long, source string"), "source", "id", block_rows=2).collect()
@@ -189,6 +229,9 @@ def test_deduplicate(docs, none):
     kept = [r.doc_id for r in simhash.deduplicate(docs, "doc_id", "text").collect()]
     assert 0 in kept and 20 not in kept and 21 not in kept and kept.count(25) == 1 and 22 in kept and 23 not in kept
     assert simhash.deduplicate(none, "doc_id", "text").count() == 0
+    clash = docs.withColumn("_rk", F.lit(1)).withColumn("_n", F.lit("n")).withColumn("_row", F.lit(2.0))
+    got = simhash.deduplicate(clash, "doc_id", "text")
+    assert got.columns == clash.columns and Counter(r.doc_id for r in got.collect()) == Counter(kept)
 
 
 def pair_of_texts(seed, size, like, width=5):
@@ -215,22 +258,89 @@ def test_deduplicate_keeps_texts_below_the_likeness(spark):
     assert kept & set(range(120, 160)) == set(range(120, 160, 2))
 
 
-@pytest.mark.parametrize("most", [4, 2048])
-def test_near_pairs_are_all_told_once(spark, most):
-    scheme = simhash.Scheme(4, 64, 2, [(0, 1), (1, 2), (3, 9)], 2, False, True)
-    plain = simhash.Scheme(4, 64, 2, scheme.sets, 2, False)
+def joined(labels, links):
+    """The groups that links make of labels."""
+    root = {x: x for x in labels}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return {frozenset(x for x in root if find(x) == r) for r in map(find, root)}
+
+
+@pytest.mark.parametrize("most", [2, 8, 30, 2048])
+@pytest.mark.parametrize("groups", [60, 7, 2])
+def test_groups_are_connected_as_by_all_near_pairs(spark, most, groups):
+    """The same groups are connected whatever the length of a list and the sizes of the groups in it, by links that are near."""
+    scheme = simhash.Scheme(4, 64, 2, [(0, 1), (1, 2), (3, 9)], labels=True)
     draw = np.random.default_rng(4)
-    centre = draw.integers(0, 2**63, 4, dtype=np.uint64)
-    fps = np.stack([centre ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (4, 6)).astype(np.uint64), axis=1) for _ in range(60)])
-    got = Counter((min(r.a, r.b), max(r.a, r.b)) for r in simhash.near_links(spark.createDataFrame([(f.tobytes() + i.to_bytes(8, "little"),) for i, f in enumerate(fps)], "fp binary"), scheme, most).collect())
-    nodes = scheme.node(fps).view(np.int64).tolist()
-    want = set()
+    centres = draw.integers(0, 2**63, (3, 4), dtype=np.uint64)
+    fps = np.stack([centres[i % 3] ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (4, 9)).astype(np.uint64), axis=1) for i in range(60)])
+    label = [i % groups if i % 3 else 0 for i in range(60)]
+    rows = [(f.tobytes() + i.to_bytes(8, "little"),) for f, i in zip(fps, label)]
+    got = [(r.a, r.b) for r in simhash.near_links(spark.createDataFrame(rows, "fp binary"), scheme, most).collect()]
+    number = {n: i for i, n in enumerate(scheme.node(fps).view(np.int64).tolist())}
+    plain, want = simhash.Scheme(4, 64, 2, scheme.sets), set()
     for i in range(59):
         x, y = np.broadcast_to(fps[i], (60 - i - 1, 4)), fps[i + 1:]
-        enough = 4 if most == 4 else 2  # lists of more than ``most`` are split by further bytes
-        bytes_ = (np.ascontiguousarray(x ^ y).view(np.uint8).reshape(-1, 32) == 0).sum(1) >= enough
-        want |= {(min(nodes[i], nodes[j + i + 1]), max(nodes[i], nodes[j + i + 1])) for j in np.flatnonzero(plain.near(x, y) & (plain.first_set(x, y) >= 0) & bytes_)}
-    assert want and max(got.values()) == 1 and set(got) >= want and (most == 4 or set(got) == want)
+        want |= {(i, int(j) + i + 1) for j in np.flatnonzero(plain.near(x, y) & (plain.first_set(x, y) >= 0))}
+    assert want and {tuple(sorted((number[a], number[b]))) for a, b in got} <= want
+    assert joined(label, [(label[number[a]], label[number[b]]) for a, b in got]) == joined(label, [(label[a], label[b]) for a, b in want])
+
+
+@pytest.mark.parametrize("scheme", [simhash.SIMILAR[0], simhash.EXACT])
+def test_a_pair_is_linked_alike_in_lists_of_any_length(spark, scheme):
+    """Two entries that share two bytes and few bits, among entries that share their list and are far from them."""
+    draw = np.random.default_rng(8)
+    one = draw.integers(0, 2**63, scheme.lanes, dtype=np.uint64)
+    results = {}
+    for count in (2, 25, 3000):
+        for flips in (3, 29):
+            two = one.copy().view(np.uint8)
+            free = [p for p in range(8 * scheme.lanes) if p not in scheme.sets[0]]
+            two[free[:flips]] ^= np.uint8(1)
+            others = draw.integers(0, 256, (count - 2, 8 * scheme.lanes)).astype(np.uint8)
+            others[:, list(scheme.sets[0])] = one.view(np.uint8)[list(scheme.sets[0])]
+            fps = [one.tobytes(), two.tobytes(), *(o.tobytes() for o in others)]
+            rows = [(f + (i.to_bytes(8, "little") if scheme.labels else b""),) for i, f in enumerate(fps)]
+            got = {frozenset((r.a, r.b)) for r in simhash.near_links(spark.createDataFrame(rows, "fp binary"), scheme, 1024).collect()}
+            nodes = scheme.node(np.stack([one, two.view(np.uint64)])).view(np.int64).tolist()
+            results.setdefault(flips, set()).add(frozenset(nodes) in got)
+    assert all(len(v) == 1 for v in results.values()), results
+    assert results[29] == {scheme is not simhash.EXACT} and results[3] == {True}
+
+
+@pytest.mark.parametrize("most,piece", [(None, simhash.PIECE), (8, 5)])
+def test_deduplicate_against_all_pairs(spark, monkeypatch, most, piece):
+    """Families of texts of all likenesses, whole or cut into pieces: the rows that stay are those by all near pairs, compared one by one."""
+    draw = np.random.default_rng(12)
+    texts = []
+    for f in range(4):
+        base = words(f, 60, 10**6).split()
+        for _ in range(14):
+            t = list(base)
+            for at in draw.integers(0, 60, draw.integers(0, 5)):
+                t[at] = f"v{draw.integers(0, 10**6)}"
+            texts.append(" ".join(t))
+    texts += [None, "", "one two", "one two", *texts[:3]]
+    rows = [(i * 7 % 97, t) for i, t in enumerate(texts)]
+    sets = [np.unique(simhash.shingles((t or "").encode(), 5)) for t in texts]
+    fps = np.stack([np.frombuffer(simhash._majority(h, 4), np.uint64) for h in sets])
+    links = []
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            alike = both * 5 >= (len(sets[i]) + len(sets[j]) - both) * 4
+            told = simhash.SIMILAR[0].distance >= int(np.bitwise_count(fps[i] ^ fps[j]).sum()) and any(s.first_set(fps[i:i + 1], fps[j:j + 1])[0] >= 0 for s in simhash.SIMILAR)
+            if alike and told:
+                links.append((i, j))
+    want = {min(rows[i][0] for i in group) for group in joined(range(len(texts)), links)}
+    got = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", most=most, piece=piece).collect()]
+    assert sorted(got) == sorted(want)
 
 
 @pytest.mark.parametrize("size", [200, 600])
@@ -274,34 +384,105 @@ def test_suffix_repeats(spark, docs, none):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_repeats([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("batches", [1, 2, 8])
+def test_family_over_batches(spark, tmp_path, batches):
+    """Batches against the stored levels lose what one run over all documents loses."""
+    draw = np.random.default_rng(6)
+    pool = ["ab" * 40, "a" * 130, words(9, 30), "é" * 70, words(19, 40)]
+    rows = [(i, "".join(str(draw.integers(0, 9)) + pool[draw.integers(0, 5)][draw.integers(0, 20):draw.integers(30, 140)] for _ in range(5))) for i in range(40)]
+    family = suffixes.Family(spark, f"file://{tmp_path}/family", buckets=5, part=1024, batch=64)
+    got = Counter()
+    for some in np.array_split(np.arange(40), batches):
+        out = family.remove(spark.createDataFrame([rows[i] for i in some], "doc_id long, text string"), "doc_id", "text")
+        got.update((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect())
+    assert got == brute_repeats(rows)
+    n, levels = family.levels()
+    assert n == batches and len(levels) <= 1 + batches.bit_length()
+
+
+def test_long_texts_are_read_by_pieces(spark):
+    long = words(31, 120_000, 10**6)
+    rows = [(1, long), (2, "x" + long[300_000:]), (3, long[:400_000] + "y")]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {1: (0, 0), 2: (len(long) - 300_000, 1), 3: (400_000, 1)}
+
+
 def test_levels_merge():
     draw = np.random.default_rng(1)
     keys, docs = draw.integers(0, 50, 700), draw.integers(0, 40, 700)
     least = {}
     for k, d in zip(keys, docs):
         least[k] = min(d, least.get(k, d))
-    assert (suffixes.had_earlier(keys, docs, 16) == np.array([least[k] < d for k, d in zip(keys, docs)])).all()
+    want = np.array([least[k] < d for k, d in zip(keys, docs)])
+    assert (suffixes.had_earlier(keys, docs, 16) == want).all()
+    wide = np.frombuffer(b"".join(int(k).to_bytes(suffixes.LENGTH, "big") for k in keys), suffixes._WINDOW)
+    assert (suffixes.had_earlier(wide, docs, 16) == want).all()
+    index = suffixes.Levels()
+    for i in range(0, 640, 16):
+        k, d, _ = suffixes.merged(keys[i:i + 16] * 1000 + np.arange(16), docs[i:i + 16])
+        index.add(k, d)
+    assert len(index.levels) <= 7 and all(len(a[0]) > len(b[0]) for a, b in zip(index.levels, index.levels[1:]))
+
+
+def rolled(hashes):
+    """A cyclic polynomial: each word's hash turned by its distance from the last one."""
+    turn = lambda h, n: ((h << n) | (h >> (64 - n))) & (2**64 - 1) if n else h
+    out = 0
+    for i, h in enumerate(hashes):
+        out ^= turn(h % 2**64, (len(hashes) - 1 - i) % 64)
+    return out if out < 2**63 else out - 2**64
+
+
+def brute_winnow(hashes, k=5, window=4):
+    if not hashes:
+        return []
+    grams = [rolled(hashes[i:i + k]) for i in range(max(1, len(hashes) - k + 1))]
+    want = []
+    for i in range(max(1, len(grams) - window + 1)):
+        some = grams[i:i + window]
+        at = max(j for j in range(i, i + len(some)) if grams[j] == min(some))
+        if not want or want[-1] != (at, grams[at]):
+            want.append((at, grams[at]))
+    return want
 
 
-def test_winnowing(spark, docs):
-    hash_ = lambda n: [r[0] for r in spark.createDataFrame([(w,) for w in n], "w string").select(F.xxhash64("w")).collect()]
-    text = words(2, 30)
-    h = hash_(text.split())
-    grams = [r[0] for r in spark.createDataFrame([tuple(h[i:i + 5]) for i in range(26)], ",".join(f"c{i} long" for i in range(5))).select(F.xxhash64(*[f"c{i}" for i in range(5)])).collect()]
-    want = []
-    for i in range(len(grams) - 3):
-        least = min(grams[i:i + 4])
-        at = max(j for j in range(i, i + 4) if grams[j] == least)
-        if not want or want[-1] != (at, least):
-            want.append((at, least))
-    got = spark.createDataFrame([(text,)], "t string").select(winnowing.winnow(F.col("t"))).first()[0]
-    assert [(r.pos, r.hash) for r in got] == want
+@pytest.mark.parametrize("k,window", [(5, 4), (4, 2), (3, 7), (6, 3)])
+def test_winnowing(spark, docs, k, window):
+    hash_ = lambda n: [r[0] for r in spark.createDataFrame([(w,) for w in n], "w string").select(F.xxhash64("w")).collect()] if n else []
+    for text, split in [(words(2, 30), str.split), ("ab cd", str.split), ("x " * 20, str.split), ("日本語のテキストです。ア", lambda t: [c for c in t if c != "。"]),
+                        ("q" * 40, list), ("", str.split), ("a b c d e f " + "z" * 32, str.split)]:
+        got = spark.createDataFrame([(text,)], "t string").select(winnowing.winnow(F.col("t"), k, window)).first()[0]
+        assert [(r.pos, r.hash) for r in got] == brute_winnow(hash_(split(text)), k, window), text
+
+
+def test_winnowing_of_odd_texts(spark, docs):
     rows = docs.select("doc_id", winnowing.winnow(F.col("text")).alias("f"), F.col("text")).collect()
     assert [len(r.f) for r in rows if r.doc_id in (22, 23)] == [0, 0]
     repeated = next(r.f for r in rows if r.doc_id == 24)  # all k-grams are equal: the rightmost of each window
     assert [r.pos for r in repeated][:3] == [3, 4, 5]
 
 
+def test_scripts_without_blanks_have_fingerprints(spark):
+    text = "".join(chr(0x4E00 + int(x)) for x in np.random.default_rng(3).integers(0, 3000, 260))
+    rows = spark.createDataFrame([(text, text[:247] + "x")], "a string, b string").select(
+        winnowing.likeness(winnowing.winnow(F.col("a")), winnowing.winnow(F.col("b")))).first()
+    assert rows[0] > 0.85
+
+
+@pytest.mark.parametrize("coarse", [2, 1024])
+def test_next_rows_of_repeated_keys(spark, monkeypatch, coarse):
+    """A key and a null that hold most rows, in buckets inside buckets; columns of the operator's own names."""
+    monkeypatch.setattr(winnowing, "_COARSE", coarse)
+    rows = [(7 if i % 3 else i, f"t{i % 90}", i) for i in range(120)] + [(None, f"n{i}", i) for i in range(60)]
+    frame = spark.createDataFrame(rows, "k long, text string, _h int").withColumn("_bucket", F.lit("b")).withColumn("fb", F.lit(1))
+    got = winnowing.with_next(frame, "k", ["text", "k"], each=64).collect()
+    h = {r.text: r[1] for r in frame.select("text", F.xxhash64("text")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+    want = Counter((a[0], a[1], b[0], b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    assert Counter((r.k, r.text, r.next_k, r.next_text) for r in got) == want
+    assert set(got[0].asDict()) == {"k", "text", "_h", "_bucket", "fb", "next_text", "next_k"}
+
+
 def test_next_rows(spark):
     rows = [(i * 7 % 50, f"t{i}", i) for i in range(50)] + [(None, "none", 1)]
     got = winnowing.with_next(spark.createDataFrame(rows, "k long, text string, next_x int"), "k", ["text"], each=16).collect()
@@ -317,7 +498,7 @@ def test_next_rows(spark):
 ])
 def test_licences(spark, same):
     name, text = licences.known_texts()[0]
-    rows = [(1, same(text), 5), (2, text + " more", 5), (3, None, 5), (4, "", 5), (5, "(c) me", 5)]
+    rows = [(1, same(text), 5), (2, text + " more", 5), (3, None, 5), (4, "", 5), (5, "(c) 2020 me", 5)]
     got = {r.id: (r.licence, r.canonical_sha256) for r in licences.scan(spark.createDataFrame(rows, "id int, t string, licence int"), "t").collect()}
     assert got[1][0] == name
     assert [got[i][0] for i in (2, 3, 4, 5)] == [None] * 4 and got[3][1] is got[4][1] is got[5][1] is None
@@ -337,6 +518,24 @@ def test_wrapped_licences(spark, header):
     assert len(got) == len(rows) and [(r.want, r.t) for r in got if r.licence != r.want] == []
 
 
+def test_known_digests(spark):
+    """The digests of the longer licences, where this machine has their texts."""
+    import os
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(n, open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read()) for n, f in files.items() if os.path.exists(f"/usr/share/common-licenses/{f}")]
+    rows += [(n, t.replace("\n", "\r\n") + "\n") for n, t in rows]
+    got = licences.scan(spark.createDataFrame(rows, "want string, t string"), "t").collect()
+    assert [(r.want, r.licence) for r in got if r.want != r.licence] == []
+
+
+def test_licences_of_empty_repeated_and_long_texts(spark, none):
+    assert licences.scan(none, "text").count() == 0
+    name, text = licences.known_texts()[0]
+    rows = [(1, text), (1, text), (2, text * 300)]
+    got = licences.scan(spark.createDataFrame(rows, "_known long, text string"), "text").collect()
+    assert Counter((r._known, r.licence) for r in got) == {(1, name): 2, (2, None): 1}
+
+
 def encoder():
     ranks, pattern = bpe.vocabulary()
     return ranks, pattern, tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -383,8 +582,45 @@ def test_language_id(spark, none):
     assert {r.lang_pred for r in langid.predict(odd, "text", empty).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("languages", [3, 70])
+def test_shares_against_plain_filters(languages):
+    """Shares and predictions as counted from one Bloom filter per language, for more languages than a slot holds bits too."""
+    draw = np.random.default_rng(9)
+    letters = [chr(97 + i) for i in range(26)]
+    words_of = [["".join(draw.choice(letters, 6)) for _ in range(12)] for _ in range(languages)]
+    samples = {f"l{i:02}": [" ".join(draw.choice(w, 40)) for _ in range(3)] for i, w in enumerate(words_of)}
+    model = langid.LanguageFilter.of(samples)
+    texts = [" ".join(draw.choice(words_of[i], 30)) for i in range(languages)] + [" ".join([*words_of[0][:4], *words_of[1][:3]])]
+    names, scores = model.predict(texts)
+    grams_of = lambda t: [b[i:i + 4] for b in [langid._bytes(t)] for i in range(len(b) - 3) if b[i:i + 2] != b"  "]
+    number = lambda g: int.from_bytes(g, "little")
+    slots_of = lambda g: [int(s[0]) for s in langid._slots(np.array([number(g)], np.uint32))]
+    counts = {k: Counter(g for t in ts for g in grams_of(t)) for k, ts in samples.items()}
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    most = defaultdict(float)
+    for r in rate.values():
+        for g, x in r.items():
+            most[g] = max(most[g], x)
+    filters = {k: {s for g, n in c.items() if n >= langid.LEAST and rate[k][g] >= langid.COMMON * most[g] for s in slots_of(g)} for k, c in counts.items()}
+    for t, name, score in zip(texts, names, scores):
+        found = {}
+        for k, f in filters.items():
+            grams, false = grams_of(t), (len(f) / langid.SLOTS) ** langid.HASHES
+            share = sum(all(s in f for s in slots_of(g)) for g in grams) / len(grams)
+            found[k] = min(1, max(0, (share - false) / (1 - false)))
+        best = max(sorted(found), key=lambda k: round(found[k], 12))
+        assert name == best and abs(found[best] - score) < 1e-9
+
+
+def test_language_of_repeated_rows_and_ties(spark):
+    model = langid.LanguageFilter.of({"b": ["same words here same words here"], "a": ["same words here same words here"]})
+    rows = spark.createDataFrame([(1, "same words"), (1, "same words"), (2, None)], "doc_id long, text string")
+    got = langid.predict(rows, "text", model).collect()
+    assert Counter((r.doc_id, r.lang_pred) for r in got) == {(1, "a"): 2, (2, "und"): 1}
+
+
 def test_filter_contains_what_it_learnt():
-    model = langid.LanguageFilter({"a": ["abcdefgh abcdefgh"], "b": ["zyxwvu zyxwvu"]})
+    model = langid.LanguageFilter.of({"a": ["abcdefgh abcdefgh"], "b": ["zyxwvu zyxwvu"]})
     assert model.predict(["abcdefgh", "zyxwvu"])[0] == ["a", "b"]
 
 
@@ -414,13 +650,14 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(alone, toxicity.Scorer(model).scores(texts), atol=1e-6)
 
 
-def test_top_k(docs, none):
+@pytest.mark.parametrize("query_bytes", [700, 1 << 20])
+def test_top_k(docs, none, query_bytes):
     rows = [(k, t) for k, t, *_ in corpus()]
     tokens = [(t or "").lower().encode().translate(search._SPACED).split() for _, t in rows]
     df, n = Counter(w for t in tokens for w in set(t)), len(rows)
     mean = sum(map(len, tokens)) / n
     got = defaultdict(list)
-    for r in search.top_k(docs, "doc_id", "text", F.col("doc_id") % 5 == 0, k=4, shard_bytes=6000, queries=2).orderBy("query_id", "rank").collect():
+    for r in search.top_k(docs, "doc_id", "text", F.col("doc_id") % 5 == 0, k=4, shard_bytes=6000, query_bytes=query_bytes).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.doc_id, round(r.score, 6)))
     for q in sorted({k for k, _ in rows if k is not None and k % 5 == 0}):
         query = {w for (k, _), t in zip(rows, tokens) if k == q for w in t}
@@ -434,6 +671,25 @@ def test_top_k(docs, none):
     assert search.top_k(none, "doc_id", "text", F.lit(True)).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    links = [(i * 37 % 4099, (i + 1) * 37 % 4099) for i in range(4098)]
+    assert {r.root for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()} == {0}
+
+
+def test_scratch_belongs_to_its_owner(spark):
+    with common.owned("one"):
+        first = common.stored(spark.range(3), "x")
+    with common.owned("two"):
+        second = common.bucketed(spark.range(4), "id", 2, "y")
+    common.clear_scratch(spark, "one")
+    assert second.count() == 4
+    with pytest.raises(Exception):
+        first.count()
+    name = next(n for kind, n in common._SCRATCH["two"] if kind == "table")
+    common.clear_scratch(spark, "two")
+    assert not spark.catalog.tableExists(name)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (5, 5)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
