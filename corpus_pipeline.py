@@ -6,43 +6,60 @@ columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, langid, mixing, simhash, suffixes
-from siltstone.llm.common import clear_scratch, scratch_path
+from siltstone.llm.common import clear_scratch, owned, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose best language covers less than this part of their n-grams are rejected, as are those without a letter.
 LEAST_SCORE = 0.3
 
 
+def stage(name: str, before: str | None):
+    """A stage: its scratch tables are its own, and those of the stage before, whose rows it gets as written Parquet, are done with."""
+    def made(f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if before and not any("/siltstone-" in n and "/siltstone-stage-" not in n for n in docs.inputFiles()):
+                clear_scratch(spark, f"pipeline-{before}")
+            with owned(f"pipeline-{name}"):
+                return f(spark, docs, sf_dir)
+
+        return run
+
+    return made
+
+
+@stage("language", None)
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those that no learned language fits."""
-    clear_scratch(spark)
     model = langid.fit(docs, "text", "lang", F.lit(True))
     told = langid.predict(docs.select(*COLUMNS), "text", model, "_lang", "_score")
     return told.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+@stage("near_copies", "language")
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest doc_id, of each group of near copies."""
-    clear_scratch(spark)
     return simhash.deduplicate(docs.select(*COLUMNS), "doc_id", "text")
 
 
+@stage("repeated_passages", "near_copies")
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out of every text the strings of 50 bytes and more that an earlier document has."""
-    clear_scratch(spark)
     cut = suffixes.remove_repeats(docs.select(*COLUMNS), "doc_id", "text")
     kept = F.when(F.col("n_removed") > 0, suffixes.whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string"))
     return cut.withColumn("text", kept).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+@stage("mixture", "repeated_passages")
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the documents in the order of the mixture: file by file and row by row, the sources come at their weights."""
-    clear_scratch(spark)
     placed = mixing.mix(docs.select(*COLUMNS), "source", "doc_id")
     return placed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*COLUMNS)
 
@@ -60,9 +77,9 @@ def in_order(docs: DataFrame) -> DataFrame:
     return told.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_start") + F.col("_row")).alias("place"))
 
 
+@stage("tokens", "mixture")
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document's tokens, whether they decode to its text, and ``place``, where the document stands in the mixture."""
-    clear_scratch(spark)
     ranks, pattern = bpe.vocabulary()
     named = in_order(docs).select("doc_id", "lang", "source", "place", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     coded = bpe.decode(bpe.encode(named, "text", ranks, pattern), "ids", ranks)
