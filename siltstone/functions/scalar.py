@@ -88,7 +88,10 @@ def quote(s: Column) -> Column:
     return F.when(s.isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), escaped, F.lit("'")))
 
 
-def strcmp(a: Column, b: Column) -> Column:
+def strcmp(a: Column, b: Column, binary: bool = False) -> Column:
+    """-1, 0 or 1, without regard to case and trailing blanks, the dialect's usual collation, unless ``binary``."""
+    if not binary:
+        a, b = F.collate(a, "UTF8_LCASE_RTRIM"), F.collate(b, "UTF8_LCASE_RTRIM")
     return F.when(a < b, -1).when(a == b, 0).when(a > b, 1)
 
 
@@ -160,8 +163,9 @@ def divide(a: Column, b: Column, scale: int = 4) -> Column:
 
 
 def int_divide(a: Column, b: Column) -> Column:
-    """Whole division towards zero; null by zero."""
-    return F.when(b != 0, F.floor(F.abs(a / F.when(b != 0, b))) * F.signum(a) * F.signum(b)).cast("long")
+    """Whole division towards zero, exact for 64-bit numbers and decimals of ten places; null by zero."""
+    wide = "decimal(38,10)"
+    return F.when(b != 0, F.call_function("div", a.cast(wide), F.when(b != 0, b).cast(wide))).cast("long")
 
 
 def modulo(a: Column, b: Column) -> Column:
@@ -200,9 +204,14 @@ def shift_right(a: Column, n: int) -> Column:
 
 
 def truncate(x: Column, d: int) -> Column:
-    """Cut to ``d`` decimals towards zero."""
-    unit = F.lit(10.0**d)
-    return F.when(x < 0, F.ceil(x * unit)).otherwise(F.floor(x * unit)) / unit
+    """Cut to ``d`` decimals (below zero: to tens, hundreds) towards zero. Exact, as a decimal of 15 places; null from 10**23 on."""
+    exact = x.try_cast("decimal(38,15)")
+    if d >= 0:
+        cut = F.floor(F.abs(exact), F.lit(min(d, 15)))
+    else:
+        unit = F.lit(10 ** -d).cast("decimal(23,0)")
+        cut = F.call_function("div", F.abs(exact), unit).cast("decimal(38,0)") * unit
+    return F.when(exact < 0, -cut).otherwise(cut)
 
 
 def clamp_int(x: Column, low: int, high: int) -> Column:
@@ -404,6 +413,88 @@ def year_of_two_digits(y: Column) -> Column:
     return F.when(y < 70, y + 2000).when(y < 100, y + 1900).otherwise(y)
 
 
+def str_to_date(s: Column, pattern: str) -> Column:
+    """A date and time from a text by ``%`` patterns, null if it doesn't fit; fields that the pattern lacks are those of 1970-01-01 00:00:00.
+    For %Y %y %m %c %M %b %d %e %H %k %h %I %l %i %s %S %f %p %j %T %r."""
+    java, i, plain = "", 0, ""
+
+    def quoted(text: str) -> str:
+        return "".join("''" if c == "'" else f"'{c}'" if c.isalpha() else c for c in text)
+
+    while i < len(pattern):
+        if pattern[i] == "%" and i + 1 < len(pattern):
+            letter = pattern[i + 1]
+            if letter in ("W", "a"):
+                raise ValueError("names of weekdays are not parsed")
+            java += quoted(plain) + (DATE_PATTERNS[letter] if letter in DATE_PATTERNS else quoted(letter))
+            plain, i = "", i + 2
+        else:
+            plain, i = plain + pattern[i], i + 1
+    return F.try_to_timestamp(s, F.lit(java + quoted(plain))).cast("timestamp_ntz")
+
+
+def timediff(a: Column, b: Column) -> Column:
+    """TIMEDIFF of two dates with times as a time, kept within 838:59:59."""
+    return sec_to_time(F.unix_seconds(a.cast("timestamp")) - F.unix_seconds(b.cast("timestamp")))
+
+
+def cast_time(x: Column) -> Column:
+    """CAST AS TIME of a text: ``[D ]H:M:S``, ``H:M``, a number ``HHMMSS``, or the time of a date; null if it is none of these."""
+    text = F.trim(x.cast("string"))
+    clock = F.regexp_extract(text, r"^(?:\d{1,4}-\d{1,2}-\d{1,2}[ T])?(-?(?:\d+ )?\d+:\d{1,2}(?::\d{1,2})?)(?:\.\d*)?$", 1)
+    days = F.coalesce(F.regexp_extract(clock, r"^-?(\d+) ", 1).try_cast("long"), F.lit(0))
+    part = F.split(F.regexp_replace(clock, r"^-?(\d+ )?", ""), ":")
+    at = lambda i: F.coalesce(F.get(part, F.lit(i)).try_cast("long"), F.lit(0))
+    number = F.when(text.rlike(r"^-?\d{1,7}$"), F.abs(text.try_cast("long")))
+    h = F.when(clock != "", days * 24 + at(0)).otherwise(F.floor(number / 10000))
+    m, s = F.when(clock != "", at(1)).otherwise(F.floor(number / 100) % 100), F.when(clock != "", at(2)).otherwise(number % 100)
+    seconds = F.when((m < 60) & (s < 60), h * 3600 + m * 60 + s)
+    return sec_to_time(seconds * F.when(text.startswith("-"), -1).otherwise(1))
+
+
+def cast_datetime(x: Column) -> Column:
+    """CAST AS DATETIME of a text: with any marks between the fields, or as a number YYYYMMDD[HHMMSS]; null if it is none."""
+    text = F.trim(x.cast("string"))
+    number = F.regexp_extract(text, r"^(\d{8}|\d{14})$", 1)
+    spread = F.rpad(number, 14, "0")
+    field = lambda a, n: F.substr(spread, F.lit(a), F.lit(n))
+    written = F.concat_ws(" ", F.concat_ws("-", field(1, 4), field(5, 2), field(7, 2)), F.concat_ws(":", field(9, 2), field(11, 2), field(13, 2)))
+    marked = F.regexp_replace(text, r"^(\d{4})\W(\d{1,2})\W(\d{1,2})(?:[T ]+(\d{1,2})\W(\d{1,2})(?:\W(\d{1,2}))?)?$", "$1-$2-$3 $4:$5:$6")
+    marked = F.regexp_replace(F.regexp_replace(marked, r" ::$", " 0:0:0"), r":$", ":0")
+    return F.try_to_timestamp(F.when(number != "", written).otherwise(marked), F.lit("y-M-d H:m:s")).cast("timestamp_ntz")
+
+
+def utc_date(at: Column | None = None, zone: str | None = None) -> Column:
+    """UTC_DATE() of a moment (now, without one). With ``zone``, ``at`` is a local time there."""
+    return F.to_date(utc_timestamp(at, zone))
+
+
+def utc_time(at: Column | None = None, zone: str | None = None) -> Column:
+    return F.date_format(utc_timestamp(at, zone), "HH:mm:ss")
+
+
+def utc_timestamp(at: Column | None = None, zone: str | None = None) -> Column:
+    if at is None:
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
+    return F.convert_timezone(F.lit(zone or "UTC"), F.lit("UTC"), at.cast("timestamp_ntz"))
+
+
+def curtime(at: Column | None = None) -> Column:
+    """CURTIME(): the time of the statement (or of ``at``) as text."""
+    return F.date_format(F.localtimestamp() if at is None else at, "HH:mm:ss")
+
+
+def sysdate() -> Column:
+    """SYSDATE(): the time at which a row is worked out, not the statement's. Spark has no such function, so this is an Arrow UDF."""
+    import pandas as pd
+
+    def clock(s: pd.Series) -> pd.Series:
+        return pd.Series([pd.Timestamp.now("UTC")] * len(s))
+
+    clock.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(clock, "timestamp").asNondeterministic()(F.monotonically_increasing_id())
+
+
 # -- others ----------------------------------------------------------------------------------
 
 def inet_aton(s: Column) -> Column:
@@ -416,6 +507,21 @@ def inet_ntoa(n: Column) -> Column:
     return F.when(n.between(0, 2**32 - 1), F.concat_ws(".", *[_text(F.shiftright(n.cast("long"), 8 * (3 - i)).bitwiseAND(F.lit(255))) for i in range(4)]))
 
 
+def charset(x: Column) -> Column:
+    """CHARSET(): text is Unicode here, the rest is binary."""
+    return F.when(F.typeof(x).startswith("string") | F.typeof(x).startswith("char") | F.typeof(x).startswith("varchar"), F.lit("utf8")).otherwise("binary")
+
+
+def collation(x: Column) -> Column:
+    """COLLATION(): the name without its catalogue."""
+    return F.element_at(F.split(F.collation(x), r"\."), -1)
+
+
+def name_const(name: str, value) -> Column:
+    """A constant under a name."""
+    return F.lit(value).alias(name)
+
+
 def password(s: Column) -> Column:
     return F.when(s == "", F.lit("")).otherwise(F.concat(F.lit("*"), F.upper(F.sha1(F.unhex(F.sha1(s))))))
 

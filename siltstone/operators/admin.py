@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.changes import replace_table
+from ..sources.versioned import read_table, replace_table
 
 
 def analyze(spark: SparkSession, name: str) -> DataFrame:
@@ -25,11 +25,23 @@ def check(df: DataFrame) -> DataFrame:
 
 def optimize(spark: SparkSession, path: str, key: list[str] | None = None) -> None:
     """OPTIMIZE TABLE: rewrites a table in files of the session's advisory partition size; with
-    a key, in its order, so that the files' statistics prune by it."""
-    df = spark.read.parquet(path)
+    a key, in its order, so that the files' statistics prune by it. ``read_table`` reads the result."""
+    df = read_table(spark, path)
     replace_table(df.repartitionByRange(*key).sortWithinPartitions(*key) if key else df.hint("rebalance"), path)
 
 
+def fragments(df: DataFrame) -> DataFrame:
+    """A scan with the row count of each fragment of a table: its files, with their places. Counts come from the files' footers."""
+    return df.select(F.col("_metadata.file_path").alias("fragment")).groupBy("fragment").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def create_index(df: DataFrame, path: str, key: list[str], include: list[str] = ()) -> None:
+    """ALTER TABLE .. ADD [CLUSTERING] INDEX: a copy of the key's columns and the ones included, in the order of the key. Files' and
+    row groups' statistics then find a range of keys without the rest."""
+    columns = list(dict.fromkeys([*key, *include]))
+    df.select(*columns).repartitionByRange(*key).sortWithinPartitions(*key).write.parquet(path)
+
+
 def repair(spark: SparkSession, path: str, schema: T.StructType, to: str) -> None:
     """REPAIR TABLE: writes what can be read of a table with broken files to a new path. The table itself stays as it is."""
     spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(path).write.parquet(to)

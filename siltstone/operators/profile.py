@@ -31,17 +31,27 @@ def analyse(df: DataFrame, max_elements: int = 256) -> DataFrame:
 
 
 def cardinality(df: DataFrame, key: list[str]) -> DataFrame:
-    """Rows per distinct value of each prefix of a key, rounded up to one."""
-    distinct = [F.count_distinct(*[F.struct(*key[:i])]).alias(f"d{i}") for i in range(1, len(key) + 1)]
-    one = df.agg(F.count(F.lit(1)).alias("n"), *distinct)
+    """Rows per distinct value of each prefix of a key, rounded up to one. The whole key is grouped once, each shorter prefix from
+    the groups of the one before, so that the table itself is shuffled once, as partial groups."""
+    grouped = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    for i in reversed(range(len(key))):
+        longer = [F.sum(f"d{j}").alias(f"d{j}") for j in range(i + 2, len(key) + 1)]
+        grouped = grouped.groupBy(*key[:i]).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias(f"d{i + 1}"), *longer)
     rows = F.array(*[F.struct(F.lit(i).alias("key_parts"), F.lit(",".join(key[:i])).alias("prefix"),
-                              F.greatest(F.lit(1.0), F.col("n") / F.greatest(F.col(f"d{i}"), F.lit(1))).alias("rows_per_key")) for i in range(1, len(key) + 1)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+                              F.greatest(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.greatest(F.coalesce(f"d{i}", F.lit(0)), F.lit(1))).alias("rows_per_key"))
+                     for i in range(1, len(key) + 1)])
+    return grouped.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def checksum(df: DataFrame) -> DataFrame:
-    """One number for a table's rows in any order, and their count."""
-    return df.agg(F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("checksum"), F.count(F.lit(1)).alias("rows"))
+def checksum(df: DataFrame, how: str = "xxhash64") -> DataFrame:
+    """One number for a table's rows in any order, and their count. ``how`` is ``xxhash64``, or ``md5``: 60 bits of the digest of a
+    row's columns as text with a bar between them, nulls as empty, which any engine can work out."""
+    if how == "md5":
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+        one = F.conv(F.left(F.md5(text), F.lit(15)), 16, 10).cast("long")
+    else:
+        one = F.xxhash64(*df.columns)
+    return df.agg(F.coalesce(F.bit_xor(one), F.lit(0)).alias("checksum"), F.count(F.lit(1)).alias("rows"))
 
 
 def unique_violations(df: DataFrame, key: list[str]) -> DataFrame:

@@ -28,7 +28,7 @@ def variables(spark: SparkSession) -> DataFrame:
 
 
 def engines(spark: SparkSession) -> DataFrame:
-    rows = [("PARQUET", "DEFAULT"), ("CSV", "YES"), ("XML", "YES"), ("ARCHIVE", "YES"), ("BLACKHOLE", "YES"), ("MEMORY", "YES"), ("MERGE", "YES"), ("FEDERATED", "YES")]
+    rows = [("PARQUET", "DEFAULT"), ("CSV", "YES"), ("XML", "YES"), ("ARCHIVE", "YES"), ("BLACKHOLE", "YES"), ("MEMORY", "YES"), ("MERGE", "YES"), ("FEDERATED", "YES"), ("INNODB", "NO"), ("NDB", "NO")]
     return spark.createDataFrame(rows, "engine string, support string")
 
 
@@ -37,3 +37,29 @@ def processlist(spark: SparkSession) -> DataFrame:
     tracker = spark.sparkContext.statusTracker()
     rows = [(i, s.name, s.numTasks, s.numActiveTasks, s.numCompletedTasks) for i in tracker.getActiveStageIds() if (s := tracker.getStageInfo(i))]
     return spark.createDataFrame(rows, "id int, info string, tasks int, active int, done int")
+
+
+def views(spark: SparkSession) -> DataFrame:
+    rows = [((t.namespace or [""])[0], t.name) for t in spark.catalog.listTables() if t.tableType in ("VIEW", "TEMPORARY")]
+    return spark.createDataFrame(rows, "table_schema string, table_name string")
+
+
+def statistics(spark: SparkSession, indexes: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """STATISTICS: a row per column of an index. Indexes are sorted copies (``admin.create_index``), so the caller names them:
+    table, then index, then its columns."""
+    rows = [(t, i, n + 1, c) for t, own in indexes.items() for i, columns_ in own.items() for n, c in enumerate(columns_)]
+    return spark.createDataFrame(rows, "table_name string, index_name string, seq_in_index int, column_name string")
+
+
+def triggers(spark: SparkSession, known: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """TRIGGERS: name, then time, event and table of each; triggers are functions of a statement here, so the caller names them."""
+    rows = [(name, time, event, table) for name, (time, event, table) in known.items()]
+    return spark.createDataFrame(rows, "trigger_name string, action_timing string, event_manipulation string, event_object_table string")
+
+
+def default_of(spark: SparkSession, table: str, column: str):
+    """DEFAULT(col): the value that a column of a catalogued table has where none is given; null without one."""
+    from pyspark.sql import functions as F
+
+    made = spark.table(table).schema[column].metadata.get("CURRENT_DEFAULT")
+    return F.expr(made) if made is not None else F.lit(None)

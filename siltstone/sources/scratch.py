@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; where that is unset (tests on one machine), in a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+    """A new path in the folder that ``spark.checkpoint.dir`` names. Where that is unset, a session on one machine (tests) gets a
+    temporary folder; on a cluster it is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 

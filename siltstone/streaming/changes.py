@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.changes import replace_table
+from ..sources import versioned
 
 
 def schema(row: T.StructType) -> T.StructType:
@@ -60,26 +60,43 @@ def merged(changes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def apply(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """A table after the changes of a log: the last image of each changed key, and the rows that no change names.
-    An update that changes a key counts as a delete and an insert."""
-    gone = changes.where("before is not null").select(F.col("seq"), F.lit(0).alias("side"), *[F.col(f"before.{k}").alias(k) for k in key], F.lit(None).cast(_row(changes)).alias("image"))
-    came = changes.where("after is not null").select(F.col("seq"), F.lit(1).alias("side"), *[F.col(f"after.{k}").alias(k) for k in key], F.col("after").alias("image"))
-    last = gone.unionByName(came).groupBy(*key).agg(F.max_by(F.struct("image"), F.struct("seq", "side")).alias("l"))
-    rest = table.join(last.select(*key), key, "left_anti").select(*table.columns)
-    return rest.unionByName(last.where("l.image is not null").select("l.image.*").select(*table.columns))
+    """A table after the changes of a log: the last image of each key, the table's own being the first. The key is unique; rows
+    with a null in it are named by no change. An update that changes a key counts as a delete and an insert. Table and log are read
+    once, and images combine before they are shuffled."""
+    image = _row(changes)
+    none = F.lit(None).cast(image)
+    kept = F.lit(True)
+    for k in key:
+        kept = kept & F.col(k).isNotNull()
+    # an image of null is a row that is gone
+    both = F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("by"), none.alias("image")),
+                   F.struct(F.lit(1).alias("side"), F.col("after").alias("by"), F.col("after").alias("image")))
+    log = changes.select("seq", F.explode(F.filter(both, lambda x: x["by"].isNotNull())).alias("e")).select(
+        F.struct(F.lit(1).alias("log"), "seq", F.col("e.side").alias("side")).alias("o"), *[F.col(f"e.by.{k}").alias(k) for k in key], F.col("e.image").alias("image"))
+    own = table.where(kept).select(F.struct(F.lit(0).alias("log"), F.lit(0).cast(changes.schema["seq"].dataType).alias("seq"), F.lit(0).alias("side")).alias("o"), *key,
+                                   F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in image.fields]).alias("image"))
+    last = own.unionByName(log).groupBy(*key).agg(F.max_by(F.struct("image"), "o").alias("l"))
+    return last.where("l.image is not null").select("l.image.*").select(*table.columns).unionByName(table.where(~kept))
 
 
 def _row(changes: DataFrame) -> T.DataType:
     return changes.schema["after"].dataType
 
 
-def apply_stream(changes: DataFrame, path: str, key: list[str], checkpoint: str, available_now: bool = True, interval: str | None = None):
-    """Keep a Parquet table at ``path`` up to date. A batch is applied whole; applied anew after a
-    failure it gives the same table, since it holds last images."""
-    def batch(df: DataFrame, _: int) -> None:
+def apply_stream(changes: DataFrame, path: str, key: list[str], checkpoint: str, available_now: bool = True, interval: str | None = None,
+                 buckets: int = 256):
+    """Keep a table at ``path`` up to date; ``versioned.read_table`` reads it. A batch rewrites the buckets of the keys that it names and no others, becomes
+    a version whole, and changes nothing where that batch is in the table already. A plain Parquet table is laid out by its key first."""
+    def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        table = spark.read.parquet(path)
-        replace_table(apply(table, df, key), path)
+        _, content = versioned.manifest(spark, path)
+        if content is None or "key" not in content:
+            versioned.keyed_table(versioned.read_table(spark, path), path, key, buckets)
+        df.persist()
+        named = F.explode(F.filter(F.array("before", "after"), lambda x: x.isNotNull()))
+        keys = df.select(named.alias("e")).select(*[F.col(f"e.{k}").alias(k) for k in key])
+        versioned.change_table(spark, path, keys, lambda rows: apply(rows, df, key), (checkpoint, number))
+        df.unpersist()
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=available_now)

@@ -26,7 +26,18 @@ def cases():
         (S.trim_whole(L("barxxyz"), "xyz", "trailing"), "barx"), (S.trim_whole(L("xxxbarxxx"), "x", "leading"), "barxxx"),
         (S.mid(L("abc"), L(0), L(2)), ""), (S.mid(L("abc"), L(-2), L(1)), "b"), (S.ord_(L("é")), 0xC3A9), (S.ord_(L("")), 0),
         (S.quote(L("Don't")), "'Don\\'t'"), (S.quote(F.lit(None).cast("string")), "NULL"),
-        (S.strcmp(L("a"), L("b")), -1), (S.soundex(L("Quadratically")), "Q36324"), (S.soundex(L("Hello")), "H400"), (S.sounds_like(L("Robert"), L("Rupert")), 1),
+        (S.strcmp(L("a"), L("b")), -1), (S.strcmp(L("a"), L("A ")), 0), (S.strcmp(L("a"), L("A"), True), 1), (S.strcmp(F.lit(None).cast("string"), L("a")), None),
+        (S.int_divide(L(9007199254740993), L(1)), 9007199254740993), (S.int_divide(L(-7), L(2)), -3), (S.int_divide(L(7), L(0)), None), (S.int_divide(L(7.5), L(2.0)), 3),
+        (S.truncate(L("0.29").cast("decimal(10,2)"), 2).cast("string"), "0.29"), (S.truncate(L(-1.999), 1).cast("string"), "-1.9"), (S.truncate(L(122), -2).cast("int"), 100),
+        (S.cast_time(L("1 02:03:04")), "26:03:04"), (S.cast_time(L("10:11")), "10:11:00"), (S.cast_time(L("-101112")), "-10:11:12"), (S.cast_time(L("2001-02-03 04:05:06.7")), "04:05:06"),
+        (S.cast_time(L("x")), None), (S.cast_time(L("10:61:00")), None), (S.cast_time(L("900:00:00")), "838:59:59"),
+        (S.cast_datetime(L("2001-2-3")), datetime.datetime(2001, 2, 3)), (S.cast_datetime(L("20010203040506")), datetime.datetime(2001, 2, 3, 4, 5, 6)),
+        (S.cast_datetime(L("2001/02/03 04.05")), datetime.datetime(2001, 2, 3, 4, 5)), (S.cast_datetime(L("2001-02-30")), None),
+        (S.str_to_date(L("01,5,2013"), "%d,%c,%Y"), datetime.datetime(2013, 5, 1)), (S.str_to_date(L("May 1, 2013"), "%M %e, %Y"), datetime.datetime(2013, 5, 1)),
+        (S.str_to_date(L("9:30:17"), "%k:%i:%s"), datetime.datetime(1970, 1, 1, 9, 30, 17)), (S.str_to_date(L("a09"), "a%H"), datetime.datetime(1970, 1, 1, 9)), (S.str_to_date(L("z"), "%d"), None),
+        (S.timediff(TS("2000-12-31 23:59:59"), TS("2000-12-30 01:01:01")), "46:58:58"), (S.timediff(TS("2000-01-01 00:00:00"), TS("2000-01-01 00:00:01")), "-00:00:01"),
+        (S.utc_timestamp(TS("2001-02-03 00:30:00"), "+01:00"), datetime.datetime(2001, 2, 2, 23, 30)), (S.utc_date(TS("2001-02-03 00:30:00"), "+01:00"), datetime.date(2001, 2, 2)),
+        (S.charset(L("a")), "utf8"), (S.charset(L(1)), "binary"), (S.collation(L("a")), "UTF8_BINARY"), (S.soundex(L("Quadratically")), "Q36324"), (S.soundex(L("Hello")), "H400"), (S.sounds_like(L("Robert"), L("Rupert")), 1),
         (S.char_of(L(77), L(121), NULL, L(83)), "MyS"), (S.convert_using(L("aé"), "ascii"), "a?"),
         (S.regexp(L("Monty!"), "^mo.*[[:punct:]]$"), 1), (S.regexp(L("a"), "A", binary=True), 0), (S.regexp(L("a word"), "[[:<:]]word[[:>:]]"), 1),
         (S.like(L("David!"), "DAVID_"), 1), (S.like(L("a%"), "A|%", escape="|"), 1), (S.like(L("ab"), "a|%", escape="|", binary=True), 0), (S.like(L("a_b"), "A\\_B"), 1),

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.sources import versioned
 from siltstone.streaming import changes as stream
 
 ROW = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
@@ -31,6 +32,8 @@ def test_apply_and_flashback(spark):
     assert rows_of(stream.apply(done, stream.flashback(log(spark, *CHANGES)), ["k"])) == rows_of(table)
     assert rows_of(stream.apply(table, stream.diff(table, done, ["k"]), ["k"])) == rows_of(done)
     assert rows_of(stream.apply(table, log(spark, *CHANGES).limit(0), ["k"])) == rows_of(table)
+    nameless = spark.createDataFrame([(None, "a"), (None, "b"), (1, "a")], ROW)
+    assert sorted(((r.k, r.v) for r in stream.apply(nameless, log(spark, ("d", "delete", (1, "a"), None)), ["k"]).collect()), key=repr) == [(None, "a"), (None, "b")]
 
 
 def test_merged(spark):
@@ -60,7 +63,11 @@ def test_stream_into_a_table(spark, tmp_path):
     put("2.json", numbered[3:])
     query = stream.apply_stream(stream.read_changes(spark, str(source), ROW, files=1), path, ["k"], str(tmp_path / "ck"))
     query.awaitTermination(60)
-    assert rows_of(spark.read.parquet(path)) == [(7, "moved"), (9, "n")]
+    assert rows_of(versioned.read_table(spark, path)) == [(7, "moved"), (9, "n")]
+    n = versioned.versions(spark, path)[-1]
+    query = stream.apply_stream(stream.read_changes(spark, str(source), ROW, files=1), path, ["k"], str(tmp_path / "ck"))
+    query.awaitTermination(60)
+    assert versioned.versions(spark, path)[-1] == n  # nothing new, nothing written
 
 
 def test_first_events(spark, tmp_path):
