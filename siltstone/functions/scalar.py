@@ -419,17 +419,17 @@ def str_to_date(s: Column, pattern: str) -> Column:
     java, i, plain = "", 0, ""
 
     def quoted(text: str) -> str:
-        return "".join("''" if c == "'" else f"'{c}'" if c.isalpha() else c for c in text)
+        return "'" + text.replace("'", "''") + "'" if text else ""
 
     while i < len(pattern):
-        if pattern[i] == "%" and i + 1 < len(pattern):
-            letter = pattern[i + 1]
-            if letter in ("W", "a"):
-                raise ValueError("names of weekdays are not parsed")
-            java += quoted(plain) + (DATE_PATTERNS[letter] if letter in DATE_PATTERNS else quoted(letter))
-            plain, i = "", i + 2
+        letter = pattern[i + 1] if pattern[i] == "%" and i + 1 < len(pattern) else None
+        if letter in ("W", "a"):
+            raise ValueError("names of weekdays are not parsed")
+        if letter in DATE_PATTERNS:
+            java, plain = java + quoted(plain) + DATE_PATTERNS[letter], ""
         else:
-            plain, i = plain + pattern[i], i + 1
+            plain += letter or pattern[i]
+        i += 2 if letter else 1
     return F.try_to_timestamp(s, F.lit(java + quoted(plain))).cast("timestamp_ntz")
 
 

@@ -1240,7 +1240,7 @@ for _args in [
     ("password", *P, lambda: S.password(c("p_name")), "'*' || upper(sha1(unhex(sha1(p_name))))"),
     ("convert_tz", *E, "convert_timezone('+00:00', '+03:00', cast(ts as timestamp_ntz))", "ts + INTERVAL 3 HOUR", "timestamp"),
     ("addtime", *E, "cast(ts as timestamp_ntz) + make_dt_interval(0, 1, 30, 15)", "ts + INTERVAL 5415 SECOND", "timestamp"),
-    ("timediff", *E, lambda: S.timediff(c("ts"), F.date_trunc("month", c("ts"))), "CASE WHEN date_diff('second', date_trunc('month', ts), ts) > 3020399 THEN '838:59:59' ELSE printf('%02d:%02d:%02d', (epoch(ts) - epoch(date_trunc('month', ts)))::bigint // 3600, (epoch(ts) - epoch(date_trunc('month', ts)))::bigint // 60 % 60, (epoch(ts) - epoch(date_trunc('month', ts)))::bigint % 60) END"),
+    ("timediff", *E, lambda: S.timediff(c("ts"), F.date_trunc("month", c("ts"))), "CASE WHEN date_diff('second', date_trunc('month', ts), ts) > 3020399 THEN '838:59:59' ELSE printf('%02d:%02d:%02d', floor(epoch(ts) - epoch(date_trunc('month', ts)))::bigint // 3600, floor(epoch(ts) - epoch(date_trunc('month', ts)))::bigint // 60 % 60, floor(epoch(ts) - epoch(date_trunc('month', ts)))::bigint % 60) END"),
     ("cast_time", *E, lambda: S.cast_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), "strftime(ts, '%H:%M:%S')"),
     ("cast_time_number", *P, lambda: S.cast_time(c("p_size") * 10000 + 2959), "printf('%02d:29:59', p_size)"),
     ("cast_datetime", *O, lambda: S.cast_datetime(F.date_format("o_orderdate", "yyyy/M/d")), "o_orderdate", "timestamp"),

@@ -35,6 +35,7 @@ def cases():
         (S.cast_datetime(L("2001/02/03 04.05")), datetime.datetime(2001, 2, 3, 4, 5)), (S.cast_datetime(L("2001-02-30")), None),
         (S.str_to_date(L("01,5,2013"), "%d,%c,%Y"), datetime.datetime(2013, 5, 1)), (S.str_to_date(L("May 1, 2013"), "%M %e, %Y"), datetime.datetime(2013, 5, 1)),
         (S.str_to_date(L("9:30:17"), "%k:%i:%s"), datetime.datetime(1970, 1, 1, 9, 30, 17)), (S.str_to_date(L("a09"), "a%H"), datetime.datetime(1970, 1, 1, 9)), (S.str_to_date(L("z"), "%d"), None),
+        (S.str_to_date(L("it's at 09 of 7/2/2001"), "it's at %H of %e/%c/%Y"), datetime.datetime(2001, 2, 7, 9)),
         (S.timediff(TS("2000-12-31 23:59:59"), TS("2000-12-30 01:01:01")), "46:58:58"), (S.timediff(TS("2000-01-01 00:00:00"), TS("2000-01-01 00:00:01")), "-00:00:01"),
         (S.utc_timestamp(TS("2001-02-03 00:30:00"), "+01:00"), datetime.datetime(2001, 2, 2, 23, 30)), (S.utc_date(TS("2001-02-03 00:30:00"), "+01:00"), datetime.date(2001, 2, 2)),
         (S.charset(L("a")), "utf8"), (S.charset(L(1)), "binary"), (S.collation(L("a")), "UTF8_BINARY"), (S.soundex(L("Quadratically")), "Q36324"), (S.soundex(L("Hello")), "H400"), (S.sounds_like(L("Robert"), L("Rupert")), 1),
