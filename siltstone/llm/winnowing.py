@@ -107,14 +107,16 @@ def digest(fingerprint: Column) -> Column:
 def _below(value: Column, bounds: Column, count: int) -> Column:
     """How many of at most ``count`` sorted bounds are below the value, by bisection."""
     steps = F.sequence(F.lit(1), F.lit(max(1, count.bit_length())))
+    # value and bounds are part of the state: Spark cannot carry over a union what it knows of columns inside a lambda
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"), value.alias("v"), bounds.alias("b"))
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = (s["lo"] < s["hi"]) & (F.get(bounds, middle) < value)
+        below = (s["lo"] < s["hi"]) & (F.get(s["b"], middle) < s["v"])
         return F.struct(F.when(below, middle + 1).otherwise(s["lo"]).alias("lo"),
-                        F.when((s["lo"] < s["hi"]) & ~below, middle).otherwise(s["hi"]).alias("hi"))
+                        F.when((s["lo"] < s["hi"]) & ~below, middle).otherwise(s["hi"]).alias("hi"), s["v"].alias("v"), s["b"].alias("b"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi")), halve, lambda s: s["lo"])
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
 
 
 def _order(docs: DataFrame, key: str, h: Column) -> Column:
