@@ -234,7 +234,7 @@ def decode(docs: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "decod
     docs = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast({n: b for b, n in ranks.items()})
     place = docs.columns.index(ids)
-    schema = docs.select("*", F.lit(b"").alias(out), *([F.lit("").alias(digest)] if digest else [])).schema
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType()), *([T.StructField(digest, T.StringType())] if digest else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
