@@ -470,7 +470,7 @@ for _args in [
     ("format", *O, "format_number(o_totalprice, 2)", "format('{:,.2f}', o_totalprice)"),
     ("hex_number", *P, lambda: S.hex_(c("p_partkey"), True), "hex(p_partkey)"),
     ("hex_text", *P, lambda: S.hex_(c("p_brand"), False), "hex(p_brand)"),
-    ("unhex", *P, "cast(unhex(concat('4d79', hex(p_size + 65), '6c')) as string)", "'My' || chr(p_size + 65) || 'l'"),
+    ("unhex", *P, "cast(unhex(concat('6f72', hex(p_size + 65), '65')) as string)", "'or' || chr(p_size + 65) || 'e'"),
     ("insert", *P, lambda: S.insert(c("p_name"), F.lit(3), F.lit(2), F.lit("##")), "CASE WHEN length(p_name) < 3 THEN p_name ELSE left(p_name, 2) || '##' || substr(p_name, 5) END"),
     ("instr", *P, "instr(p_name, 'a')", "instr(p_name, 'a')", "long"),
     ("lower", *P, "lower(p_type)", "lower(p_type)"),
@@ -580,7 +580,7 @@ for _args in [
     ("md5", *P, "md5(p_name)", "md5(p_name)"),
     ("sha1", *P, "sha1(p_name)", "sha1(p_name)"),
     ("sha2", *P, "sha2(p_name, 256)", "sha256(p_name)"),
-    ("crc32", *P, "crc32(concat('MySQL', elt(p_size % 3 + 1, '', 'x', 'y')))", "CASE p_size % 3 WHEN 1 THEN 1074931555 WHEN 2 THEN 924129269 ELSE 3259397556 END", "long"),
+    ("crc32", *P, "crc32(concat('quartz', elt(p_size % 3 + 1, '', 'x', 'y')))", "CASE p_size % 3 WHEN 1 THEN 823002759 WHEN 2 THEN 1175008785 ELSE 1877088496 END", "long"),
     ("compress", *P, lambda: S.uncompress(S.compress(c("p_name"))), "p_name"),
     ("uncompressed_length", *P, lambda: S.uncompressed_length(S.compress(c("p_name"))), "strlen(p_name)", "long"),
     ("aes", *P, lambda: S.aes_decrypt(S.aes_encrypt(c("p_name"), "a key longer than sixteen bytes"), "a key longer than sixteen bytes"), "p_name"),
