@@ -105,7 +105,7 @@ statement("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nati
 statement("join_straight", "SELECT p.p_partkey, l.l_orderkey FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey WHERE p.p_size = 7")
 statement("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
 statement("semi_exists", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)")
-statement("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+statement("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
 statement("anti_not_in", "SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT l.doc_id FROM labels l WHERE l.doc_id IS NOT NULL)")
 statement("anti_left_null", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL")
 statement("scalar_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
@@ -117,14 +117,17 @@ WHERE (o_custkey, o_totalprice) IN (SELECT o_custkey, max(o_totalprice) FROM ord
 
 
 def _quantified(name: str, op: str, many: str, oracle: str) -> None:
+    """Balances against those of one nation's suppliers; for ``=``, which no balance meets, nations against the suppliers'."""
     choose = quantified.where_all if many == "all" else quantified.where_any
+    left, right = ("c_nationkey", "s_nationkey") if op == "=" else ("c_acctbal", "s_acctbal")
+    some = "s_nationkey = 3" if many == "all" or op != "=" else "s_acctbal < 1000"
 
     def run(spark, folder):
-        sub = table(spark, folder, "supplier").where("s_nationkey = 3")
-        return choose(table(spark, folder, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", op, sub, "s_acctbal")
+        sub = table(spark, folder, "supplier").where(some)
+        return choose(table(spark, folder, "customer").select("c_custkey", left), left, op, sub, right)
 
     QUERIES[name] = run
-    ORACLES[name] = f"SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal {oracle} (SELECT s_acctbal FROM supplier WHERE s_nationkey = 3)"
+    ORACLES[name] = f"SELECT c_custkey, {left} FROM customer WHERE {left} {oracle} (SELECT {right} FROM supplier WHERE {some})"
 
 
 for _op, _word in {"<": "lt", "<=": "le", ">": "gt", ">=": "ge", "=": "eq", "<>": "ne"}.items():
