@@ -462,6 +462,14 @@ def test_winnowing_of_odd_texts(spark, docs):
     assert [r.pos for r in repeated][:3] == [3, 4, 5]
 
 
+def test_words_are_what_the_pattern_finds(spark):
+    texts = ["", None, "a b-c", "日本語 text テキスト。ไทย abc", "q" * 33 + " " + "r" * 32, "é̀a 12", "x" * 40 + "日", "naïve café", " .. "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        winnowing.words_of(F.col("t")).alias("w"), F.regexp_extract_all(F.lower(F.coalesce("t", F.lit(""))), F.lit(winnowing.WORD), F.lit(0)).alias("p")).collect()
+    assert [r.w for r in got] == [r.p for r in got]
+    assert got[3].w == ["日", "本", "語", "text", "テ", "キ", "ス", "ト", "ไ", "ท", "ย", "abc"] and got[4].w == ["q"] * 33 + ["r" * 32]
+
+
 def test_scripts_without_blanks_have_fingerprints(spark):
     text = "".join(chr(0x4E00 + int(x)) for x in np.random.default_rng(3).integers(0, 3000, 260))
     rows = spark.createDataFrame([(text, text[:247] + "x")], "a string, b string").select(
