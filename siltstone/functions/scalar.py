@@ -343,8 +343,11 @@ def time_of(text: Column) -> Column:
     return F.when(seconds.isNotNull(), F.least(seconds, F.lit(838 * 3600 + 3599)) * F.when(text.startswith("-"), -1).otherwise(1))
 
 
-def sec_to_time(n: Column) -> Column:
-    n = F.when(n.isNotNull(), F.greatest(F.least(n, F.lit(838 * 3600 + 3599)), F.lit(-838 * 3600 - 3599))).cast("long")
+def sec_to_time(n: Column, most: int | None = 838 * 3600 + 3599) -> Column:
+    """Seconds as ``[-]HH:MM:SS``, kept within ``most`` (None: whole, with as many hours as there are)."""
+    if most is not None:
+        n = F.when(n.isNotNull(), F.greatest(F.least(n, F.lit(most)), F.lit(-most)))
+    n = n.cast("long")
     a = F.abs(n)
     return F.concat(F.when(n < 0, "-").otherwise(""), F.lpad(_text(F.floor(a / 3600)), F.greatest(F.lit(2), F.length(_text(F.floor(a / 3600)))), F.lit("0")),
                     F.lit(":"), F.lpad(_text(F.floor(a / 60) % 60), 2, "0"), F.lit(":"), F.lpad(_text(a % 60), 2, "0"))
