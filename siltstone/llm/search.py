@@ -31,10 +31,10 @@ from .common import MOST_PARTITIONS, input_bytes, of_group, pieces, scratch_path
 
 #: BM25's constants, documents of a block, bytes of text of a shard, bytes of a block of queries' terms.
 K1, B, BLOCK, SHARD, QUERY_BYTES = 1.2, 0.75, 64, 5 << 23, 1 << 25
-#: A term in more than this part of a shard's documents is kept as a full row of impacts.
-DENSE = 0.05
+#: A term in more than this part of a shard's documents is kept as a full row of impacts; the most frequent ones at most, and cells of all rows.
+DENSE, MOST_ROWS, ROW_CELLS = 0.01, 4096, 3 << 23
 #: Blocks that are read first, queries that are worked on together, and the entries of their cursors at most (or of one query).
-FIRST, TOGETHER, CURSORS = 4, 256, 1 << 20
+FIRST, TOGETHER, CURSORS = 4, 512, 1 << 20
 #: Decimals that scores are rounded to, so that ties don't depend on the order of a sum, and what sums may be off by.
 DECIMALS, SLACK = 9, 1e-6
 _SPACED = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256))
@@ -108,6 +108,9 @@ class Queries:
     """A block of queries: their keys, and their terms as numbers in a list of all their terms with the weights of these."""
 
     def __init__(self, ids: list[int], found: list[np.ndarray], df: list[np.ndarray], n: int):
+        # like queries side by side, as a shard's documents are: they need the same blocks
+        order = sorted(range(len(ids)), key=lambda i: int(found[i][df[i].argmax()]) if len(found[i]) else 0)
+        ids, found, df = ([x[i] for i in order] for x in (ids, found, df))
         self.ids, self.starts = np.array(ids, np.int64), np.cumsum([0, *map(len, found)])
         self.vocabulary, first, where = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_index=True, return_inverse=True)
         self.terms = where.astype(np.int32)
@@ -124,16 +127,15 @@ class Best:
         self.least = np.zeros(queries)
 
     def add(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray, none: np.ndarray) -> None:
-        """Scores of the queries ``at`` for the documents ``ids``."""
+        """Scores of the queries ``at`` for the documents ``ids``, which may differ from query to query."""
         score = np.round(score, DECIMALS)
         better = (score.max(1) >= self.least[at]) & (score.max(1) > 0)
         at, score = at[better], score[better]
         if not len(at):
             return
-        wide = (len(at), len(ids))
+        ids, none = np.broadcast_to(ids, better.shape + ids.shape[-1:])[better], np.broadcast_to(none, better.shape + none.shape[-1:])[better]
         score = np.concatenate([self.score[at], score], 1)
-        ids = np.concatenate([self.ids[at], np.broadcast_to(ids, wide)], 1)
-        none = np.concatenate([self.none[at], np.broadcast_to(none, wide)], 1)
+        ids, none = np.concatenate([self.ids[at], ids], 1), np.concatenate([self.none[at], none], 1)
         best = np.lexsort((ids, none, -score), axis=1)[:, :self.k]
         self.score[at], self.ids[at], self.none[at] = (np.take_along_axis(x, best, 1) for x in (score, ids, none))
         self.least[at] = self.score[at, -1]
@@ -143,27 +145,53 @@ class Index:
     """A shard's index under the statistics of the corpus: impacts, and the largest of each term and block."""
 
     def __init__(self, stored_: Postings, mean: float):
-        self.ids, self.none, self.terms, self.starts, self.doc = stored_.ids, stored_.none, stored_.terms, stored_.starts, stored_.doc
+        self.ids, self.none, self.terms, starts, doc = stored_.ids, stored_.none, stored_.terms, stored_.starts, stored_.doc
         self.n = len(self.ids)
-        tf = stored_.tf.astype(float)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * stored_.length[self.doc] / mean)) if mean else tf
+        impact = stored_.tf.astype(float)
+        impact = impact * (K1 + 1) / (impact + K1 * (1 - B + B * stored_.length[doc] / mean)) if mean else impact
         self.blocks = -(-self.n // BLOCK)
         # postings of a term and block lie together: a run
-        key = np.repeat(np.arange(len(self.terms)), np.diff(self.starts)) * max(1, self.blocks) + self.doc // BLOCK
+        count = np.diff(starts)
+        key = np.repeat(np.arange(len(self.terms)), count) * max(1, self.blocks) + doc // BLOCK
         heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        self.most = np.maximum.reduceat(self.impact, heads) if len(heads) else np.zeros(0)
-        self.run_block = (key[heads] % max(1, self.blocks)).astype(np.int32)
-        self.run_starts = np.r_[heads, len(key)]
-        self.first_run = np.searchsorted(heads, self.starts)
-        common = np.flatnonzero(np.diff(self.starts) > DENSE * self.n)
-        self.row_of = np.full(len(self.terms) + 1, -1)
+        del key
+        self.most = np.maximum.reduceat(impact, heads) if len(heads) else np.zeros(0)
+        self.run_block = (doc[heads] // BLOCK).astype(np.int32)
+        self.run_length = np.diff(heads, append=len(doc)).astype(np.int32)
+        self.first_run = np.searchsorted(heads, starts)
+        # the most frequent terms get full rows, as far as these have room
+        runs = np.diff(self.first_run)
+        common = np.flatnonzero(count > DENSE * self.n)
+        common = common[np.argsort(-count[common], kind="stable")][:MOST_ROWS]
+        common = np.sort(common[np.cumsum(runs[common]) * BLOCK <= ROW_CELLS])
+        self.row_of = np.full(len(self.terms) + 1, -1, np.int32)
         self.row_of[common] = np.arange(len(common))
-        self.rows, self.row_most = np.zeros((len(common), self.n)), np.zeros((len(common), self.blocks))
-        for i, t in enumerate(common):
-            a, z = self.starts[t], self.starts[t + 1]
-            self.rows[i, self.doc[a:z]] = self.impact[a:z]
-            a, z = self.first_run[t], self.first_run[t + 1]
-            self.row_most[i, self.run_block[a:z]] = self.most[a:z]
+        row = np.repeat(self.row_of[:-1], runs)
+        self.row_most = np.zeros((len(common), self.blocks), np.float32)
+        self.row_most[row[row >= 0], self.run_block[row >= 0]] = self.most[row >= 0]
+        row = np.repeat(self.row_of[:-1], count)
+        held = np.flatnonzero(row >= 0)
+        held = held[np.argsort(doc[held], kind="stable")]
+        # full rows, by documents for an exact sum, and by blocks with the columns of the terms that occur there
+        self.own_row, self.own_impact = row[held], impact[held]
+        self.own_starts = np.searchsorted(doc[held], np.arange(self.n + 1))
+        line = doc[held] % BLOCK
+        del row, held
+        self.columns, self.rows = [], []
+        for b in range(self.blocks):
+            columns = np.flatnonzero(self.row_most[:, b])
+            mine = slice(self.own_starts[b * BLOCK], self.own_starts[min(self.n, (b + 1) * BLOCK)])
+            rows = np.zeros((min(BLOCK, self.n - b * BLOCK), len(columns)), np.float32)
+            rows[line[mine], np.searchsorted(columns, self.own_row[mine])] = self.own_impact[mine]
+            self.columns.append(columns)
+            self.rows.append(rows)
+        # all postings, by blocks
+        order = _by(self.run_block, self.blocks)
+        length = self.run_length[order].astype(np.int64)
+        self.run_at = np.empty(len(heads), np.int64)
+        self.run_at[order] = np.cumsum(length) - length
+        moved = _runs(heads[order], length)
+        self.line, self.impact = (doc[moved] % BLOCK).astype(np.int32), impact[moved]
 
     def search(self, queries: Queries, best: Best) -> int:
         """Bring ``best`` up to date with this shard; returns how many pairs of a query and a block were read."""
@@ -186,23 +214,31 @@ class Index:
         mine = slice(queries.starts[a], queries.starts[z])
         number = np.repeat(np.arange(z - a), np.diff(queries.starts[a:z + 1]))
         weight, local, row, runs = queries.weight[queries.terms[mine]], local[mine], row[mine], runs[mine]
-        full = np.zeros((z - a, len(self.rows)))
+        full = np.zeros((z - a, len(self.row_most)))  # the queries' weights of the terms with full rows
         common = (local >= 0) & (row >= 0)
         full[number[common], row[common]] = weight[common]
+        short = np.ascontiguousarray(full.T, np.float32)
+        # no summand is below 0, so a sum in single precision is off by this part of itself at most
+        off = (np.bincount(number[common], minlength=z - a) + 8) * 2.0 ** -23
         # the cursors of the other terms: their runs, in the order of blocks
-        run = _runs(self.first_run[local], runs)
-        who, weight = np.repeat(number, runs), np.repeat(weight, runs)
-        block = self.run_block[run]
-        bound = np.bincount(who * self.blocks + block, self.most[run] * weight, (z - a) * self.blocks).astype(float).reshape(z - a, self.blocks)
-        bound += full @ self.row_most
-        order = np.argsort(block, kind="stable")
-        run, who, weight = run[order], who[order], weight[order]
-        cuts = np.searchsorted(block[order], np.arange(self.blocks + 1))
-        waiting = bound > 0
+        run = _runs(self.first_run[local], runs).astype(np.int32)
+        who, heavy, block = np.repeat(number.astype(np.int32), runs), np.repeat(weight, runs), self.run_block[run]
+        pair = who * np.int64(self.blocks) + block
+        bound = np.bincount(pair, self.most[run] * heavy, (z - a) * self.blocks).astype(float).reshape(z - a, self.blocks)
+        bound += (short.T @ self.row_most) * (1 + 2 * off[:, None])
+        waiting = (bound > 0) & (bound >= best.least[a:z, None] - SLACK)
+        left = np.flatnonzero(waiting.ravel()[pair])
+        left = left[_by(block[left], self.blocks)]
+        run, who, heavy = run[left], who[left], heavy[left]
+        cuts = np.searchsorted(block[left], np.arange(self.blocks + 1))
+        del pair, block, left
+        # a query without k hits yet reads the blocks of the largest sums first
         first = np.zeros(bound.shape, bool)
-        np.put_along_axis(first, np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST], True, 1)
-        read = 0
-        for early in (True, False):
+        new = np.flatnonzero(best.least[a:z] == 0)
+        if len(new):
+            first[new[:, None], np.argpartition(-bound[new], min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]] = True
+        read, room = 0, np.empty((max(map(len, self.columns)), z - a), np.float32)
+        for early in (True, False) if len(new) else (False,):
             for b in range(self.blocks):
                 here = waiting[:, b] & (bound[:, b] >= best.least[a:z] - SLACK)
                 if early:
@@ -214,16 +250,49 @@ class Index:
                 read += len(at)
                 docs = slice(b * BLOCK, min(self.n, (b + 1) * BLOCK))
                 width = docs.stop - docs.start
-                cut = slice(cuts[b], cuts[b + 1])
-                seen = here[who[cut]]
-                counts = self.run_starts[run[cut][seen] + 1] - self.run_starts[run[cut][seen]]
-                posting = _runs(self.run_starts[run[cut][seen]], counts)
-                place = np.cumsum(here) - 1
-                cell = np.repeat(place[who[cut][seen]], counts) * width + self.doc[posting] - docs.start
-                score = np.bincount(cell, self.impact[posting] * np.repeat(weight[cut][seen], counts), len(at) * width).reshape(len(at), width)
-                best.add(a + at, score + full[at] @ self.rows[:, docs], self.ids[docs], self.none[docs])
+                mine, place = slice(cuts[b], cuts[b + 1]), np.cumsum(here) - 1
+                at_run, asker, by = run[mine], who[mine], heavy[mine]
+                if len(at) < z - a:
+                    seen = here[asker]
+                    at_run, asker, by = at_run[seen], asker[seen], by[seen]
+                counts = self.run_length[at_run]
+                posting = _runs(self.run_at[at_run], counts)
+                cell = np.repeat(place[asker] * width, counts) + self.line[posting]
+                rest = np.bincount(cell, self.impact[posting] * np.repeat(by, counts), len(at) * width).astype(float).reshape(len(at), width)
+                some = np.take(short, self.columns[b], axis=0, out=room[:len(self.columns[b])], mode="clip")
+                if 4 * len(at) > at[-1] + 1 - at[0]:  # like queries are side by side
+                    near = (self.rows[b] @ some[:, at[0]:at[-1] + 1])[:, at - at[0]].T
+                else:
+                    near = (self.rows[b] @ some[:, at]).T
+                near += rest
+                maybe = near >= (best.least[a + at] * (1 - off[at]) - SLACK)[:, None]
+                many = np.flatnonzero(maybe.sum(1) > 2 * best.k)
+                if len(many):  # of these, only what can be among the block's own best
+                    least = np.partition(near[many], -best.k, axis=1)[:, -best.k]
+                    maybe[many] &= near[many] >= (least * (1 - 4 * off[at[many]]) - SLACK)[:, None]
+                maybe &= near > 0
+                which, found = np.nonzero(maybe)
+                if len(which):
+                    self._exact(best, a, at, which, found, full, rest, docs)
         return read
 
+    def _exact(self, best: Best, a: int, at: np.ndarray, which: np.ndarray, doc: np.ndarray, full: np.ndarray, rest: np.ndarray, docs: slice) -> None:
+        """The scores of some queries (places in ``at``, in their order) for some of a block's documents, in double precision."""
+        start = self.own_starts[docs.start + doc]
+        counts = self.own_starts[docs.start + doc + 1] - start
+        held, pair = _runs(start, counts), np.repeat(np.arange(len(doc)), counts)
+        score = np.bincount(pair, self.own_impact[held] * full[at[which][pair], self.own_row[held]], len(doc)) + rest[which, doc]
+        asked, first, counts = np.unique(which, return_index=True, return_counts=True)
+        cell = np.repeat(np.arange(len(asked)), counts), np.arange(len(which)) - np.repeat(first, counts)
+        table, ids, none = np.zeros((len(asked), counts.max())), np.zeros((len(asked), counts.max()), np.int64), np.zeros((len(asked), counts.max()), bool)
+        table[cell], ids[cell], none[cell] = score, self.ids[docs][doc], self.none[docs][doc]
+        best.add(a + at[asked], table, ids, none)
+
+
+def _by(block: np.ndarray, blocks: int) -> np.ndarray:
+    """The order by blocks, stable; short numbers are sorted by radix."""
+    return np.argsort(block.astype(np.uint16) if blocks <= 1 << 16 else block, kind="stable")
+
 
 def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
