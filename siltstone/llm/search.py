@@ -33,8 +33,8 @@ from .common import MOST_PARTITIONS, input_bytes, of_group, pieces, scratch_path
 K1, B, BLOCK, SHARD, QUERY_BYTES = 1.2, 0.75, 64, 5 << 23, 1 << 25
 #: A term in more than this part of a shard's documents is kept as a full row of impacts; the most frequent ones at most, and cells of all rows.
 DENSE, MOST_ROWS, ROW_CELLS = 0.01, 4096, 3 << 23
-#: Blocks that are read first, queries that are worked on together, and the entries of their cursors at most (or of one query).
-FIRST, TOGETHER, CURSORS = 4, 512, 1 << 20
+#: Blocks that are read first, queries that are worked on together, the entries of their cursors at most (or of one query), scores summed exactly at a time, and pairs that may wait for that.
+FIRST, TOGETHER, CURSORS, EXACT, KEPT = 4, 512, 1 << 20, 4096, 1 << 18
 #: Decimals that scores are rounded to, so that ties don't depend on the order of a sum, and what sums may be off by.
 DECIMALS, SLACK = 9, 1e-6
 _SPACED = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256))
@@ -226,7 +226,9 @@ class Index:
         pair = who * np.int64(self.blocks) + block
         bound = np.bincount(pair, self.most[run] * heavy, (z - a) * self.blocks).astype(float).reshape(z - a, self.blocks)
         bound += (short.T @ self.row_most) * (1 + 2 * off[:, None])
-        waiting = (bound > 0) & (bound >= best.least[a:z, None] - SLACK)
+        # the k-th score is known to be this at least: by exact scores and, of this sweep, by sums in single precision less what they are off
+        least, tops = best.least[a:z].copy(), best.score[a:z].copy()
+        waiting = (bound > 0) & (bound >= least[:, None] - SLACK)
         left = np.flatnonzero(waiting.ravel()[pair])
         left = left[_by(block[left], self.blocks)]
         run, who, heavy = run[left], who[left], heavy[left]
@@ -234,13 +236,24 @@ class Index:
         del pair, block, left
         # a query without k hits yet reads the blocks of the largest sums first
         first = np.zeros(bound.shape, bool)
-        new = np.flatnonzero(best.least[a:z] == 0)
+        new = np.flatnonzero(least == 0)
         if len(new):
             first[new[:, None], np.argpartition(-bound[new], min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]] = True
-        read, room = 0, np.empty((max(map(len, self.columns)), z - a), np.float32)
+
+        def settle() -> None:
+            if kept:
+                who, doc, near, rest = map(np.concatenate, zip(*kept, strict=True))
+                kept.clear()
+                last = np.flatnonzero(near >= least[who] * (1 - off[who]) - SLACK)
+                last = last[np.argsort(who[last], kind="stable")]
+                for i in range(0, len(last), EXACT):
+                    part = last[i:i + EXACT]
+                    self._exact(best, a, who[part], doc[part], full, rest[part])
+
+        kept, read, room = [], 0, np.empty((max(map(len, self.columns)), z - a), np.float32)
         for early in (True, False) if len(new) else (False,):
             for b in range(self.blocks):
-                here = waiting[:, b] & (bound[:, b] >= best.least[a:z] - SLACK)
+                here = waiting[:, b] & (bound[:, b] >= least - SLACK)
                 if early:
                     here &= first[:, b]
                     waiting[:, b] &= ~here
@@ -265,28 +278,33 @@ class Index:
                 else:
                     near = (self.rows[b] @ some[:, at]).T
                 near += rest
-                maybe = near >= (best.least[a + at] * (1 - off[at]) - SLACK)[:, None]
-                many = np.flatnonzero(maybe.sum(1) > 2 * best.k)
-                if len(many):  # of these, only what can be among the block's own best
-                    least = np.partition(near[many], -best.k, axis=1)[:, -best.k]
-                    maybe[many] &= near[many] >= (least * (1 - 4 * off[at[many]]) - SLACK)[:, None]
-                maybe &= near > 0
-                which, found = np.nonzero(maybe)
-                if len(which):
-                    self._exact(best, a, at, which, found, full, rest, docs)
+                maybe = (near >= (least[at] * (1 - off[at]) - SLACK)[:, None]) & (near > 0)
+                rows = np.flatnonzero(maybe.any(1))
+                if len(rows):
+                    asked = at[rows]
+                    seen = np.concatenate([tops[asked], np.where(maybe[rows], near[rows] * (1 - 2 * off[asked, None]), 0)], 1)
+                    tops[asked] = np.partition(seen, -best.k, axis=1)[:, -best.k:]
+                    least[asked] = np.maximum(least[asked], tops[asked].min(1))
+                    maybe[rows] &= near[rows] >= (least[asked] * (1 - off[asked]) - SLACK)[:, None]
+                    which, found = np.nonzero(maybe)
+                    kept.append((at[which], docs.start + found, near[which, found], rest[which, found]))
+                    if sum(len(x[0]) for x in kept) > KEPT:  # many ties
+                        settle()
+        settle()
         return read
 
-    def _exact(self, best: Best, a: int, at: np.ndarray, which: np.ndarray, doc: np.ndarray, full: np.ndarray, rest: np.ndarray, docs: slice) -> None:
-        """The scores of some queries (places in ``at``, in their order) for some of a block's documents, in double precision."""
-        start = self.own_starts[docs.start + doc]
-        counts = self.own_starts[docs.start + doc + 1] - start
+    def _exact(self, best: Best, a: int, who: np.ndarray, doc: np.ndarray, full: np.ndarray, rest: np.ndarray) -> None:
+        """The scores of some queries (places behind ``a``, in their order) for a document each, in double precision."""
+        start = self.own_starts[doc]
+        counts = self.own_starts[doc + 1] - start
         held, pair = _runs(start, counts), np.repeat(np.arange(len(doc)), counts)
-        score = np.bincount(pair, self.own_impact[held] * full[at[which][pair], self.own_row[held]], len(doc)) + rest[which, doc]
-        asked, first, counts = np.unique(which, return_index=True, return_counts=True)
-        cell = np.repeat(np.arange(len(asked)), counts), np.arange(len(which)) - np.repeat(first, counts)
-        table, ids, none = np.zeros((len(asked), counts.max())), np.zeros((len(asked), counts.max()), np.int64), np.zeros((len(asked), counts.max()), bool)
-        table[cell], ids[cell], none[cell] = score, self.ids[docs][doc], self.none[docs][doc]
-        best.add(a + at[asked], table, ids, none)
+        score = np.bincount(pair, self.own_impact[held] * full[who[pair], self.own_row[held]], len(doc)) + rest
+        asked, first, counts = np.unique(who, return_index=True, return_counts=True)
+        cell = np.repeat(np.arange(len(asked)), counts), np.arange(len(who)) - np.repeat(first, counts)
+        wide = len(asked), counts.max()
+        table, ids, none = np.zeros(wide), np.zeros(wide, np.int64), np.zeros(wide, bool)
+        table[cell], ids[cell], none[cell] = score, self.ids[doc], self.none[doc]
+        best.add(a + asked, table, ids, none)
 
 
 def _by(block: np.ndarray, blocks: int) -> np.ndarray:

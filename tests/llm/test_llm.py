@@ -735,10 +735,11 @@ def test_repeats_keep_whole_characters(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
-@pytest.mark.parametrize("cells", [search.ROW_CELLS, 0])
-def test_search_sums_few_documents_exactly(monkeypatch, cells):
+@pytest.mark.parametrize(("cells", "kept"), [(search.ROW_CELLS, search.KEPT), (0, search.KEPT), (search.ROW_CELLS, 20)])
+def test_search_sums_few_documents_exactly(monkeypatch, cells, kept):
     """Most documents of a block that is read are passed over by a sum in single precision, which loses no hit; without room for full rows too."""
     monkeypatch.setattr(search, "ROW_CELLS", cells)
+    monkeypatch.setattr(search, "KEPT", kept)
     rng = np.random.default_rng(7)
     texts = [rng.zipf(1.2, int(rng.integers(0, 120))) % 3000 for _ in range(2000)]
     texts[500:530] = [texts[499]] * 30
